@@ -66,15 +66,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     covered = later.groupBy("__ld_id", "__ld_t").agg(F.collect_set("p").alias("__ld_p"))
     keyed = docs.withColumns({"__ld_t2": F.xxhash64(text_col), "__ld_id2": F.col(id_col)})
     joined = keyed.join(covered, F.col("__ld_id2").eqNullSafe(F.col("__ld_id")) & (F.col("__ld_t2") == F.col("__ld_t")), "left")
-    lines, n = _lines(F.col(text_col)), F.size(_lines(F.col(text_col)))
-    gone = F.array_distinct(F.flatten(F.transform("__ld_p", lambda p: F.sequence(p, p + (window - 1)))))
-    kept = F.array_except(F.sequence(F.lit(0), n - 1), gone)
-    cut = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    # Both are columns that are read twice, so that they are not worked out again for every line.
+    ready = joined.withColumns(
+        {
+            "__ld_l": _lines(F.col(text_col)),
+            "__ld_gone": F.array_distinct(F.flatten(F.transform("__ld_p", lambda p: F.sequence(p, p + (window - 1))))),
+        }
+    )
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__ld_l") - 1), "__ld_gone")
+    cut = F.array_join(F.transform(kept, lambda i: F.get("__ld_l", i)), "\n")
     hit = F.col("__ld_p").isNotNull() & F.col(text_col).isNotNull()
-    out = joined.withColumns(
+    out = ready.withColumns(
         {
-            "n_lines": F.when(F.col(text_col).isNotNull(), n),
-            "n_removed": F.when(hit, F.size(gone)).when(F.col(text_col).isNotNull(), F.lit(0)),
+            "n_lines": F.when(F.col(text_col).isNotNull(), F.size("__ld_l")),
+            "n_removed": F.when(hit, F.size("__ld_gone")).when(F.col(text_col).isNotNull(), F.lit(0)),
             "__ld_new": F.when(hit, cut).otherwise(F.col(text_col)),
         }
     )
