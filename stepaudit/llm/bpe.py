@@ -32,6 +32,8 @@ FOLD_BYTES = 512
 HELD_WORDS = 400_000
 #: Characters of text that go to the fold as one row.
 GROUP_CHARS = 2_000_000
+#: Primes whose product passes every key of two 16-bit ids.
+BUCKETS, SLOT_PRIME = 65_521, 131_071
 #: Above every id.
 _NONE = 0xFFFF
 
@@ -70,31 +72,35 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 @cache
 def _pair_table(path: str) -> tuple[list[int], list[int]]:
-    """Ranks by pairs of ids as a displaced-row table: ``offset`` of each left id, and ``slots``.
+    """Ranks by pairs of ids as a table without collisions: ``offset`` of each bucket, and ``slots``.
 
-    The slot at offset[left] + right holds left * 65536 + rank. Rows are placed at random where
-    all their slots are free, the longest first.
+    The key of a pair is left * 65536 + right. The slot at key % SLOT_PRIME + offset[key % BUCKETS]
+    holds key * 65536 + rank. Two keys never share both remainders, as BUCKETS * SLOT_PRIME passes
+    every key; so each bucket finds an offset where its slots are free, the fullest first.
     """
     ranks = load_ranks(path)
     if max(ranks.values()) >= _NONE:
         raise ValueError("ids must be below 65,535")
-    rows: dict[int, list[tuple[int, int]]] = {}
+    buckets: dict[int, list[tuple[int, int]]] = {}
+    pairs = 0
     for piece, rank in ranks.items():
         for k in range(1, len(piece)):
             if (x := ranks.get(piece[:k])) is not None and (y := ranks.get(piece[k:])) is not None:
-                rows.setdefault(x, []).append((y, rank))
-    width = max(ranks.values()) + 1
-    spread = 3 * sum(map(len, rows.values())) // 2 + 1
+                key, pairs = x * 65536 + y, pairs + 1
+                buckets.setdefault(key % BUCKETS, []).append((key, rank))
+    spread = 2 * pairs + 1
     rng = np.random.default_rng(7)
-    slots = np.full(spread + width, -1, np.int64)
-    offset = np.zeros(width, np.int64)
-    for x, row in sorted(rows.items(), key=lambda kv: -len(kv[1])):
-        right, rank = np.array(row, np.int64).T
-        while (slots[(at := int(rng.integers(spread))) + right] >= 0).any():
-            pass
-        offset[x] = at
-        slots[at + right] = x * 65536 + rank
-    return offset.tolist(), slots[: int(np.flatnonzero(slots >= 0).max(initial=0)) + 1].tolist()
+    slots = [-1] * (spread + SLOT_PRIME)
+    offset = [0] * BUCKETS
+    for bucket, held in sorted(buckets.items(), key=lambda kv: -len(kv[1])):
+        spots = [key % SLOT_PRIME for key, _ in held]
+        at = int(rng.integers(spread))
+        while any(slots[at + x] >= 0 for x in spots):
+            at = int(rng.integers(spread))
+        offset[bucket] = at
+        for x, (key, rank) in zip(spots, held, strict=True):
+            slots[at + x] = key * 65536 + rank
+    return offset, slots
 
 
 class RankMap:
@@ -108,8 +114,14 @@ class RankMap:
 
     def rank(self, left: Column, right: Column) -> Column:
         """The rank of two ids side by side, _NONE without one or where an id is null."""
-        slot = F.get(self.slots, F.get(self.offset, left.cast("int")).cast("int") + right.cast("int"))
-        return F.when(F.shiftright(slot, 16) == left, slot.bitwiseAND(0xFFFF)).otherwise(F.lit(_NONE).cast("long"))
+
+        def slot(key: Column) -> Column:
+            return F.get(self.slots, (key % SLOT_PRIME + F.get(self.offset, (key % BUCKETS).cast("int"))).cast("int"))
+
+        def found(key: Column) -> Column:
+            return _with(slot(key), lambda s: F.when(F.shiftright(s, 16) == key, s.bitwiseAND(0xFFFF)).otherwise(F.lit(_NONE).cast("long")))
+
+        return _with(left.cast("long") * 65536 + right, found)
 
 
 def _with(value: Column, use) -> Column:
