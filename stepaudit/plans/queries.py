@@ -5,11 +5,204 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stepaudit.operators import features, policy, redact, rules, split, tfidf, vectors
+from stepaudit.plans import views
+from stepaudit.plans.views import SAMPLES, STEPS, table
+
+
+def rule_flags(spark: SparkSession, folder: str) -> DataFrame:
+    found = rules.flags(views.steps(spark, folder), redact.masked(F.col("content")))
+    return found.select("run_id", "pos", "step_id", "rule", "evidence", "phase", "place")
+
+
+def flag_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.flags(views.steps(spark, folder)).groupBy("run_id", "rule").agg(F.count("*").alias("n"))
+
+
+def timeline_search(spark: SparkSession, folder: str) -> DataFrame:
+    steps = views.steps(spark, folder)
+    return rules.timeline(steps, rules.flags(steps), "tool_call", True, "VIEW").select("run_id", "pos", "id", "rules", "n_flags")
+
+
+def redacted_documents(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "documents").select("doc_id", "text")
+    return d.select("doc_id", redact.masked(F.col("text")).alias("text"), redact.mask_count(F.col("text")).cast("long").alias("n_masked"))
+
+
+def adapted_steps(spark: SparkSession, folder: str) -> DataFrame:
+    return features.adapt(views.messages(spark, folder)).select("run_id", "pos", "id", "kind", "content")
+
+
+def prefix_features(spark: SparkSession, folder: str) -> DataFrame:
+    return features.prefix_features(views.messages(spark, folder))
+
+
+def leak_free_split(spark: SparkSession, folder: str) -> DataFrame:
+    return split.assign(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def split_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return split.leaks(docs, split.assign(docs, "doc_id", "text"), "doc_id", "text")
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 9) for c in names})
+
+
+def confusion_by_group(spark: SparkSession, folder: str) -> DataFrame:
+    m = views.samples(spark, folder)
+    counts = m.groupBy("grp").agg(*policy.confusion(F.coalesce("rule", F.lit(False)), F.col("label")))
+    return _rounded(policy.with_rates(counts), "precision", "recall", "f1")
+
+
+def threshold_gate(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(policy.gate(views.samples(spark, folder).withColumn("rule", F.coalesce("rule", F.lit(False)))), "model_recall")
+
+
+def coverage(spark: SparkSession, folder: str) -> DataFrame:
+    return policy.coverage(views.samples(spark, folder))
+
+
+def class_report(spark: SparkSession, folder: str) -> DataFrame:
+    m = views.samples(spark, folder).withColumn("predicted", (F.col("doc_id") % 3 - 1).cast("int"))
+    return _rounded(policy.class_report(m), "precision", "recall", "f1")
+
+
+def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return _rounded(tfidf.vocabulary(tfidf.term_counts(docs, "doc_id", "text"), docs.count()), "idf")
+
+
+#: A made-up model: terms of the test texts with weights by a rule.
+_MODEL_TERMS = ["the", "and", "ing", "tion", "er", "of", "in", "to", "and the", "of the", "un", "en", "is"]
+
+
+def tfidf_score(spark: SparkSession, folder: str) -> DataFrame:
+    made = [(t, 1 + k / 10, *[((k + 1) * (j + 2) % 7 - 3) / 4 for j in range(3)]) for k, t in enumerate(_MODEL_TERMS)]
+    model = spark.createDataFrame(made, "term string, idf double, w0 double, w1 double, w2 double")
+    return _rounded(tfidf.score(table(spark, folder, "documents").select("doc_id", "text"), model, [0.1, -0.2, 0.3], 0.4), "score")
+
+
+def linear_head(spark: SparkSession, folder: str) -> DataFrame:
+    """The head's class scores and the cosine with a fixed vector, over unit vectors."""
+    e = table(spark, folder, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    e = e.select("vec_id", vectors.unit(F.col("v")).alias("u"))
+
+    def weights(k: int):
+        return F.transform(F.col("u"), lambda x, i: F.sin(i + k + 1))
+
+    made = e.select("vec_id", vectors.softmax([vectors.dot(F.col("u"), weights(k)) for k in range(3)]).alias("p"), vectors.dot(F.col("u"), vectors.unit(weights(0))).alias("cosine"))
+    return _rounded(made.select("vec_id", *[F.get("p", F.lit(k)).alias(f"p{k}") for k in range(3)], "cosine"), "p0", "p1", "p2", "cosine")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    made = [rule_flags, flag_counts, timeline_search, redacted_documents, adapted_steps, prefix_features, leak_free_split, split_leaks,
+            confusion_by_group, threshold_gate, coverage, class_report, vocabulary, tfidf_score, linear_head]
+    return {f.__name__: f for f in made}
+
+
+_FLAGS = rf"""{STEPS},
+x AS (SELECT *, CASE kind WHEN 'tool_call' THEN 1 ELSE -1 END AS x FROM s WHERE call_id IS NOT NULL),
+y AS (SELECT *, sum(x) OVER (PARTITION BY run_id, call_id ORDER BY pos) AS d FROM x),
+z AS (SELECT *, least(0, coalesce(min(d) OVER (PARTITION BY run_id, call_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS floor,
+  sum(x) OVER (PARTITION BY run_id, call_id) - least(0, min(d) OVER (PARTITION BY run_id, call_id)) AS left_over,
+  count(*) FILTER (kind = 'tool_call') OVER (PARTITION BY run_id, call_id ORDER BY pos DESC) AS behind, min(pos) OVER (PARTITION BY run_id, call_id) AS first_pos FROM y),
+g AS (SELECT *, row_number() OVER (PARTITION BY run_id, tool, content ORDER BY pos) AS nth,
+  array_agg(id) OVER (PARTITION BY run_id, tool, content ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS ids FROM s WHERE kind = 'tool_call'),
+f AS (SELECT run_id, pos, id AS step_id, 'repeated_call' AS rule, array_to_string(ids, ', ') AS evidence, 0 AS phase, CAST(pos AS BIGINT) AS place FROM g WHERE nth = 3
+  UNION ALL SELECT run_id, pos, id, 'unmatched_result', call_id, 0, pos FROM z WHERE kind = 'tool_result' AND d < floor
+  UNION ALL SELECT run_id, pos, id, 'tool_error', CASE WHEN status = 'error' THEN 'status error' ELSE 'error term' END, 0, pos FROM s
+    WHERE kind = 'tool_result' AND (status = 'error' OR regexp_matches(content, '(?i)\b(error|exception|traceback|failed|failure)\b|permission denied|not found'))
+  UNION ALL SELECT run_id, pos, id, 'missing_result', call_id, 1, first_pos FROM z WHERE kind = 'tool_call' AND behind <= left_over)"""
+
+_REDACTED = r"""
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text,
+  '(?i)\b((?:api[_ -]?key|password|secret|access[_ -]?token|authorization)["'']?\s*[=:]\s*)(?:bearer\s+)?[^\s"'',;}]+', '\1[REDACTED]', 'g'),
+  '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[REDACTED EMAIL]', 'g'),
+  '\b(?:sk-[A-Za-z0-9_-]{12,}|gh[pousr]_[A-Za-z0-9]{12,}|AKIA[A-Z0-9]{16})\b', '[REDACTED TOKEN]', 'g') AS text,
+  coalesce(len(regexp_extract_all(text, '(?i)\b(?:api[_ -]?key|password|secret|access[_ -]?token|authorization)["'']?\s*[=:]\s*(?:bearer\s+)?[^\s"'',;}]+'))
+  + len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))
+  + len(regexp_extract_all(text, '\b(?:sk-[A-Za-z0-9_-]{12,}|gh[pousr]_[A-Za-z0-9]{12,}|AKIA[A-Z0-9]{16})\b')), 0) AS n_masked
+FROM documents"""
+
+_COMPONENTS = r"""
+q AS (SELECT doc_id AS grp, trim(regexp_replace(lower(coalesce(text, '')), '[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS q
+  FROM documents WHERE doc_id IS NOT NULL),
+c AS (SELECT grp, q, min(grp) OVER (PARTITION BY q) AS component FROM q),
+i AS (SELECT component, row_number() OVER (ORDER BY sha256('trace-check-v1-seed42:' || component)) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT component FROM c)),
+a AS (SELECT DISTINCT grp, q, component, CASE WHEN i < floor(n * 0.6) THEN 'train' WHEN i < floor(n * 0.8) THEN 'validation' ELSE 'test' END AS split FROM c JOIN i USING (component))"""
+
+
+def _share(part: str, whole: str) -> str:
+    return f"round(CASE WHEN ({whole}) = 0 THEN 0 ELSE ({part})::DOUBLE / ({whole}) END, 9)"
+
+
+_GATE = f"""
+WITH {SAMPLES}, t AS (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9, 0.95]::DOUBLE[]) AS threshold),
+p AS (SELECT threshold, subset, label, coalesce(rule, false) AS rules, coalesce(score > threshold AND abs(score - threshold) > 1e-6, false) AS model FROM m, t),
+b AS (SELECT threshold, subset, {", ".join(f"count(*) FILTER ({e} AND label = -1) AS {n}_tp, count(*) FILTER ({e} AND label <> -1) AS {n}_fp, count(*) FILTER ({e} AND label = 0) AS {n}_neutral" for n, e in (("rules", "rules"), ("model", "model"), ("both", "(rules OR model)")))},
+  count(*) FILTER (label = -1) AS bad FROM p GROUP BY ALL),
+a AS (SELECT threshold, {", ".join(f"CAST(sum({n}_{k}) AS BIGINT) AS {n}_{k}" for n in ("rules", "model", "both") for k in ("tp", "fp", "neutral"))}, sum(bad) AS bad,
+  bool_and(model_fp <= rules_fp AND both_fp <= rules_fp) AS fits FROM b GROUP BY threshold),
+e AS (SELECT *, fits AND model_tp + model_fp >= 20 AND model_fp <= rules_fp AND both_fp <= rules_fp AND model_neutral <= rules_neutral AND both_neutral <= rules_neutral AS eligible,
+  {_share("model_tp", "bad")} AS model_recall FROM a)
+SELECT threshold, rules_tp, rules_fp, model_tp, model_fp, model_neutral, both_tp, both_fp, both_neutral, model_recall, eligible,
+  coalesce(threshold = (SELECT threshold FROM e WHERE eligible ORDER BY model_recall DESC, threshold DESC LIMIT 1), false) AS selected FROM e"""
+
+_TERMS = r"""
+w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]{2,}') AS ws FROM documents),
+o AS (SELECT doc_id, unnest(ws || list_transform(range(1, greatest(len(ws), 1)), lambda i: ws[i] || ' ' || ws[i + 1])) AS term FROM w),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM o GROUP BY ALL)"""
+
+_MODEL = ", ".join(f"('{t}', {1 + k / 10}::DOUBLE, {', '.join(f'{((k + 1) * (j + 2) % 7 - 3) / 4}::DOUBLE' for j in range(3))})" for k, t in enumerate(_MODEL_TERMS))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "rule_flags": f"WITH {_FLAGS} SELECT * FROM f",
+        "flag_counts": f"WITH {_FLAGS} SELECT run_id, rule, count(*) AS n FROM f GROUP BY ALL",
+        "timeline_search": f"""WITH {_FLAGS}, r AS (SELECT run_id, pos, string_agg(rule, ' ' ORDER BY rule) AS rules, count(*) AS n_flags FROM f GROUP BY ALL)
+          SELECT s.run_id, s.pos, s.id, r.rules, r.n_flags FROM s JOIN r ON r.run_id = s.run_id AND r.pos = s.pos
+          WHERE kind = 'tool_call' AND contains(lower(concat_ws(' ', id, content, coalesce(tool, ''), rules)), 'view')""",
+        "redacted_documents": _REDACTED,
+        "adapted_steps": """SELECT conv_id AS run_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS pos, 'm' || turn AS id,
+          CASE role WHEN 'user' THEN 'task' WHEN 'tool' THEN 'tool_result' ELSE 'assistant' END AS kind, coalesce(text, '') AS content
+          FROM conversations WHERE role IN ('user', 'assistant', 'tool')""",
+        "prefix_features": """WITH p AS (SELECT conv_id, turn, role, CASE WHEN role IN ('assistant', 'user', 'tool') THEN
+            role || ' ' || left(regexp_replace(coalesce(text, ''), '<answer>.*?</answer>', '[answer omitted]', 'gis'), 4000) END AS part FROM conversations),
+          w AS (SELECT *, array_to_string(list_filter(array_agg(part) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), lambda x: x IS NOT NULL), chr(10)) AS t,
+            max(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS last FROM p)
+          SELECT conv_id AS run_id, turn AS msg_index, right(t, 12000) AS feature FROM w WHERE role = 'assistant' AND turn < last""",
+        "leak_free_split": f"WITH {_COMPONENTS} SELECT DISTINCT grp, component, split FROM a",
+        "split_leaks": f"WITH {_COMPONENTS} SELECT sha256(q) AS q, count(DISTINCT split) AS n FROM a GROUP BY 1 HAVING count(DISTINCT split) > 1",
+        "confusion_by_group": f"""WITH {SAMPLES}, c AS (SELECT grp, count(*) FILTER (coalesce(rule, false) AND label = -1) AS tp, count(*) FILTER (coalesce(rule, false) AND label <> -1) AS fp,
+          count(*) FILTER (NOT coalesce(rule, false) AND label = -1) AS fn, count(*) FILTER (NOT coalesce(rule, false) AND label <> -1) AS tn FROM m GROUP BY grp)
+          SELECT *, {_share("tp", "tp + fp")} AS precision, {_share("tp", "tp + fn")} AS recall, {_share("2 * tp", "2 * tp + fp + fn")} AS f1 FROM c""",
+        "threshold_gate": _GATE,
+        "coverage": f"""WITH {SAMPLES} SELECT split, label, subset, count(*) AS steps, count(DISTINCT grp) AS groups, count(*) FILTER (support_reason IS NULL) AS supported,
+          count(DISTINCT grp) FILTER (support_reason IS NULL) AS supported_groups FROM m GROUP BY GROUPING SETS ((split), (split, label), (split, subset), (split, label, subset))""",
+        "class_report": f"""WITH {SAMPLES}, p AS (SELECT label, CAST(doc_id % 3 - 1 AS INT) AS predicted FROM m),
+          x AS (SELECT label AS class, true AS own, label = predicted AS hit FROM p UNION ALL SELECT predicted, false, false FROM p),
+          b AS (SELECT class, count(*) FILTER (own) AS support, count(*) FILTER (NOT own) AS predicted, count(*) FILTER (hit) AS hits FROM x GROUP BY class)
+          SELECT class, support, {_share("hits", "predicted")} AS precision, {_share("hits", "support")} AS recall, {_share("2 * hits", "support + predicted")} AS f1 FROM b""",
+        "vocabulary": f"""WITH {_TERMS} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, round(ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + count(*))) + 1, 9) AS idf
+          FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY cf DESC, term LIMIT 20000""",
+        "tfidf_score": rf"""WITH {_TERMS}, model(term, idf, w0, w1, w2) AS (VALUES {_MODEL}),
+          d AS (SELECT doc_id, NOT regexp_matches(coalesce(text, ''), '[^\x00-\x7F]') AS plain FROM documents),
+          v AS (SELECT doc_id, (1 + ln(tf)) * idf AS v, w0, w1, w2 FROM tf JOIN model USING (term)),
+          z AS (SELECT doc_id, sum(v * w0) / sqrt(sum(v * v)) + 0.1 AS z0, sum(v * w1) / sqrt(sum(v * v)) - 0.2 AS z1, sum(v * w2) / sqrt(sum(v * v)) + 0.3 AS z2 FROM v GROUP BY doc_id),
+          p AS (SELECT d.doc_id, plain, CASE WHEN plain THEN exp(z0) / (exp(z0) + exp(z1) + exp(z2)) END AS p FROM d LEFT JOIN z ON z.doc_id = d.doc_id)
+          SELECT doc_id, round(p, 9) AS score, CASE WHEN NOT plain THEN 'unsupported-unicode' WHEN p IS NULL THEN 'no-known-features'
+            WHEN abs(p - 0.4) <= 1e-6 THEN 'threshold-ambiguity' WHEN p < 0.4 THEN 'below-threshold' END AS reason FROM p""",
+        "linear_head": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+          u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM e),
+          d AS (SELECT vec_id, """
+        + ", ".join(f"list_sum(list_transform(range(1, len(u) + 1), lambda i: u[i] * sin(i + {k}))) AS d{k}" for k in range(3))
+        + """, sqrt(list_sum(list_transform(range(1, len(u) + 1), lambda i: sin(i) * sin(i)))) AS n FROM u)
+          SELECT vec_id, """
+        + ", ".join(f"round(exp(d{k}) / (exp(d0) + exp(d1) + exp(d2)), 9) AS p{k}" for k in range(3))
+        + ", round(d0 / n, 9) AS cosine FROM d",
+    }
