@@ -1,0 +1,132 @@
+"""The review engine: SQL on the smallest tables, and handwritten cases."""
+
+import json
+import random
+from collections import defaultdict
+
+import pytest
+from compare import difference
+from pyspark.sql import functions as F
+
+from stepaudit.operators import features, policy, redact, rules, validate, vectors
+from stepaudit.plans import queries as plans
+
+STEPS = "run_id string, pos int, id string, kind string, content string, tool string, call_id string, status string"
+
+
+@pytest.mark.parametrize("name", sorted(plans.queries()))
+def test_sql(spark, data, name):
+    _, said = difference(spark, data, plans.queries()[name], plans.oracle_sql()[name])
+    assert not said
+
+
+def test_entry(spark):
+    import __spark_entry__ as e
+
+    assert e.entry(spark).count() > 0
+    assert set(plans.queries()) <= set(e.queries())
+
+
+def _queue(steps):
+    """Unmatched and missing flags by a plain queue."""
+    out, waiting = set(), defaultdict(list)
+    for run, pos, _, kind, _, _, call, _ in steps:
+        if call is None:
+            continue
+        if kind == "tool_call":
+            waiting[run, call].append(pos)
+        elif waiting[run, call]:
+            waiting[run, call].pop(0)
+        else:
+            out.add((run, pos, "unmatched_result"))
+    return out | {(run, p, "missing_result") for (run, _), ps in waiting.items() for p in ps}
+
+
+def test_rules_by_queue(spark):
+    rng = random.Random(3)
+    rows = []
+    for run in range(60):
+        for pos in range(rng.randint(1, 25)):
+            kind = rng.choice(["tool_call", "tool_result"])
+            rows.append((str(run), pos, f"s{pos}", kind, str(rng.random()), "t", rng.choice(["a", "b", None]), None))
+    got = rules.flags(spark.createDataFrame(rows, STEPS)).where("rule LIKE 'un%' OR rule LIKE 'mis%'")
+    assert {(r.run_id, r.pos, r.rule) for r in got.collect()} == _queue(rows)
+
+
+def test_rules_cases(spark):
+    rows = [("r", k, f"s{k}", "tool_call", "x", None, None, None) for k in range(4)]
+    rows += [("r", 4, "s4", "tool_result", "éerror", "t", None, None), ("r", 5, "s5", "tool_result", "errors", "t", None, None)]
+    rows += [("r", 6, "s6", "tool_result", "it failed with code 2", None, None, "ok"), ("r", 7, "s7", "tool_result", None, None, None, "error")]
+    got = {(r.pos, r.rule, r.evidence) for r in rules.flags(spark.createDataFrame(rows, STEPS)).collect()}
+    assert got == {
+        (2, "repeated_call", "s0, s1, s2"), (4, "tool_error", "éerror"),
+        (6, "tool_error", "it failed with code 2"), (7, "tool_error", "status error"),
+    }
+    assert rules.flags(spark.createDataFrame([], STEPS)).count() == 0
+
+
+MASKS = [
+    ('"password": "a\\"b" x', '"password": "[REDACTED]" x', 1), ("secret='abc", "secret='[REDACTED]", 1), ("api_key=abc, next", "api_key=[REDACTED], next", 1),
+    ("Authorization: Bearer abc.def", "Authorization: [REDACTED]", 1), ("mypassword=abc", "mypassword=abc", 0), ("a@b.co. c@d.org", "[REDACTED EMAIL]. [REDACTED EMAIL]", 2),
+    ("local@host", "local@host", 0), ("sk-abcdefghijklmnop-- x", "[REDACTED TOKEN]-- x", 1), ("a" * 247 + "@bcd.ef", "a" * 247 + "@bcd.ef" if 247 + 7 > 254 else "[REDACTED EMAIL]", 1),
+    ("a" * 248 + "@bcd.ef", "a" * 248 + "@bcd.ef", 0), ('secret="' + '\\"' * 49_000 + '"', 'secret="[REDACTED]"', 1), ("a.a." * 25_000 + "@", "a.a." * 25_000 + "@", 0), ("", "", 0),
+]
+
+
+def test_masks(spark):
+    df = spark.createDataFrame([(k, m[0]) for k, m in enumerate(MASKS)] + [(99, None)], "k int, t string")
+    got = {r.k: (r.m, r.n) for r in df.select("k", redact.masked(F.col("t")).alias("m"), redact.mask_count(F.col("t")).alias("n")).collect()}
+    assert got.pop(99) == (None, 0)
+    for k, (_, want, n) in enumerate(MASKS):
+        assert got[k] == (want, n), k
+
+
+def test_redacted_ids(spark):
+    rows = [("a", 1, "x@y.org", "tool_call", "", "t", "c9", None), ("a", 2, "s2", "tool_result", "", "t", "c1", None), ("a", 3, "s3", "tool_result", "", "t", "c9", None)]
+    rows += [("b", 1, "s1", "tool_call", "mail x@y.org", "t", "c9", None)]
+    got = {(r.run_id, r.pos): (r.id, r.call_id, r.n_masked) for r in redact.redact_steps(spark.createDataFrame(rows, STEPS)).collect()}
+    assert got == {("a", 1): ("step-1", "call-1", 1), ("a", 2): ("step-2", "call-2", 0), ("a", 3): ("step-3", "call-1", 0), ("b", 1): ("s1", "c9", 1)}
+
+
+def test_validation(spark):
+    step = {"id": "1", "kind": "task", "content": ""}
+    good = {"schema_version": 1, "run_id": "r", "task": "t", "status": "completed", "steps": [step]}
+    cases = [
+        (good, None), (good | {"x": 1}, "unknown-run-key"), (good | {"schema_version": 2}, "schema-version"), (good | {"status": "running"}, "status"),
+        (good | {"run_id": 5}, "run-id"), (good | {"task": " "}, "task"), (good | {"task": "x" * 20_001}, "task"), (good | {"steps": []}, "step-count"),
+        (good | {"steps": [step] * 2001}, "step-count"), (good | {"steps": [step | {"y": 1}]}, "unknown-step-key"), (good | {"steps": [step, step]}, "repeated-id"),
+        (good | {"steps": [step | {"kind": "z"}]}, "kind"), (good | {"steps": [step | {"tool": ""}]}, "step-option"), (good | {"steps": [step | {"status": "bad"}]}, "step-status"),
+        (good | {"steps": [step | {"content": "x" * 100_001}]}, "step-text"), ({"report_version": 1}, "exported-report"), ([], "not-an-object"), ({}, "schema-version"),
+    ]
+    raws = [json.dumps(c) for c, _ in cases] + ["{", None]
+    df = validate.check(spark.createDataFrame([(k, r) for k, r in enumerate(raws)], "k int, raw string"))
+    got = {r.k: r.reason for r in df.collect()}
+    for k, (_, want) in enumerate(cases):
+        assert got[k] == want, cases[k]
+    assert got[len(cases)] == "not-an-object" and got[len(cases) + 1] == "too-large"
+    assert validate.steps_of(df.where("reason IS NULL")).count() == 1
+
+
+def test_window_slots(spark):
+    m = [("r", 0, "user", "u"), ("r", 1, "system", "s"), ("r", 2, "assistant", "x<Answer>q\n</answer>"), ("r", 3, "assistant", "y"), ("r", 4, "assistant", "z")]
+    got = {r.msg_index: r.feature for r in features.prefix_features(spark.createDataFrame(m, "run_id string, msg_index int, role string, content string")).collect()}
+    assert got == {2: "user u\nassistant x[answer omitted]", 3: "assistant x[answer omitted]\nassistant y"}
+
+
+def test_gate_cases(spark):
+    schema = "subset string, label int, rule boolean, score double"
+    top = policy.gate(spark.createDataFrame([("a", -1, False, 0.99)] * 20, schema)).where("selected").collect()
+    assert [r.threshold for r in top] == [0.95]
+    few = [("a", -1, False, 0.99)] * 19 + [("a", -1, False, None)]
+    assert policy.gate(spark.createDataFrame(few, schema)).where("selected").count() == 0
+    wrong = [("a", -1, False, 0.99)] * 20 + [("a", 0, True, 0.1), ("a", 0, False, 0.99)]
+    assert policy.gate(spark.createDataFrame(wrong, schema)).where("eligible").count() == 0
+
+
+def test_budgets(spark):
+    row = spark.range(1).select(
+        vectors.context(F.array(F.lit(7)), F.sequence(F.lit(1), F.lit(3)), 101, 102).alias("short"), vectors.context(F.sequence(F.lit(1), F.lit(100)), F.sequence(F.lit(1), F.lit(300)), 101, 102).alias("long"),
+        vectors.arguments(F.sequence(F.lit(1), F.lit(40))).alias("args"), vectors.mean_pool(F.array(F.array(F.lit(2.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(2.0))), F.array(F.lit(1), F.lit(1))).alias("pool"),
+    ).first()
+    assert row.short == [101, 7, 1, 2, 3, 102] and row.long == [101, *range(1, 65), *range(111, 301), 102]
+    assert row.args == [*range(1, 17), *range(26, 41)] and [round(x, 6) for x in row.pool] == [0.707107, 0.707107]
