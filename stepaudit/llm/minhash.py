@@ -93,7 +93,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     words = np.diff(first)
     rolled = word * _WORD[0]
     for k in range(1, n):
-        rolled[: len(word) - k] += word[k:] * _WORD[k]
+        rolled[: max(len(word) - k, 0)] += word[k:] * _WORD[k]
     made = _mix(rolled)
     count = np.where(words >= n, words - n + 1, (words > 0).astype(np.int64))
     begin = np.concatenate([[0], np.cumsum(count)])
