@@ -152,7 +152,7 @@ def fold_merges(word: Column, ranks: RankMap) -> Column:
         ).otherwise(F.concat(F.array(own), F.slice(s, F.lit(3), F.size(s))))
 
     def step(s: Column, _: Column) -> Column:
-        return _with(F.array_min(s), lambda m: F.when(m > (_NONE << 26), s).otherwise(_with(F.array_position(s, m).cast("int"), lambda i: join(s, m, i))))
+        return _with(F.array_min(s), lambda m: F.when(m >= (_NONE << 26), s).otherwise(_with(F.array_position(s, m).cast("int"), lambda i: join(s, m, i))))
 
     ids = F.transform(word, lambda b: F.get(ranks.byte, b))
     start = _with(ids, lambda w: F.transform(w, lambda x, i: F.shiftleft(ranks.rank(x, F.get(w, i + 1)), 26) + F.shiftleft(i.cast("long"), 16) + x))

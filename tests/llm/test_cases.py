@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
 
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 
 from stepaudit.llm import bpe, chat, flac, language_id, line_dedup, lm_score, minhash, queries, token_counts, topk
@@ -64,3 +65,13 @@ def test_top_k(spark):
     big = 256 * 256 * 5
     assert got == [(0, 1, 3, big), (0, 2, 50, big), (0, 3, 7, 0), (50, 1, 0, big), (50, 2, 3, big), (50, 3, 7, 0)]
     assert topk.top_k(v.limit(0), F.col("vec_id") % 50 == 0).collect() == []
+
+
+def test_bpe_first_id(spark):
+    """Words that are or begin with the piece of id 0, which is "!"."""
+    texts = ["!", "Hello!", "a!", "!)", " !", "!\n!", "!\u6f22", "!!", "! !a"]
+    ranks = bpe.load_ranks(queries.public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    own = tiktoken.Encoding("own", pat_str=queries.public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = bpe.encode_decode(docs, queries.public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), queries.public_tokenizers.PATTERN, with_ids=True).collect()
+    assert {r.doc_id: (r.ids, bytes(r.decoded).decode()) for r in rows} == {k: (own.encode_ordinary(t), t) for k, t in enumerate(texts)}
