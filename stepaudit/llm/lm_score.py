@@ -7,8 +7,7 @@ sum of a document's conditional log-probabilities is its score.
 All documents train: every task runs minibatch gradient descent from one common start over its
 documents, each task's weights are averaged, weighted by its words, and a second pass scores with
 the average. Averages are taken in two steps, so that neither a task nor the driver holds more
-than a few models at once, whatever the corpus. A document trains on every ``STRIDE``-th of its
-words, and all its words are context.
+than a few models at once, whatever the corpus. Every word is trained on.
 """
 
 from __future__ import annotations
@@ -24,7 +23,6 @@ from stepaudit.llm.arrow import flat, pieces
 from stepaudit.llm.minhash import shingles
 
 VOCAB, SIDE, HIDDEN = 128, 2, 16
-STRIDE = 4
 BATCH = 128
 SCORE_BATCH = 4096
 RATE = 0.5
@@ -104,7 +102,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = flat(batch.column(0))
         for i, j in pieces(offsets, PIECE):
             words, context, _ = windows(data, offsets[i : j + 1])
-            held.append((words[::STRIDE], context[::STRIDE]))
+            held.append((words, context))
             if sum(len(w) for w, _ in held) >= BATCH:
                 w, c = (np.concatenate(x) for x in zip(*held, strict=True))
                 full = len(w) // BATCH * BATCH

@@ -75,3 +75,9 @@ def test_bpe_first_id(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = bpe.encode_decode(docs, queries.public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), queries.public_tokenizers.PATTERN, with_ids=True).collect()
     assert {r.doc_id: (r.ids, bytes(r.decoded).decode()) for r in rows} == {k: (own.encode_ordinary(t), t) for k, t in enumerate(texts)}
+
+
+def test_lm_trains_on_every_word(spark):
+    """Words that only stand at places 1, 2 and 3 of each four are learned too."""
+    docs = spark.createDataFrame([(k, "one two two two " * 200) for k in range(20)], "doc_id long, text string").coalesce(1)
+    assert all(r.mean_log_probability > -0.7 for r in lm_score.score(docs).collect())
