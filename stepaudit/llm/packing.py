@@ -6,14 +6,14 @@ queue's share of all ids. A queue's turn gives it whole ids only: what its share
 deficit and is carried to the next window. With targets in the ratio of the queues' sizes all
 queues run dry together, so that only the last window is padded.
 
-The carried deficits have a closed form: after w windows the first j queues have had
-floor(w * length * S_j / S) ids, S_j being their joint size. Hence any window's pieces follow from
-a document's place in its queue alone, on any partition, with no pass over the windows. A queue
-under ``1 / MIN_SHARE`` of the ids would get less than some ids a window; such sources share one
-tail queue.
+The carried deficits have a closed form: the queues, in order, are the leaves of a tree, and of x ids
+that a node has had, its left part has had floor(x * S_left / S_node) and its right part the rest, S
+being joint sizes. Both parts grow with x, so that a queue of any size, also of less than an id a
+window, gets its ids in order every few windows. Hence any window's pieces follow from a document's
+place in its queue alone, on any partition, with no pass over the windows.
 
 A document's place is the sum of the buckets before its own (documents are dealt to buckets by
-hash) and of those before it in its bucket. Only one number for each queue reaches the driver.
+hash) and of those before it in its bucket. Only the name and size of each queue reach the driver.
 """
 
 from __future__ import annotations
@@ -34,7 +34,6 @@ from stepaudit.scratch import written
 
 LENGTH = 2048
 END_ID = 1
-MIN_SHARE = 64
 CACHE_WORDS = 500_000
 _STATE: dict[str, tuple] = {}
 
@@ -89,26 +88,49 @@ class Plan:
         self.length, self.total, self.sums = length, sum(sizes), [0]
         for s in sizes:
             self.sums.append(self.sums[-1] + s)
-
-    def had(self, j: int, w: int) -> int:
-        """Ids that the first j queues have had after w windows."""
-        return min(w * self.length, self.total) * self.sums[j] // self.total
-
-    def start(self, q: int, w: int) -> int:
-        """Ids of queue q before window w."""
-        return self.had(q + 1, w) - self.had(q, w)
+        self.windows = -(-self.total // length)
+        self.paths: dict[int, list[tuple[int, int, bool]]] = {}
+
+    def path(self, q: int) -> list[tuple[int, int, bool]]:
+        """(size of the left part, size of the node, queue is in the right part) from the root to queue q."""
+        if q not in self.paths:
+            made, lo, hi, sums = [], 0, len(self.sums) - 1, self.sums
+            while hi - lo > 1:
+                mid = min(max(bisect.bisect_left(sums, (sums[lo] + sums[hi]) // 2, lo, hi), lo + 1), hi - 1)
+                made.append((sums[mid] - sums[lo], sums[hi] - sums[lo], q >= mid))
+                lo, hi = (mid, hi) if q >= mid else (lo, mid)
+            self.paths[q] = made
+        return self.paths[q]
+
+    def had(self, path: list[tuple[int, int, bool]], w: int) -> tuple[int, int]:
+        """Ids that the queues before the path's and its own have had after w windows."""
+        before, x = 0, min(w * self.length, self.total)
+        for left, node, right in path:
+            part = x * left // node
+            if right:
+                before, x = before + part, x - part
+            else:
+                x = part
+        return before, x
 
     def pieces(self, q: int, place: int, n: int) -> Iterator[tuple[int, int, int, int]]:
         """(start in the document, length, window, offset) for n ids that begin at ``place`` of queue q."""
-        windows = -(-self.total // self.length)
-        w = bisect.bisect_right(range(windows + 1), place, key=lambda k: self.start(q, k)) - 1
-        at = place
+        path = self.path(q)
+        near = place * self.total // ((self.sums[q + 1] - self.sums[q]) * self.length)
+        lo, step = min(near, self.windows), 1
+        while lo > 0 and self.had(path, lo)[1] > place:
+            lo, step = max(lo - step, 0), 2 * step
+        hi, step = lo + 1, 1
+        while hi < self.windows and self.had(path, hi)[1] <= place:
+            lo, hi, step = hi, min(hi + step, self.windows), 2 * step
+        w = bisect.bisect_right(range(lo, hi), place, key=lambda k: self.had(path, k)[1]) + lo - 1
+        at, (before, own) = place, self.had(path, w)
         while at < place + n:
-            stop = min(self.start(q, w + 1), place + n)
+            before_next, own_next = self.had(path, w + 1)
+            stop = min(own_next, place + n)
             if stop > at:
-                begin = self.had(q, w + 1) - self.had(q, w)
-                yield at - place, stop - at, w, begin + at - self.start(q, w)
-            at, w = max(at, stop), w + 1
+                yield at - place, stop - at, w, before_next - before + at - own
+            at, w, before, own = max(at, stop), w + 1, before_next, own_next
 
 
 def _pieces(sizes: list[int], length: int):
@@ -151,27 +173,21 @@ def pack(
     tokens = written(chosen.mapInArrow(_tokenize(tokenizer_path, ranks_path, pattern, end_id), schema), "tokens")
 
     by_source = written(tokens.groupBy("source").agg(F.sum("n").alias("n")), "sources")
-    total = by_source.agg(F.sum("n")).first()[0] or 0
-    if not total:
+    queues = by_source.orderBy(F.col("source").asc_nulls_first()).collect()
+    if not queues:
         return spark.createDataFrame([], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-    large = by_source.where(F.col("n") * MIN_SHARE >= total)  # at most MIN_SHARE rows
-    queues = large.orderBy(F.col("source").asc_nulls_first()).collect()
-    rest = total - sum(r.n for r in queues)
-    sizes = [r.n for r in queues] + [rest] * (rest > 0)
-    queue = F.lit(len(queues))
-    for q, r in reversed(list(enumerate(queues))):
-        queue = F.when(F.col("source").eqNullSafe(F.lit(r.source)), q).otherwise(queue)
+    sizes = [r.n for r in queues]
+    numbered = written(spark.createDataFrame([(r.source, q) for q, r in enumerate(queues)], "name string, queue int"), "queues")
 
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = tokens.select(
-        F.pmod(F.xxhash64("doc_id", "n", F.crc32("ids")), F.lit(buckets)).cast("int").alias("bucket"), queue.cast("int").alias("queue"), "doc_id", "n", "ids"
+    dealt = tokens.join(numbered, F.col("source").eqNullSafe(F.col("name"))).select(
+        F.pmod(F.xxhash64("doc_id", "n", F.crc32("ids")), F.lit(buckets)).cast("int").alias("bucket"), "queue", "doc_id", "n", "ids"
     )
     before = Window.partitionBy("queue").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = dealt.groupBy("queue", "bucket").agg(F.sum("n").alias("n")).select("queue", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    bases = bases.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("queue", "base"))).alias("bases"))
     placed = (
-        dealt.join(written(bases, "bases"), "bucket")
-        .select("bucket", "queue", F.element_at("bases", F.col("queue")).alias("base"), "doc_id", "ids")
+        dealt.join(written(bases, "bases"), ["bucket", "queue"])
+        .select("bucket", "queue", "base", "doc_id", "ids")
         .repartition(buckets, "bucket").sortWithinPartitions("bucket", "queue", "doc_id", F.crc32("ids"))
     )
     return placed.mapInArrow(_pieces(sizes, length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

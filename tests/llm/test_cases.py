@@ -1,10 +1,12 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
 
+from collections import defaultdict
+
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from stepaudit.llm import bpe, chat, flac, language_id, line_dedup, lm_score, minhash, queries, token_counts, topk
+from stepaudit.llm import bpe, chat, flac, language_id, line_dedup, lm_score, minhash, packing, queries, token_counts, topk
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, h1 string, n string, l string, score string, key string"
 LONG = "word " * 60_000 + "x" * 20_000
@@ -81,3 +83,27 @@ def test_lm_trains_on_every_word(spark):
     """Words that only stand at places 1, 2 and 3 of each four are learned too."""
     docs = spark.createDataFrame([(k, "one two two two " * 200) for k in range(20)], "doc_id long, text string").coalesce(1)
     assert all(r.mean_log_probability > -0.7 for r in lm_score.score(docs).collect())
+
+
+def test_packing_small_sources(spark):
+    """100 small sources beside a hot one, and some of less than an id a window: each has its share of every window."""
+    rows = [(k, "one word after another " * (500 if k < 20 else 40 if k < 420 else 1), "hot" if k < 20 else f"s{k % 100}" if k < 420 else f"tiny{k % 5}") for k in range(430)]
+    path = queries.public_tokenizers.path
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), queries.public_tokenizers.PATTERN, length=1000).collect()
+    source, sizes, windows, spans = {k: s for k, _, s in rows}, defaultdict(int), defaultdict(lambda: defaultdict(int)), defaultdict(list)
+    for r in got:
+        sizes[source[r.doc_id]] += r.length
+        windows[r.sequence_id][source[r.doc_id]] += r.length
+        spans[r.sequence_id].append((r.offset, r.length))
+    total, had = sum(sizes.values()), defaultdict(int)
+    assert sorted(windows) == list(range(-(-total // 1000))) and len(sizes) == 106
+    for w in sorted(windows):
+        at = 0
+        for offset, length in sorted(spans[w]):
+            assert offset == at
+            at += length
+        assert at == min(1000, total - 1000 * w)
+        for s in sizes:
+            had[s] += windows[w][s]
+            assert abs(had[s] - min((w + 1) * 1000, total) * sizes[s] / total) < 4
