@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepaudit.scratch import written
+from stepaudit.scratch import remove, written
 
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -34,14 +34,18 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", max_r
         )
         step = labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        labels = written(
+        after = written(
             step.join(jump, "mid", "left")
             .select("node", F.least("mid", "far").alias("label"), (F.least("mid", "far") != F.col("old")).alias("changed")),
             "labels",
         )
-        if labels.where("changed").limit(1).count() == 0:
+        remove(labels)
+        labels = after
+        if labels.where("changed").isEmpty():
             break
-        labels = labels.select("node", "label")
     else:
         raise RuntimeError("components did not settle")
-    return labels.select("node", F.col("label").alias("component"))
+    remove(both)
+    done = labels.select("node", F.col("label").alias("component"))
+    done._written_at = labels._written_at  # the caller may remove it
+    return done

@@ -15,9 +15,11 @@ _LOCAL = "file:///tmp/checkpoints/stepaudit"
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
+    """The shared folder for intermediate tables; outside local mode the cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = _LOCAL
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -28,12 +30,17 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._written_at = path
+    return made
 
 
-def remove(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`written`."""
-    jvm = df.sparkSession._jvm
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+def remove(*tables: DataFrame) -> None:
+    """Delete the files of tables that :func:`written` returned; others are left alone.
+
+    No plan that is still to run may read them.
+    """
+    for df in tables:
+        if at := getattr(df, "_written_at", None):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
