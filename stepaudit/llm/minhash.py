@@ -8,11 +8,15 @@ By the pigeonhole principle, two signatures within T have one of the 25 chunks o
 49 // 25 = 1 errors, so each signature is indexed under every chunk with each place left out (125
 keys): all pairs within T share a key.
 
-Inside the buckets no step emits all pairs. First each member is paired with its most frequent
-bucket leaders and the pairs are confirmed on full shingle sets, which joins most of a group at
-once. Then only pairs of different components are compared, in blocks of bounded size, by
-signature distance, and those within T are confirmed. Every bucket is handled whole, whatever its
-size. Signatures, sets and links stay in tables of the shared folder.
+Inside the buckets no step emits pairs that may fail. First each member is paired with its most
+frequent bucket leaders (at most ``LEADERS`` pairs a member) and the pairs are confirmed on full
+shingle sets, which joins most of a group at once. Then buckets that still hold several components
+are dealt in cells of bounded size, where the members of the bucket's largest component meet only
+those of other components. A cell first names the members of its candidate pairs, each pair in the
+one bucket of its least common key; their shingle sets are fetched, and the cell confirms the pairs
+on the full sets and emits a spanning forest, so less than one link a member. Sizes, leaders and
+largest components are pre-aggregated and joined back. Signatures, sets and links stay in tables
+of the shared folder, which go as soon as they have been read.
 """
 
 from __future__ import annotations
@@ -27,11 +31,12 @@ from pyspark.sql.window import Window
 
 from stepaudit.llm.arrow import binaries, flat, pieces
 from stepaudit.operators.components import connected_components
-from stepaudit.scratch import written
+from stepaudit.scratch import remove, written
 
 CHUNKS, WIDTH = 25, 5
 PLACES = CHUNKS * WIDTH
 MAX_DISTANCE = 2 * CHUNKS - 1
+#: Members of one bucket that a side of a cell holds.
 BLOCK = 256
 LEADERS = 2
 
@@ -150,26 +155,31 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
 def _features(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = flat(batch.column(1))
+            data, offsets = flat(batch.column(2))
             for i, j in pieces(offsets):
                 made, begin = shingles(data, offsets[i : j + 1], n)
                 sets, at = _sorted_sets(made, begin)
-                sums = [np.concatenate([[np.uint64(0)], np.cumsum(_mix(sets + salt), dtype=np.uint64)]) for salt in (np.uint64(1), np.uint64(77))]
-                h1, h2 = (_mix((s[at[1:]] - s[at[:-1]]) ^ np.diff(at).astype(np.uint64)).view(np.int64) for s in sums)
+                h1, h2 = _set_hashes(sets, at)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i:j], pa.array(np.diff(at)), pa.array(h1), pa.array(h2), binaries(signatures(made, begin), np.arange(j - i + 1) * PLACES)],
-                    names=["id", "n", "h1", "h2", "sig"],
+                    [batch.column(0)[i:j], batch.column(1)[i:j], pa.array(np.diff(at)), pa.array(h1), pa.array(h2), binaries(signatures(made, begin), np.arange(j - i + 1) * PLACES)],
+                    names=["id", "text_hash", "n", "h1", "h2", "sig"],
                 )
 
     return run
 
 
+def _set_hashes(sets: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of each document's set."""
+    sums = [np.concatenate([[np.uint64(0)], np.cumsum(_mix(sets + salt), dtype=np.uint64)]) for salt in (np.uint64(1), np.uint64(77))]
+    return [_mix((s[at[1:]] - s[at[:-1]]) ^ np.diff(at).astype(np.uint64)).view(np.int64) for s in sums]
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, len(batch), 2000):
             part = batch.slice(i, 2000)
             keys = chunk_keys(_matrix(part.column(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), PLACES))], names=["key", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), PLACES))], names=["key", "node"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -177,163 +187,284 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _sets(n: int):
+    """Sets of rows (node, h1, text) whose text has the set that h1 names."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = flat(batch.column(1))
+            data, offsets = flat(batch.column(2))
             for i, j in pieces(offsets):
                 sets, at = _sorted_sets(*shingles(data, offsets[i : j + 1], n))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], binaries(sets, at)], names=["rep", "shingles"])
+                own = pa.array(_set_hashes(sets, at)[0] == batch.column(1)[i:j].to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].filter(own), binaries(sets, at).filter(own)], names=["node", "shingles"])
 
     return run
 
 
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of sorted sets."""
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(x) or 100 * len(x) < percent * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _similar(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            keep = []
-            for k in range(len(batch)):
-                x, y = (np.frombuffer(c[k].as_py(), np.uint64) for c in (left, right))
-                x, y = (x, y) if len(x) <= len(y) else (y, x)
-                spot = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
-                both = int((y[spot] == x).sum()) if len(y) else 0
-                keep.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
+            keep = [_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
     return run
 
 
-def _close(percent: int):
-    """Pairs of a sorted (key, i, j) block: other component, fitting size, signatures within T."""
-
-    def pairs(t: dict[str, np.ndarray]) -> pa.RecordBatch:
-        new = np.ones(len(t["rep"]), bool)
-        new[1:] = (t["key"][1:] != t["key"][:-1]) | (t["i"][1:] != t["i"][:-1]) | (t["j"][1:] != t["j"][:-1])
-        start = np.flatnonzero(new)
-        last = np.repeat(np.append(start[1:], len(new)), np.diff(np.append(start, len(new))))
-        a_out, b_out = [], []
-        row = np.arange(len(new))
-        step = max(1, 200_000 // max(1, int((last - row).max(initial=1))))
-        for lo in range(0, len(new), step):
-            r = row[lo : lo + step]
-            reach = last[lo : lo + step] - r - 1
-            a = np.repeat(r, reach)
-            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(reach) - reach, reach)
-            n1, n2 = t["n"][a], t["n"][b]
-            ok = (t["comp"][a] != t["comp"][b]) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
-            ok &= (t["blk"][a] != t["blk"][b]) | (t["i"][a] == t["j"][a])
-            a, b = a[ok], b[ok]
-            for k in range(0, len(a), 100_000):
-                x, y = a[k : k + 100_000], b[k : k + 100_000]
-                near = (t["sig"][x] != t["sig"][y]).sum(1) <= MAX_DISTANCE
-                p, q = t["rep"][x[near]], t["rep"][y[near]]
-                a_out.append(np.minimum(p, q))
-                b_out.append(np.maximum(p, q))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_out, b_out))
-        both = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+_CELL = ["key", "i", "j", "node", "comp", "blk", "n", "sig"]
+_CELL_SCHEMA = "key long, i int, j int, node long, comp long, blk int, n long, sig binary"
+
+
+def _cell_starts(t: dict[str, np.ndarray]) -> np.ndarray:
+    new = np.ones(len(t["node"]), bool)
+    new[1:] = (t["key"][1:] != t["key"][:-1]) | (t["i"][1:] != t["i"][:-1]) | (t["j"][1:] != t["j"][:-1])
+    return np.flatnonzero(new)
+
+
+def _candidates(t: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (rows) of sorted cells: other component, fitting size, within T, least common key here."""
+    rows, start = len(t["node"]), _cell_starts(t)
+    size = np.diff(np.append(start, rows))
+    last, row = np.repeat(np.append(start[1:], rows), size), np.arange(rows)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    step = max(1, 200_000 // max(1, int((last - row).max(initial=1))))
+    for lo in range(0, rows, step):
+        r = row[lo : lo + step]
+        reach = last[lo : lo + step] - r - 1
+        a = np.repeat(r, reach)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(reach) - reach, reach)
+        n1, n2 = t["n"][a], t["n"][b]
+        ok = (t["comp"][a] != t["comp"][b]) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
+        ok &= (t["blk"][a] != t["blk"][b]) | (t["i"][a] == t["j"][a])
+        a, b = a[ok], b[ok]
+        for k in range(0, len(a), 50_000):
+            x, y = a[k : k + 50_000], b[k : k + 50_000]
+            near = (t["sig"][x] != t["sig"][y]).sum(1) <= MAX_DISTANCE
+            if near.any():
+                found.append((x[near], y[near]))
+    a, b = (np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else ([], [])))
+    if not len(a):
+        return a, b
+    seen, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    keys, own = chunk_keys(t["sig"][seen]), np.zeros(len(a), bool)
+    p, q = at[: len(a)], at[len(a) :]
+    for k in range(0, len(a), 20_000):
+        x, y = keys[p[k : k + 20_000]], keys[q[k : k + 20_000]]
+        own[k : k + 20_000] = np.where(x == y, x, np.iinfo(np.int64).max).min(1) == t["key"][a[k : k + 20_000]]
+    return a[own], b[own]
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch], extra: list[str]) -> Iterator[dict]:
+    """Columns of batches sorted by cell, cut where a cell ends."""
+    held: dict | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        t = {c: batch.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(_CELL[:-1])}
+        t["sig"] = _matrix(batch.column(len(_CELL) - 1))
+        t |= {c: np.array([x.as_py() for x in batch.column(len(_CELL) + k)], object) for k, c in enumerate(extra)}
+        t = {c: np.concatenate([held[c], v]) for c, v in t.items()} if held else t
+        cut = int(_cell_starts(t)[-1])
+        held = {c: v[cut:] for c, v in t.items()}
+        if cut:
+            yield {c: v[:cut] for c, v in t.items()}
+    if held:
+        yield held
+
+
+def _members(percent: int):
+    """The rows of cells that stand in a candidate pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            t = {c: batch.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(("key", "i", "j", "rep", "comp", "blk", "n"))}
-            t["sig"] = _matrix(batch.column(7))
-            t = {c: np.concatenate([held[c], v]) for c, v in t.items()} if held else t
-            same = (t["key"] == t["key"][-1]) & (t["i"] == t["i"][-1]) & (t["j"] == t["j"][-1])
-            cut = int(np.flatnonzero(same)[0])
-            held = {c: v[cut:] for c, v in t.items()}
-            if cut:
-                yield pairs({c: v[:cut] for c, v in t.items()})
-        if held:
-            yield pairs(held)
+        for t in _whole_cells(batches, []):
+            keep = np.unique(np.concatenate(_candidates(t, percent)))
+            if len(keep):
+                sig = binaries(t["sig"][keep].ravel(), np.arange(len(keep) + 1) * PLACES)
+                yield pa.RecordBatch.from_arrays([*[pa.array(t[c][keep]) for c in _CELL[:-1]], sig], names=_CELL)
 
     return run
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) that are similar by their full shingle sets."""
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
-    sets = written(docs.join(ids, docs["id"] == ids["rep"]).select("rep", "text").mapInArrow(_sets(n), "rep long, shingles binary"), "sets")
-    one = pairs.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
-    two = one.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
-    return written(two.mapInArrow(_similar(percent), "a long, b long"), "links")
+def _spanning(percent: int):
+    """Confirmed links (a, b) of cells whose rows carry their sets: a spanning forest over the components."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_cells(batches, ["shingles"]):
+            a, b = _candidates(t, percent)
+            cell = np.searchsorted(_cell_starts(t), a, "right")
+            links: list[tuple[int, int]] = []
+            root: dict[int, int] = {}
+            at, sets = -1, {}
+
+            def find(x: int) -> int:
+                while (up := root.setdefault(x, x)) != x:
+                    root[x] = root[up]
+                    x = root[x]
+                return x
+
+            for c, p, q in zip(cell.tolist(), a.tolist(), b.tolist(), strict=True):
+                if c != at:
+                    at, root, sets = c, {}, {}
+                u, v = find(int(t["comp"][p])), find(int(t["comp"][q]))
+                if u == v:
+                    continue
+                x, y = (sets[r] if r in sets else sets.setdefault(r, np.frombuffer(t["shingles"][r], np.uint64)) for r in (p, q))
+                if _alike(x, y, percent):
+                    root[u] = v
+                    links.append((int(t["node"][p]), int(t["node"][q])))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in range(2)], names=["a", "b"])
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+    return run
 
-    Texts whose shingle sets have 100 * intersection >= ``percent`` * union are linked;
-    component_id is the smallest id reachable and kept says that it is the row's own.
-    Defined cases: null, empty and blank texts have no shingles and stand alone; a null id
-    links with nothing, has a null component and is kept; rows that repeat an id with one text
-    share its component, and classes that share their smallest id count as one; ids are integers;
-    other columns are ignored. ``percent`` below 80 would need a larger distance.
-    """
-    if percent < 80:
-        raise ValueError("the signature distance is chosen for a similarity of 0.8 or more")
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    feats = written(source.mapInArrow(_features(n), "id long, n long, h1 long, h2 long, sig binary"), "sets")
-    some = feats.where("n > 0 AND id IS NOT NULL")
-    classes = written(some.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep")), "classes")
-    reps = written(
-        some.join(classes.select(F.col("rep").alias("id"), F.col("n").alias("n0"), F.col("h1").alias("g1")), "id")
-        .where("n = n0 AND h1 = g1").select(F.col("id").alias("rep"), "n", "sig").dropDuplicates(["rep"]),
-        "reps",
-    )
-    by_key = Window.partitionBy("key")
-    keys = reps.select("rep", "sig").mapInArrow(_keys, "key long, rep long")
-    buckets = written(
-        keys.select("key", "rep", F.count("*").over(by_key).alias("size"), F.min("rep").over(by_key).alias("leader")).where("size > 1"), "buckets"
-    )
-    votes = buckets.where("rep != leader").groupBy("rep", "leader").agg(F.count("*").alias("votes"))
-    best = Window.partitionBy("rep").orderBy(F.desc("votes"), "leader")
-    star = (
-        votes.withColumn("r", F.row_number().over(best)).where(F.col("r") <= LEADERS)
-        .select(F.col("leader").alias("a"), F.col("rep").alias("b"))
-    )
-    sizes = reps.select("rep", "n")
+
+def _fetch_sets(nodes: DataFrame, reps: DataFrame, source: DataFrame, n: int) -> DataFrame:
+    """``node, shingles`` of the named nodes, from the text of the row that stands for each."""
+    wanted = written(reps.join(nodes.select("node").distinct(), "node").select("node", "rep", "h1"), "wanted")
+    texts = source.join(wanted, source["id"] == wanted["rep"]).select("node", "h1", "text")
+    sets = written(texts.mapInArrow(_sets(n), "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    remove(wanted)
+    return sets
+
+
+def _leader_links(buckets: DataFrame, reps: DataFrame, source: DataFrame, n: int, percent: int) -> DataFrame:
+    """Confirmed links of nodes with the least members of their buckets, LEADERS pairs a node at most."""
+    votes = buckets.where("node != leader").groupBy("node", "leader").agg(F.count("*").alias("votes"))
+    best = Window.partitionBy("node").orderBy(F.desc("votes"), "leader")  # a node has at most 125 leaders
+    star = votes.withColumn("r", F.row_number().over(best)).where(F.col("r") <= LEADERS)
+    sizes = reps.select("node", "n")
     star = (
-        star.join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
-        .join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a")
+        star.select(F.col("leader").alias("a"), F.col("node").alias("b"))
+        .join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+        .join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
         .where(F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")).select("a", "b")
     )
-    links = _confirmed(written(star, "pairs"), source, n, percent)
-    joined = connected_components(links)
+    star = written(star, "pairs")
+    sets = _fetch_sets(star.select(F.col("a").alias("node")).union(star.select("b")), reps, source, n)
+    one = star.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    two = one.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
+    links = written(two.mapInArrow(_similar(percent), "a long, b long"), "links")
+    remove(star, sets)
+    return links
 
+
+def _cell_links(buckets: DataFrame, joined: DataFrame, reps: DataFrame, source: DataFrame, n: int, percent: int) -> DataFrame:
+    """Confirmed links between the components that ``joined`` leaves apart in a bucket."""
     labelled = (
-        buckets.select("key", "rep", "size").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-        .withColumn("comp", F.coalesce("component", "rep"))
-    )
-    mixed = (
-        labelled.select("key", "rep", "size", "comp", F.min("comp").over(by_key).alias("lo"), F.max("comp").over(by_key).alias("hi"))
-        .where("lo != hi").join(reps, "rep")
+        buckets.select("key", "node").join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     )
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    labelled = written(labelled, "labelled")
+    shares = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    mixed = shares.groupBy("key").agg(F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps"))
+    mixed = written(mixed.where("comps > 1").select("key", F.col("top.comp").alias("main"), F.col("top.c").alias("many"), (F.col("size") - F.col("top.c")).alias("few")), "mixed")
+    rest, main = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("few", "many"))
+    inside = F.col("comp") == F.col("main")
+    deal = F.xxhash64("node")
     dealt = (
-        mixed.withColumn("blk", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "rep", "comp", "blk", "n", "sig")
-        .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+        labelled.join(mixed, "key").join(reps.select("node", "n", "sig"), "node")
+        .withColumn("blk", F.when(inside, rest + F.pmod(deal, main)).otherwise(F.pmod(deal, rest)).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, rest - 1).otherwise(rest + main - 1))))
+        .select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "node", "comp", "blk", "n", "sig")
+        .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     )
-    rest = written(dealt.mapInArrow(_close(percent), "a long, b long").distinct(), "pairs")
-    if rest.limit(1).count():
-        more = _confirmed(rest, source, n, percent)
-        if more.limit(1).count():
-            joined = connected_components(links.unionByName(more))
+    cells = written(dealt.mapInArrow(_members(percent), _CELL_SCHEMA), "cells")
+    remove(labelled, mixed)
+    sets = _fetch_sets(cells, reps, source, n)
+    filled = cells.join(sets, "node").select(*_CELL, "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    links = written(filled.mapInArrow(_spanning(percent), "a long, b long"), "links")
+    remove(cells, sets)
+    return links
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """:func:`near_duplicates` with ``text_hash, set_hash, stays, copies`` for every row of ``docs``.
+
+    ``text_hash`` is xxhash64 of the text and tells rows of one id apart. ``stays`` says that the row
+    is the one of its component to keep: it has the least id and, of several sets with this id, the
+    least ``set_hash``; ``copies`` counts the rows of this id and set, of which one is enough.
+    """
+    if percent < 80:
+        raise ValueError("the signature distance is chosen for a similarity of 0.8 or more")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    feats = source.select("id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        _features(n), "id long, text_hash long, n long, h1 long, h2 long, sig binary"
+    )
+    feats = written(feats, "features")
+    some = feats.where("n > 0 AND id IS NOT NULL")
+    classes = some.groupBy("n", "h1", "h2", "id").agg(F.count("*").alias("copies"), F.first("sig").alias("sig"))
+    classes = classes.groupBy("n", "h1", "h2").agg(F.min(F.struct("id", "copies")).alias("own"), F.first("sig").alias("sig"))
+    reps = written(classes.select(F.monotonically_increasing_id().alias("node"), "n", "h1", "h2", F.col("own.id").alias("rep"), "own.copies", "sig"), "reps")
+
+    keys = reps.select("node", "sig").mapInArrow(_keys, "key long, node long")
+    sizes = written(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where("size > 1").select("key", "leader"), "sizes")
+    buckets = written(keys.join(sizes, "key"), "buckets")
+    remove(sizes)
+    links = _leader_links(buckets, reps, source, n, percent)
+    joined = connected_components(links)
+    more = _cell_links(buckets, joined, reps, source, n, percent)
+    remove(buckets)
+    if not more.isEmpty():
+        remove(joined)
+        joined = connected_components(links.unionByName(more))
+    remove(links, more)
 
     known = written(
-        classes.join(joined, classes["rep"] == joined["node"], "left")
-        .select("n", "h1", "h2", F.coalesce("component", "rep").alias("component")),
-        "known",
-    )
+        reps.join(joined, "node", "left").select("n", "h1", "h2", "rep", "copies", F.coalesce("component", "node").alias("comp")), "known"
+    )
+    remove(joined, reps)
+    first = known.groupBy("comp").agg(F.min(F.struct("rep", "h1", "h2")).alias("first"))
+    named = written(known.join(first, "comp").select("n", "h1", "h2", "rep", "copies", "first"), "named")
+    remove(known)
+    own = F.struct(F.col("id").alias("rep"), "h1", "h2")
     return (
-        feats.select("id", "n", "h1", "h2").join(known, ["n", "h1", "h2"], "left")
+        feats.drop("sig").join(named, ["n", "h1", "h2"], "left")
         .select(
             F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
-            F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
+            F.when(F.col("id").isNotNull(), F.coalesce("first.rep", "id")).alias("component_id"),
+            "text_hash", F.col("h1").alias("set_hash"),
+            (F.col("id").isNull() | F.col("first").isNull() | (own == F.col("first"))).alias("stays"),
+            F.when(F.col("id") == F.col("rep"), F.col("copies")).otherwise(F.lit(1).cast("long")).alias("copies"),
         )
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .select("doc_id", "n_shingles", "component_id", "kept", "text_hash", "set_hash", "stays", "copies")
     )
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+
+    Texts whose shingle sets have 100 * intersection >= ``percent`` * union are linked;
+    component_id is the smallest id reachable and kept says that it is the row's own.
+    Defined cases: null, empty and blank texts have no shingles and stand alone; a null id
+    links with nothing, has a null component and is kept; rows that repeat an id with one text
+    share its component, and those with other texts have their own; ids are integers; no rows give
+    none; other columns are ignored. ``percent`` below 80 would need a larger distance.
+    """
+    return near_groups(docs, id_col, text_col, n, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows and columns of ``docs``, one of each group of near copies.
+
+    Defined cases: texts without words and rows without an id all stay, but rows equal in id and
+    text count as one; rows that repeat an id with unlike texts all stay unless another is near them;
+    an empty table stays empty. Names that begin with ``__nd_`` are taken.
+    """
+    groups = near_groups(docs, id_col, text_col, n, percent)
+    bare = groups.where("n_shingles = 0 AND doc_id IS NOT NULL").groupBy("doc_id", "text_hash", "set_hash").count().where("count > 1")
+    repeated = groups.where("stays AND copies > 1").select("doc_id", "text_hash", "set_hash").distinct()
+    repeated = repeated.unionByName(bare.drop("count"))
+    verdict = groups.where("NOT stays").select("doc_id", "text_hash", F.lit(None).cast("long").alias("set_hash")).distinct().unionByName(repeated)
+    verdict = written(verdict.select(F.col("doc_id").alias("__nd_id"), F.col("text_hash").alias("__nd_text"), F.col("set_hash").alias("__nd_set")), "verdict")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__nd_id")) & (F.xxhash64(text_col) == F.col("__nd_text"))
+    single = docs.join(verdict, same, "left_anti")
+    again = docs.join(verdict.where("__nd_set IS NOT NULL"), same).dropDuplicates(["__nd_id", "__nd_set"])
+    return single.unionByName(again.select(*[F.col(f"`{c}`") for c in docs.columns]))
