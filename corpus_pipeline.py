@@ -25,7 +25,11 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that is known with a score of at least LEAST_SCORE."""
+    """Documents in a language that is known with a score of at least LEAST_SCORE.
+
+    Learned from the labelled rows of ``docs``. Null, empty and letterless texts go; without a
+    labelled row nothing is known, so all go. Equal texts share their fate; all columns pass through.
+    """
     ship(spark)
     model = languages.train(docs, F.lit(True))
     named = languages.identify(docs, model)
@@ -33,21 +37,27 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without repeated windows of lines; n_chars follows the text."""
+    """All documents without repeated windows of three lines; n_chars follows the text.
+
+    A null text stays null (n_chars too), an emptied one is empty; rows equal in id and text count
+    as one document here; ties go to the least id, then text hash, then place.
+    """
     cut = lines.dedup_lines(docs)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five words, a similarity of 0.8 or more."""
+    """One document of each group of near copies: shingles of five words, a similarity of 0.8 or more.
+
+    Rows are told apart by id and text, so that a repeated id with another text stays and an exact
+    repeat goes; texts without words and rows without an id stay. The least id of a group stays.
+    """
     ship(spark)
-    groups = minhash.near_duplicates(docs)
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select(*docs.columns)
+    return minhash.one_of_each(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens."""
+    """Pieces of sequences of 2048 tokens; null texts count as empty, a null source is a queue of its own."""
     ship(spark)
     return packed(docs)
 
@@ -56,7 +66,7 @@ STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after another, each written before the next reads it."""
+    """The stages one after another, each written before the next reads it; an empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
