@@ -1,11 +1,12 @@
 """MinHash near-dedup by a multi-index Hamming join, with exact confirmation.
 
 A document's set is its distinct word shingles. Texts with equal sets form one class, found by a
-pre-aggregated minimum; only class representatives go on. Each has a signature of 125 minhashes,
-of which 16 bits are kept. A pair differs in at most T = 49 places or is no candidate: at a
-similarity of 0.8 the distance is binomial with mean 25, and passes 49 once in 10 million pairs.
-By the pigeonhole principle, two signatures within T have one of the 25 chunks of 5 with at most
-49 // 25 = 1 errors, so each signature is indexed under every chunk with each place left out (125
+pre-aggregated minimum; only class representatives go on. Each has a signature of 100 minhashes,
+of which 16 bits are kept. A pair differs in at most T = 39 places or is no candidate: at a
+similarity of exactly 0.8 the distance is binomial with mean 20, and passes 39 in four of a million
+pairs; above 0.8 the chance falls fast.
+By the pigeonhole principle, two signatures within T have one of the 20 chunks of 5 with at most
+39 // 20 = 1 errors, so each signature is indexed under every chunk with each place left out (100
 keys): all pairs within T share a key.
 
 Inside the buckets no step emits pairs that may fail. First each member is paired with its most
@@ -33,7 +34,7 @@ from stepaudit.llm.arrow import binaries, flat, pieces
 from stepaudit.operators.components import connected_components
 from stepaudit.scratch import remove, written
 
-CHUNKS, WIDTH = 25, 5
+CHUNKS, WIDTH = 20, 5
 PLACES = CHUNKS * WIDTH
 MAX_DISTANCE = 2 * CHUNKS - 1
 #: Members of one bucket that a side of a cell holds.
@@ -140,7 +141,7 @@ def signatures(made: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
-    """The 125 keys of each signature: every chunk with each of its places left out."""
+    """The 100 keys of each signature: every chunk with each of its places left out."""
     x = sig.astype(np.uint64).reshape(len(sig), CHUNKS, WIDTH)
     out = np.empty((len(sig), CHUNKS, WIDTH), np.uint64)
     tag = np.arange(CHUNKS, dtype=np.uint64) * np.uint64(WIDTH)
@@ -338,7 +339,7 @@ def _fetch_sets(nodes: DataFrame, reps: DataFrame, source: DataFrame, n: int) ->
 def _leader_links(buckets: DataFrame, reps: DataFrame, source: DataFrame, n: int, percent: int) -> DataFrame:
     """Confirmed links of nodes with the least members of their buckets, LEADERS pairs a node at most."""
     votes = buckets.where("node != leader").groupBy("node", "leader").agg(F.count("*").alias("votes"))
-    best = Window.partitionBy("node").orderBy(F.desc("votes"), "leader")  # a node has at most 125 leaders
+    best = Window.partitionBy("node").orderBy(F.desc("votes"), "leader")  # a node has at most 100 leaders
     star = votes.withColumn("r", F.row_number().over(best)).where(F.col("r") <= LEADERS)
     sizes = reps.select("node", "n")
     star = (
@@ -369,7 +370,7 @@ def _cell_links(buckets: DataFrame, joined: DataFrame, reps: DataFrame, source:
     inside = F.col("comp") == F.col("main")
     deal = F.xxhash64("node")
     dealt = (
-        labelled.join(mixed, "key").join(reps.select("node", "n", "sig"), "node")
+        labelled.hint("merge").join(mixed, "key").hint("merge").join(reps.select("node", "n", "sig"), "node")
         .withColumn("blk", F.when(inside, rest + F.pmod(deal, main)).otherwise(F.pmod(deal, rest)).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, rest - 1).otherwise(rest + main - 1))))
         .select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "node", "comp", "blk", "n", "sig")
@@ -385,11 +386,11 @@ def _cell_links(buckets: DataFrame, joined: DataFrame, reps: DataFrame, source:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """:func:`near_duplicates` with ``text_hash, set_hash, stays, copies`` for every row of ``docs``.
+    """:func:`near_duplicates` with ``text_hash, set_hash, stays`` for every row of ``docs``.
 
     ``text_hash`` is xxhash64 of the text and tells rows of one id apart. ``stays`` says that the row
     is the one of its component to keep: it has the least id and, of several sets with this id, the
-    least ``set_hash``; ``copies`` counts the rows of this id and set, of which one is enough.
+    least ``set_hash``; of rows that share both, one is enough.
     """
     if percent < 80:
         raise ValueError("the signature distance is chosen for a similarity of 0.8 or more")
@@ -399,13 +400,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     feats = written(feats, "features")
     some = feats.where("n > 0 AND id IS NOT NULL")
-    classes = some.groupBy("n", "h1", "h2", "id").agg(F.count("*").alias("copies"), F.first("sig").alias("sig"))
-    classes = classes.groupBy("n", "h1", "h2").agg(F.min(F.struct("id", "copies")).alias("own"), F.first("sig").alias("sig"))
-    reps = written(classes.select(F.monotonically_increasing_id().alias("node"), "n", "h1", "h2", F.col("own.id").alias("rep"), "own.copies", "sig"), "reps")
+    classes = some.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
+    reps = written(classes.select(F.monotonically_increasing_id().alias("node"), "n", "h1", "h2", "rep", "sig"), "reps")
 
     keys = reps.select("node", "sig").mapInArrow(_keys, "key long, node long")
     sizes = written(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where("size > 1").select("key", "leader"), "sizes")
-    buckets = written(keys.join(sizes, "key"), "buckets")
+    buckets = written(keys.hint("merge").join(sizes, "key"), "buckets")
     remove(sizes)
     links = _leader_links(buckets, reps, source, n, percent)
     joined = connected_components(links)
@@ -417,11 +417,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     remove(links, more)
 
     known = written(
-        reps.join(joined, "node", "left").select("n", "h1", "h2", "rep", "copies", F.coalesce("component", "node").alias("comp")), "known"
+        reps.join(joined, "node", "left").select("n", "h1", "h2", "rep", F.coalesce("component", "node").alias("comp")), "known"
     )
     remove(joined, reps)
     first = known.groupBy("comp").agg(F.min(F.struct("rep", "h1", "h2")).alias("first"))
-    named = written(known.join(first, "comp").select("n", "h1", "h2", "rep", "copies", "first"), "named")
+    named = written(known.join(first, "comp").select("n", "h1", "h2", "first"), "named")
     remove(known)
     own = F.struct(F.col("id").alias("rep"), "h1", "h2")
     return (
@@ -431,10 +431,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.when(F.col("id").isNotNull(), F.coalesce("first.rep", "id")).alias("component_id"),
             "text_hash", F.col("h1").alias("set_hash"),
             (F.col("id").isNull() | F.col("first").isNull() | (own == F.col("first"))).alias("stays"),
-            F.when(F.col("id") == F.col("rep"), F.col("copies")).otherwise(F.lit(1).cast("long")).alias("copies"),
         )
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select("doc_id", "n_shingles", "component_id", "kept", "text_hash", "set_hash", "stays", "copies")
+        .select("doc_id", "n_shingles", "component_id", "kept", "text_hash", "set_hash", "stays")
     )
 
 
@@ -459,9 +458,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     an empty table stays empty. Names that begin with ``__nd_`` are taken.
     """
     groups = near_groups(docs, id_col, text_col, n, percent)
-    bare = groups.where("n_shingles = 0 AND doc_id IS NOT NULL").groupBy("doc_id", "text_hash", "set_hash").count().where("count > 1")
-    repeated = groups.where("stays AND copies > 1").select("doc_id", "text_hash", "set_hash").distinct()
-    repeated = repeated.unionByName(bare.drop("count"))
+    cls = [F.col("doc_id"), F.when(F.col("n_shingles") == 0, F.col("text_hash")).otherwise(F.col("set_hash")).alias("set_hash")]
+    same = groups.where("stays AND doc_id IS NOT NULL").select(*cls, "text_hash").groupBy("doc_id", "set_hash")
+    same = same.agg(F.count("*").alias("c")).where("c > 1")
+    repeated = groups.where("stays").select(*cls, "text_hash").join(same, ["doc_id", "set_hash"]).select("doc_id", "text_hash", "set_hash").distinct()
     verdict = groups.where("NOT stays").select("doc_id", "text_hash", F.lit(None).cast("long").alias("set_hash")).distinct().unionByName(repeated)
     verdict = written(verdict.select(F.col("doc_id").alias("__nd_id"), F.col("text_hash").alias("__nd_text"), F.col("set_hash").alias("__nd_set")), "verdict")
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__nd_id")) & (F.xxhash64(text_col) == F.col("__nd_text"))
