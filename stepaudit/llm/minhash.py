@@ -40,6 +40,8 @@ MAX_DISTANCE = 2 * CHUNKS - 1
 #: Members of one bucket that a side of a cell holds.
 BLOCK = 256
 LEADERS = 2
+#: Places of the bitmap of wanted ids (a power of two), and bytes of a page of it.
+WANTED_BITS, PAGE = 24, 4096
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
@@ -187,16 +189,33 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), PLACES)
 
 
-def _sets(n: int):
-    """Sets of rows (node, h1, text) whose text has the set that h1 names."""
+def _spots(ids: np.ndarray) -> np.ndarray:
+    return (_mix(ids.view(np.uint64)) >> np.uint64(64 - WANTED_BITS)).astype(np.int64)
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bitmap of a task's ids, as its pages that are not empty."""
+    bits = np.zeros(1 << WANTED_BITS, bool)
+    for batch in batches:
+        bits[_spots(batch.column(0).to_numpy())] = True
+    pages = np.packbits(bits).reshape(-1, PAGE)
+    used = np.flatnonzero(pages.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([pages[k].tobytes() for k in used], pa.binary())], names=["page", "bits"])
+
+
+def _sets(n: int, shared):
+    """``id, h1, shingles`` of rows (id, text) whose id the shared bitmap may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(shared.value, np.uint8)).view(bool)
         for batch in batches:
-            data, offsets = flat(batch.column(2))
+            batch = batch.filter(pa.array(bits[_spots(batch.column(0).to_numpy())]))
+            if not len(batch):
+                continue
+            data, offsets = flat(batch.column(1))
             for i, j in pieces(offsets):
                 sets, at = _sorted_sets(*shingles(data, offsets[i : j + 1], n))
-                own = pa.array(_set_hashes(sets, at)[0] == batch.column(1)[i:j].to_numpy())
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j].filter(own), binaries(sets, at).filter(own)], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(_set_hashes(sets, at)[0]), binaries(sets, at)], names=["id", "h1", "shingles"])
 
     return run
 
@@ -328,11 +347,21 @@ def _spanning(percent: int):
 
 
 def _fetch_sets(nodes: DataFrame, reps: DataFrame, source: DataFrame, n: int) -> DataFrame:
-    """``node, shingles`` of the named nodes, from the text of the row that stands for each."""
-    wanted = written(reps.join(nodes.select("node").distinct(), "node").select("node", "rep", "h1"), "wanted")
-    texts = source.join(wanted, source["id"] == wanted["rep"]).select("node", "h1", "text")
-    sets = written(texts.mapInArrow(_sets(n), "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    """``node, shingles`` of the named nodes, from the text of the row that stands for each.
+
+    A bitmap of the wanted ids, of fixed size, goes to all tasks, so that as a rule only wanted sets
+    are made and shuffled; what it lets through beside them falls out in the join.
+    """
+    wanted = written(reps.join(nodes.select("node").distinct(), "node").select("node", F.col("rep").alias("id"), "h1"), "wanted")
+    marks = wanted.select("id").mapInArrow(_marks, "page long, bits binary")
+    pages = np.zeros(((1 << WANTED_BITS) // 8 // PAGE, PAGE), np.uint8)
+    for r in marks.groupBy("page").agg(F.expr("bitmap_or_agg(bits)").alias("bits")).collect():  # no more rows than pages
+        pages[r.page] = np.frombuffer(r.bits, np.uint8)[:PAGE]
+    shared = source.sparkSession.sparkContext.broadcast(pages.tobytes())
+    made = source.where("id IS NOT NULL").mapInArrow(_sets(n, shared), "id long, h1 long, shingles binary").dropDuplicates(["id", "h1"])
+    sets = written(made.hint("merge").join(wanted, ["id", "h1"]).select("node", "shingles"), "sets")
     remove(wanted)
+    shared.unpersist()
     return sets
 
 
