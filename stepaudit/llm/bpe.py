@@ -2,12 +2,12 @@
 
 Each task sends its distinct words once, in groups of documents, as byte strings; Spark's
 ``aggregate`` folds the ranked merges over the bytes of every such word, with the ranks as a
-literal table by pairs of ids; the documents then look their words'
-ids up and are decoded by concatenating the ids' binary pieces. Nothing is shuffled, and no table
-of words is gathered: a task holds the words it has met, up to a bound after which it starts anew.
+literal table by pairs of ids, and joins the folded ids' binary pieces from a literal list. The
+documents then look their words' ids and bytes up. Nothing is shuffled, and no table of words is
+gathered: a task holds the words it has met, up to a bound after which it starts anew.
 
 A fold costs the square of a word's length, so a word of over ``FOLD_BYTES`` bytes (one unbroken
-run of letters, say) is merged by the worker with a heap instead.
+run of that many letters, say) is merged by the worker with a heap instead; figures in the README.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +28,17 @@ from pyspark.sql import types as T
 
 from stepaudit.llm.pretokens import Splitter
 
-FOLD_BYTES = 512
+FOLD_BYTES = 4096
 #: Distinct words that a task holds before it starts anew.
-HELD_WORDS = 400_000
+HELD_WORDS = 300_000
 #: Characters of text that go to the fold as one row.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 500_000
 #: Primes whose product passes every key of two 16-bit ids.
 BUCKETS, SLOT_PRIME = 65_521, 131_071
-#: Above every id.
-_NONE = 0xFFFF
+#: Above every id; an empty slot holds key 0 without a rank, which is wrong for no key.
+_NONE, _EMPTY = 0xFFFF, 0xFFFF
+#: Marks a merged piece until it is removed.
+_GONE = -1
 
 
 @cache
@@ -90,12 +93,12 @@ def _pair_table(path: str) -> tuple[list[int], list[int]]:
                 buckets.setdefault(key % BUCKETS, []).append((key, rank))
     spread = 2 * pairs + 1
     rng = np.random.default_rng(7)
-    slots = [-1] * (spread + SLOT_PRIME)
+    slots = [_EMPTY] * (spread + SLOT_PRIME)
     offset = [0] * BUCKETS
     for bucket, held in sorted(buckets.items(), key=lambda kv: -len(kv[1])):
         spots = [key % SLOT_PRIME for key, _ in held]
         at = int(rng.integers(spread))
-        while any(slots[at + x] >= 0 for x in spots):
+        while any(slots[at + x] != _EMPTY for x in spots):
             at = int(rng.integers(spread))
         offset[bucket] = at
         for x, (key, rank) in zip(spots, held, strict=True):
@@ -104,24 +107,26 @@ def _pair_table(path: str) -> tuple[list[int], list[int]]:
 
 
 class RankMap:
-    """The ranks as literals of a plan."""
+    """The ranks and the pieces as literals of a plan.."""
 
     def __init__(self, path: str):
-        longs = T.ArrayType(T.LongType())
         ranks = load_ranks(path)
         offset, slots = _pair_table(path)
-        self.byte, self.offset, self.slots = (F.from_json(F.lit(json.dumps(x)), longs) for x in ([ranks[bytes([b])] for b in range(256)], offset, slots))
+        pieces = [""] * (max(ranks.values()) + 1)
+        for piece, rank in ranks.items():
+            pieces[rank] = piece.decode("latin-1")
 
-    def rank(self, left: Column, right: Column) -> Column:
-        """The rank of two ids side by side, _NONE without one or where an id is null."""
-
-        def slot(key: Column) -> Column:
-            return F.get(self.slots, (key % SLOT_PRIME + F.get(self.offset, (key % BUCKETS).cast("int"))).cast("int"))
+        def literal(values: list, kind: T.DataType) -> Column:
+            return F.from_json(F.lit(json.dumps(values)), T.ArrayType(kind))
 
-        def found(key: Column) -> Column:
-            return _with(slot(key), lambda s: F.when(F.shiftright(s, 16) == key, s.bitwiseAND(0xFFFF)).otherwise(F.lit(_NONE).cast("long")))
+        self.byte, self.slots = literal([ranks[bytes([b])] for b in range(256)], T.LongType()), literal(slots, T.LongType())
+        self.offset, self.pieces = literal(offset, T.LongType()), literal(pieces, T.StringType())
 
-        return _with(left.cast("long") * 65536 + right, found)
+    def rank(self, left: Column, right: Column) -> Column:
+        """The rank of two ids side by side, _NONE without one or where an id is null."""
+        key = F.shiftleft(left, 16) + right
+        slot = F.get(self.slots, (key % SLOT_PRIME + F.get(self.offset, (key % BUCKETS).cast("int"))).cast("int"))
+        return F.least(F.lit(_NONE).cast("long"), slot.bitwiseXOR(F.shiftleft(key, 16)))  # equal keys leave the rank alone
 
 
 def _with(value: Column, use) -> Column:
@@ -132,45 +137,60 @@ def _with(value: Column, use) -> Column:
 def fold_merges(word: Column, ranks: RankMap) -> Column:
     """Ids of a word (an array of its bytes), by folding the ranked merges over them.
 
-    A piece is one number: the rank of the pair that it begins, 16 bits; its place in the word, 10;
+    A piece is one number: the rank of the pair that it begins, 16 bits; its place in the word, 30;
     its id, 16. So the least number is the lowest rank, and of equal ranks the leftmost, and as an
     id is a rank, it also names the merged piece.
     """
-    low = (1 << 26) - 1
+    low, none = (1 << 46) - 1, _NONE << 46
+    place = low - 0xFFFF
 
     def piece_id(x: Column) -> Column:
         return x.bitwiseAND(0xFFFF)
 
     def join(s: Column, m: Column, i: Column) -> Column:
         """Pieces with the i-th (from 1), which is m, and the next merged."""
-        made = F.shiftright(m, 26)
-        own = F.shiftleft(ranks.rank(made, piece_id(F.get(s, i + 1))), 26) + made + m.bitwiseAND(0x3FF0000)
-        left = F.get(s, i - 2)
-        before = F.shiftleft(ranks.rank(piece_id(left), made), 26) + left.bitwiseAND(low)
-        return F.when(
-            i > 1, F.concat(F.slice(s, F.lit(1), i - 2), F.array(before, own), F.slice(s, i + 2, F.size(s)))
-        ).otherwise(F.concat(F.array(own), F.slice(s, F.lit(3), F.size(s))))
+        made = F.shiftright(m, 46)
+
+        def piece(x: Column, j: Column) -> Column:
+            own = F.shiftleft(ranks.rank(made, piece_id(F.get(s, i + 1))), 46) + made + m.bitwiseAND(place)
+            before = F.shiftleft(ranks.rank(piece_id(x), made), 46) + x.bitwiseAND(low)
+            return F.when((j > i) | (j < i - 2), x).when(j == i, F.lit(_GONE)).when(j == i - 1, own).otherwise(before)
+
+        return F.array_remove(F.transform(s, piece), F.lit(_GONE))
 
     def step(s: Column, _: Column) -> Column:
-        return _with(F.array_min(s), lambda m: F.when(m >= (_NONE << 26), s).otherwise(_with(F.array_position(s, m).cast("int"), lambda i: join(s, m, i))))
+        return _with(F.array_min(s), lambda m: F.when(m >= none, s).otherwise(_with(F.array_position(s, m).cast("int"), lambda i: join(s, m, i))))
 
     ids = F.transform(word, lambda b: F.get(ranks.byte, b))
-    start = _with(ids, lambda w: F.transform(w, lambda x, i: F.shiftleft(ranks.rank(x, F.get(w, i + 1)), 26) + F.shiftleft(i.cast("long"), 16) + x))
+    start = _with(ids, lambda w: F.transform(w, lambda x, i: F.shiftleft(ranks.rank(x, F.get(w, i + 1)), 46) + F.shiftleft(i.cast("long"), 16) + x))
     folded = F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(word), F.lit(2))), start, step)
     return F.transform(folded, lambda x: piece_id(x).cast("int"))
 
 
+def decoded(ids: Column, ranks: RankMap) -> Column:
+    """The binary pieces of ids, one after another."""
+    return F.encode(F.array_join(F.transform(ids, lambda x: F.get(ranks.pieces, x)), ""), "ISO-8859-1")
+
+
+class _Places(dict):
+    """Numbers for words in the order in which they are first met."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 def _group(pattern: str):
     """Rows of whole documents: ids, their words as places in the task's word list, and the new words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, place = Splitter(pattern), {}
+        split, place = Splitter(pattern), _Places()
         ids: list = []
         idx: list[bytes] = []
-        new: list[bytes] = []
-        restart, chars = True, 0
+        restart, chars, sent = True, 0, 0
 
         def row() -> pa.RecordBatch:
+            new = [w.encode() for w in islice(place, sent, None)]
             short = [w if len(w) <= FOLD_BYTES else b"" for w in new]
             long = [b"" if len(w) <= FOLD_BYTES else w for w in new]
             ends = np.cumsum([0, *map(len, short)]).astype(np.int32)
@@ -181,23 +201,18 @@ def _group(pattern: str):
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = split(text.as_py() or "")
-                spots = np.empty(len(words), np.int32)
-                for k, w in enumerate(words):
-                    p = place.get(w)
-                    if p is None:
-                        p = place[w] = len(place)
-                        new.append(w.encode())
-                    spots[k] = p
+                whole = text.as_py() or ""
+                words = split(whole)
                 ids.append(key)
-                idx.append(spots.tobytes())
-                chars += sum(map(len, words))
+                idx.append(np.fromiter(map(place.__getitem__, words), np.int32, len(words)).tobytes())
+                chars += len(whole)
                 if chars >= GROUP_CHARS or len(place) >= HELD_WORDS:
                     yield row()
-                    restart = len(place) >= HELD_WORDS
+                    sent, restart = len(place), len(place) >= HELD_WORDS
                     if restart:
                         place.clear()
-                    ids, idx, new, chars = [], [], [], 0
+                        sent = 0
+                    ids, idx, chars = [], [], 0
         if ids:
             yield row()
 
@@ -218,12 +233,14 @@ def _assemble(path: str, with_ids: bool):
                 if restart:
                     text, count, back = [], [], []
                 words = batch.column(4)[r].values
-                made, ends = words.flatten().to_pylist(), (words.offsets.to_numpy() - words.offsets[0].as_py()).tolist()
-                for k, (i, j) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-                    own = merge_long(long[k], ranks) if long and long[k] else made[i:j]
-                    text.append(",".join(map(digits.__getitem__, own)))
-                    count.append(len(own))
-                    back.append(b"".join(map(pieces.__getitem__, own)))
+                made, ends = list(map(digits.__getitem__, words.flatten().to_pylist())), (words.offsets.to_numpy() - words.offsets[0].as_py()).tolist()
+                first = len(text)
+                text += [",".join(made[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+                count += [j - i for i, j in zip(ends[:-1], ends[1:], strict=True)]
+                back += batch.column(5)[r].as_py()
+                for k in (k for k, w in enumerate(long) if w):
+                    own = merge_long(long[k], ranks)
+                    text[first + k], count[first + k], back[first + k] = ",".join(map(digits.__getitem__, own)), len(own), b"".join(map(pieces.__getitem__, own))
                 counts = np.array(count, np.int64)
                 n, s1, s2, kept = [], [], [], []
                 for spots in idx:
@@ -256,5 +273,6 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
         _group(pattern), "restart boolean, ids array<long>, idx array<binary>, long array<binary>, short array<array<int>>"
     )
     folded = grouped.select("restart", "ids", "idx", "long", F.transform("short", lambda w: fold_merges(w, table)).alias("folded"))
+    folded = folded.select("*", F.transform("folded", lambda w: decoded(w, table)).alias("bytes"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
     return folded.mapInArrow(_assemble(ranks_path, with_ids), schema)
