@@ -30,7 +30,7 @@ from stepaudit.llm.pretokens import Splitter
 
 FOLD_BYTES = 4096
 #: Distinct words that a task holds before it starts anew.
-HELD_WORDS = 300_000
+HELD_WORDS = 450_000
 #: Characters of text that go to the fold as one row.
 GROUP_CHARS = 500_000
 #: Primes whose product passes every key of two 16-bit ids.
