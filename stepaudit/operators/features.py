@@ -16,11 +16,32 @@ def part(content: Column) -> Column:
     return F.substring(F.regexp_replace(F.coalesce(content, F.lit("")), ANSWER, OMITTED), 1, PART_CHARS)
 
 
-def adapt(messages: DataFrame) -> DataFrame:
+def calls_of(messages: DataFrame) -> Column:
+    """Tool calls of assistants; those of other roles, and a null array, are none."""
+    kind = messages.schema["tool_calls"].dataType
+    return F.when(F.col("role") == "assistant", F.coalesce("tool_calls", F.array().cast(kind))).otherwise(F.array().cast(kind))
+
+
+def unsupported(messages: DataFrame) -> DataFrame:
+    """``run_id, msg_index, reason`` of the first message of a run whose role is unknown or null; such a run has no steps."""
+    bad = messages.where(~F.coalesce(F.col("role").isin([*ROLES, "system"]), F.lit(False)))
+    return bad.groupBy("run_id").agg(F.min("msg_index").alias("msg_index")).withColumn("reason", F.lit("unsupported-role"))
+
+
+def adapt(messages: DataFrame, exclude_final: bool = False) -> DataFrame:
     """Steps of messages ``run_id, msg_index, role, content[, tool_calls]``: user is task, tool is tool_result.
 
-    System messages give no step. Every tool call is a step after its message. ``pos`` counts from 1.
+    System messages give no step. Every tool call of an assistant is a step after its message. A run
+    with a role that :func:`unsupported` names is left out whole. ``exclude_final`` ends a run before
+    its last assistant message and leaves answer tags out. ``pos`` counts from 1.
     """
+    run = Window.partitionBy("run_id")
+    known = F.coalesce(F.col("role").isin([*ROLES, "system"]), F.lit(False))
+    messages = messages.withColumn("__ok", F.every(known).over(run)).where("__ok").drop("__ok")
+    if exclude_final:
+        last = F.max(F.when(F.col("role") == "assistant", F.col("msg_index"))).over(run)
+        messages = messages.withColumn("__last", F.coalesce(last, F.lit(-1))).where("msg_index < __last").drop("__last")
+        messages = messages.withColumn("content", F.regexp_replace("content", ANSWER, OMITTED))
     kind = F.when(F.col("role") == "user", "task").when(F.col("role") == "assistant", "assistant").when(F.col("role") == "tool", "tool_result")
     first = F.concat(F.lit("m"), "msg_index")
     none = F.lit(None).cast("string")
@@ -28,9 +49,9 @@ def adapt(messages: DataFrame) -> DataFrame:
                            (F.col("name") if "name" in messages.columns else none).alias("tool"), (F.col("tool_call_id") if "tool_call_id" in messages.columns else none).alias("call_id")))
     steps = own
     if "tool_calls" in messages.columns:
-        calls = F.transform(F.coalesce("tool_calls", F.array()), lambda c, j: F.struct(
-            F.concat(first, F.lit("-call"), j).alias("id"), F.lit("tool_call").alias("kind"), c["function"]["arguments"].alias("content"),
-            c["function"]["name"].alias("tool"), F.coalesce(c["id"], F.concat(first, F.lit("-call"), j)).alias("call_id")))
+        calls = F.transform(calls_of(messages), lambda c, j: F.struct(
+            F.concat(first, F.lit("-call"), j).alias("id"), F.lit("tool_call").alias("kind"), F.coalesce(c["function"]["arguments"], F.lit("")).alias("content"),
+            c["function"]["name"].alias("tool"), F.coalesce(F.nullif(c["id"], F.lit("")), F.concat(first, F.lit("-call"), j)).alias("call_id")))
         steps = F.concat(own, calls)
     out = messages.where(kind.isNotNull()).select("run_id", "msg_index", F.posexplode(steps).alias("j", "s")).select("run_id", "msg_index", "j", "s.*")
     place = F.row_number().over(Window.partitionBy("run_id").orderBy("msg_index", "j"))
@@ -45,7 +66,7 @@ def prefix_features(messages: DataFrame) -> DataFrame:
     """
     text = F.concat("role", F.lit(" "), part(F.col("content")))
     if "tool_calls" in messages.columns:
-        calls = F.transform(F.coalesce("tool_calls", F.array()), lambda c: F.concat(c["function"]["name"], F.lit(" "), F.substring(F.coalesce(c["function"]["arguments"], F.lit("")), 1, PART_CHARS)))
+        calls = F.transform(calls_of(messages), lambda c: F.concat(F.coalesce(c["function"]["name"], F.lit("")), F.lit(" "), F.substring(F.coalesce(c["function"]["arguments"], F.lit("")), 1, PART_CHARS)))
         text = F.array_join(F.concat(F.array(text), calls), "\n")
     slot = F.when(F.col("role").isin(ROLES), text)
     run = Window.partitionBy("run_id")

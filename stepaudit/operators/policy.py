@@ -33,22 +33,34 @@ def exceeds(score: Column, threshold: Column) -> Column:
     return F.coalesce(~F.isnan(score) & (score > threshold) & (F.abs(score - threshold) > TIE), F.lit(False))
 
 
-def gate(samples: DataFrame) -> DataFrame:
+def invalid_rows(samples: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Rows that the gate must refuse, with ``reason``: another split, an unknown group, label or score."""
+    score = F.col("score")
+    reason = (
+        F.when(~F.col("split").eqNullSafe("validation"), "not-validation")
+        .when(~F.coalesce(F.col("label").isin(-1, 0, 1), F.lit(False)), "label").when(F.col("rule").isNull(), "rule")
+        .when(F.isnan(score) | (score < 0) | (score > 1), "score")
+    )
+    if groups is not None:
+        frozen = F.broadcast(groups.select(F.col("grp").alias("__g")).distinct())
+        samples = samples.join(frozen, F.col("grp") == F.col("__g"), "left")
+        reason = F.coalesce(reason, F.when(F.col("__g").isNull(), "unknown-group"))
+    return samples.withColumn("reason", reason).where("reason IS NOT NULL").drop("__g")
+
+
+def gate(samples: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """One row for each threshold: the model's and the combined counts, ``eligible`` and ``selected``.
 
-    ``samples`` has ``subset, label, rule, score``. One aggregation by subset of fixed width counts
-    every policy; only rows by subset are compared with the rules' false positives.
+    ``samples`` has ``split, grp, subset, label, rule, score``; any row but a valid one of the
+    validation split makes it raise (see :func:`invalid_rows`), as does an empty table. One
+    aggregation by subset of fixed width counts every policy; only rows by subset are compared with
+    the rules' false positives.
     """
-    at = F.explode(F.array(*map(F.lit, THRESHOLDS))).alias("threshold")
-    counted = [F.count_if(F.lit(True)).alias("n")]
-    base, by = F.col("rule"), samples.select("subset", "label", "rule", "score", at).withColumn("model", exceeds(F.col("score"), F.col("threshold")))
-    for name, flag in (("rules", base), ("model", F.col("model")), ("both", base | F.col("model"))):
-        counted += [
-            F.count_if(flag & (F.col("label") == -1)).alias(f"{name}_tp"), F.count_if(flag & (F.col("label") != -1)).alias(f"{name}_fp"),
-            F.count_if(flag & (F.col("label") == 0)).alias(f"{name}_neutral"),
-        ]
-    counted.append(F.count_if(F.col("label") == -1).alias("bad"))
-    subsets = by.groupBy("threshold", "subset").agg(*counted)
+    if (bad := invalid_rows(samples, groups).select("reason").first()) is not None:
+        raise ValueError(f"only valid validation rows of frozen groups may choose a threshold: {bad.reason}")
+    if samples.isEmpty():
+        raise ValueError("there are no validation rows")
+    subsets = policies(samples)
     sums = [F.sum(c).alias(c) for c in subsets.columns if c not in ("threshold", "subset")]
     fits = F.every((F.col("model_fp") <= F.col("rules_fp")) & (F.col("both_fp") <= F.col("rules_fp"))).alias("fits")
     total = subsets.groupBy("threshold").agg(*sums, fits)
@@ -62,10 +74,86 @@ def gate(samples: DataFrame) -> DataFrame:
     )
 
 
+def policies(samples: DataFrame) -> DataFrame:
+    """Counts by threshold and subset of the policies rules, model and both: tp, fp, neutral and positive fp."""
+    at = F.explode(F.array(*map(F.lit, THRESHOLDS))).alias("threshold")
+    counted = [F.count_if(F.lit(True)).alias("n")]
+    base, by = F.col("rule"), samples.select("subset", "label", "rule", "score", at).withColumn("model", exceeds(F.col("score"), F.col("threshold")))
+    for name, flag in (("rules", base), ("model", F.col("model")), ("both", base | F.col("model"))):
+        counted += [
+            F.count_if(flag & (F.col("label") == -1)).alias(f"{name}_tp"), F.count_if(flag & (F.col("label") != -1)).alias(f"{name}_fp"),
+            F.count_if(flag & (F.col("label") == 0)).alias(f"{name}_neutral"), F.count_if(flag & (F.col("label") == 1)).alias(f"{name}_positive"),
+        ]
+    counted.append(F.count_if(F.col("label") == -1).alias("bad"))
+    return by.groupBy("threshold", "subset").agg(*counted)
+
+
+def baselines(samples: DataFrame) -> DataFrame:
+    """Confusion and rates of the policies that need no model: ``rules`` and ``never_flag``."""
+    made = samples.select("label", F.explode(F.array(F.struct(F.lit("rules").alias("policy"), F.coalesce("rule", F.lit(False)).alias("flag")),
+                                                     F.struct(F.lit("never_flag").alias("policy"), F.lit(False).alias("flag")))).alias("x")).select("label", "x.*")
+    return with_rates(made.groupBy("policy").agg(*confusion(F.col("flag"), F.col("label"))))
+
+
+def measure(samples: DataFrame, predicted: Column) -> DataFrame:
+    """``mask, part, steps, flags, false_positives, false_positive_rate`` of neutral, positive and every subset.
+
+    The rate is null where a mask has no row that should stay unflagged.
+    """
+    flag, bad = F.coalesce(predicted, F.lit(False)), F.col("label") == -1
+    aggs = [
+        F.count("*").alias("steps"), F.count_if(flag).alias("flags"), F.count_if(flag & ~bad).alias("false_positives"),
+        F.try_divide(F.count_if(flag & ~bad).cast("double"), F.count_if(~bad).cast("double")).alias("false_positive_rate"),
+    ]
+    masks = F.array_compact(F.array(
+        F.when(F.col("label") == 0, F.struct(F.lit("label").alias("mask"), F.lit("neutral").alias("part"))),
+        F.when(F.col("label") == 1, F.struct(F.lit("label").alias("mask"), F.lit("positive").alias("part"))),
+        F.struct(F.lit("subset").alias("mask"), F.col("subset").alias("part")),
+    ))
+    return samples.withColumn("m", F.explode(masks)).groupBy("m.mask", "m.part").agg(*aggs)
+
+
+def filled_confusion(samples: DataFrame, groups: DataFrame, predicted: Column) -> DataFrame:
+    """Confusion and rates of every frozen group, zeros for those without a sample."""
+    counts = samples.groupBy("grp").agg(*confusion(F.coalesce(predicted, F.lit(False)), F.col("label")))
+    every = groups.select("grp").distinct().join(counts, "grp", "left")
+    return with_rates(every.na.fill(0, ["tp", "fp", "fn", "tn"]))
+
+
+def first_errors(samples: DataFrame, order: list[str], predicted: Column, n: int = 12) -> DataFrame:
+    """The first ``n`` samples, in ``order``, whose prediction is wrong, with ``prediction``."""
+    flag = F.coalesce(predicted, F.lit(False))
+    wrong = samples.where(flag != (F.col("label") == -1))
+    return wrong.withColumn("prediction", F.when(flag, "flag").otherwise("no_flag")).orderBy(*order).limit(n)
+
+
+def label_counts(samples: DataFrame) -> DataFrame:
+    """``what, part, n``: labels (in numeric order), splits and reasons, each counted."""
+    parts = F.array_compact(F.array(
+        F.struct(F.lit("label").alias("what"), F.col("label").cast("string").alias("part")), F.struct(F.lit("split").alias("what"), F.col("split").alias("part")),
+        F.when(F.col("support_reason").isNotNull(), F.struct(F.lit("reason").alias("what"), F.col("support_reason").alias("part"))),
+    ))
+    return samples.select(F.explode(parts).alias("x")).groupBy("x.what", "x.part").agg(F.count("*").alias("n")).orderBy("what", F.expr("try_cast(part AS INT)"), "part")
+
+
+def report_totals(report: DataFrame) -> DataFrame:
+    """``average, precision, recall, f1, support`` of a class report: macro and weighted means."""
+    n, w = F.col("support"), F.sum("support")
+    made = [F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")] + [share(F.sum(F.col(c) * n), w).alias(f"weighted_{c}") for c in ("precision", "recall", "f1")]
+    one = report.agg(*made, w.alias("support"))
+    return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("average"), *[F.col(f"{a}_{c}").alias(c) for c in ("precision", "recall", "f1")], "support") for a in ("macro", "weighted")])).alias("x")).select("x.*")
+
+
+def accuracy(samples: DataFrame) -> DataFrame:
+    """``accuracy, support`` over all samples with a prediction."""
+    return samples.agg(share(F.count_if(F.col("label") == F.col("predicted")), F.count("*")).alias("accuracy"), F.count("*").alias("support"))
+
+
 def coverage(samples: DataFrame) -> DataFrame:
-    """Steps, groups and supported steps by split, label and subset, and their totals.
+    """Steps, groups, supported and unsupported ones by split, label and subset, and their totals.
 
-    Built as grouping sets; ``label`` and ``subset`` are null in totals.
+    Built as grouping sets; ``label`` and ``subset`` are null in totals. A group with samples of both
+    kinds counts on both sides.
     """
     sets = [["split"], ["split", "label"], ["split", "subset"], ["split", "label", "subset"]]
     cols = [F.col(c) for c in ("split", "label", "subset")]
@@ -73,6 +161,7 @@ def coverage(samples: DataFrame) -> DataFrame:
     return samples.groupingSets([[F.col(c) for c in s] for s in sets], *cols).agg(
         F.count("*").alias("steps"), F.count_distinct("grp").alias("groups"), F.count_if(supported).alias("supported"),
         F.count_distinct(F.when(supported, F.col("grp"))).alias("supported_groups"),
+        F.count_if(~supported).alias("unsupported"), F.count_distinct(F.when(~supported, F.col("grp"))).alias("unsupported_groups"),
     )
 
 

@@ -18,6 +18,21 @@ ERROR = rf"(?i)(?<![A-Za-z0-9_])(?:{'|'.join(WHOLE_WORDS)})(?![A-Za-z0-9_])|(?i:
 _AROUND = r"[^\n\r\x{2028}\x{2029}]{0,45}"
 SNIPPET = rf"(?i){_AROUND}(?:{'|'.join(WHOLE_WORDS + PHRASES)}){_AROUND}"
 REPEATS = 3
+#: The rules in the order in which a step emits them, their titles and their caveats.
+TITLES = {
+    "repeated_call": "Repeated identical tool call",
+    "unmatched_result": "Result without preceding matching call",
+    "tool_error": "Tool result reports a possible error",
+    "missing_result": "Call without matching result",
+}
+CAVEATS = {
+    "repeated_call": "Retries, polling, or deliberate verification can be valid. Repetition alone does not establish a mistake.",
+    "unmatched_result": "The export may omit calls or use a different identifier convention.",
+    "tool_error": "Expected failures, quoted error text, and useful exploration can be benign. Review the surrounding steps.",
+    "missing_result": "The log may be incomplete or this tool may not emit a result.",
+}
+SEVERITY = "review"
+BY_STATUS = "status error"
 
 
 def _queue(steps: DataFrame) -> DataFrame:
@@ -29,7 +44,7 @@ def _queue(steps: DataFrame) -> DataFrame:
     """
     whole = Window.partitionBy("run_id", "call_id")
     order = whole.orderBy("pos")
-    live = F.col("call_id").isNotNull()
+    live = F.coalesce(F.col("call_id") != "", F.lit(False))
     call, result = live & (F.col("kind") == "tool_call"), live & (F.col("kind") == "tool_result")
     x = F.when(call, 1).when(result, -1).otherwise(0)
     s = steps.withColumn("s", F.sum(x).over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -42,12 +57,12 @@ def _queue(steps: DataFrame) -> DataFrame:
 
 
 def flags(steps: DataFrame, safe: Column | None = None) -> DataFrame:
-    """``run_id, pos, step_id, rule, evidence, phase, place`` of every flag.
+    """``run_id, pos, step_id, rule, evidence, phase, place, ordinal`` of every flag.
 
     ``steps`` has ``run_id, pos, id, kind, content, tool, call_id, status``; ``safe`` is the redacted
-    content for snippets. Flags of a run are in order by ``phase, place, pos``: missing results come
-    after all others, by the first step of their call id. Steps without a call id are not matched;
-    a null content or tool counts as empty.
+    content for snippets. Flags of a run are in order by ``phase, place, ordinal, pos``: missing results
+    come after all others, by the first step of their call id. Steps without a call id, or with an
+    empty one, are not matched; a null content or tool counts as empty.
     """
     content = F.coalesce("content", F.lit(""))
     same = Window.partitionBy("run_id", "kind", "signature").orderBy("pos")
@@ -65,19 +80,49 @@ def flags(steps: DataFrame, safe: Column | None = None) -> DataFrame:
     found = F.array_compact(F.array(
         flag((F.col("kind") == "tool_call") & (F.col("nth") == REPEATS), "repeated_call", F.array_join("ids", ", "), 0, pos),
         flag(F.col("unmatched"), "unmatched_result", F.col("call_id"), 0, pos),
-        flag(result & (by_status | content.rlike(ERROR)), "tool_error", F.when(by_status, F.lit("status error")).otherwise(snippet), 1, pos),
+        flag(result & (by_status | content.rlike(ERROR)), "tool_error", F.when(by_status, F.lit(BY_STATUS)).otherwise(snippet), 1, pos),
         flag(F.col("missing"), "missing_result", F.col("call_id"), 2, F.col("first_pos")),
     ))
     out = made.select("run_id", "pos", F.col("id").alias("step_id"), F.explode(found).alias("f")).select("run_id", "pos", "step_id", "f.*")
     order = F.when(F.col("phase") == 2, F.col("place")).otherwise(F.col("pos"))
-    return out.withColumns({"place": order, "phase": F.when(F.col("phase") == 2, 1).otherwise(0)})
+    ordinal = F.array_position(F.array(*map(F.lit, TITLES)), F.col("rule")).cast("int")
+    return out.withColumns({"place": order, "phase": F.when(F.col("phase") == 2, 1).otherwise(0), "ordinal": ordinal})
+
+
+def _by_rule(values: dict[str, Column]) -> Column:
+    return F.coalesce(*[F.when(F.col("rule") == rule, v) for rule, v in values.items()])
+
+
+def records(found: DataFrame) -> DataFrame:
+    """Flags as a reviewer reads them: ``flag_id, severity, title, sentence, uncertainty`` are added."""
+    e = F.col("evidence")
+    sentence = _by_rule(
+        {
+            "repeated_call": F.concat(F.lit("The same tool and input appear at steps "), e, F.lit(".")),
+            "unmatched_result": F.concat(F.lit("Result references call_id "), e, F.lit(", with no unmatched preceding call.")),
+            "tool_error": F.when(e == BY_STATUS, 'The result has status "error".').otherwise(F.concat(F.lit("Matched error-like text: "), e)),
+            "missing_result": F.concat(F.lit("No later tool result matches call_id "), e, F.lit(".")),
+        }
+    )
+    return found.withColumns(
+        {
+            "flag_id": F.concat_ws(":", "rule", "step_id"), "severity": F.lit(SEVERITY), "title": _by_rule({k: F.lit(v) for k, v in TITLES.items()}),
+            "sentence": sentence, "uncertainty": _by_rule({k: F.lit(v) for k, v in CAVEATS.items()}),
+        }
+    )
 
 
 def timeline(steps: DataFrame, found: DataFrame, kind: str | None = None, flagged: bool = False, text: str = "") -> DataFrame:
-    """Steps of a kind, with a flag, that hold ``text`` in id, content, tool or rules, in lower case."""
-    rules = found.groupBy("run_id", "pos").agg(F.array_join(F.sort_array(F.collect_list("rule")), " ").alias("rules"), F.count("*").alias("n_flags"))
-    out = (steps if kind is None else steps.where(F.col("kind") == kind)).join(rules, ["run_id", "pos"], "inner" if flagged else "left")
-    words = F.concat_ws(" ", "id", "content", F.coalesce("tool", F.lit("")), F.coalesce("rules", F.lit("")))
+    """Redacted steps of a kind, with a flag, that hold ``text`` in id, content, tool or flag titles, in lower case.
+
+    ``steps`` are those to be shown (see :func:`stepaudit.operators.redact.redact_steps`); flags are
+    matched by position, as redacted ids may collide. ``titles`` are in the order of emission.
+    """
+    named = found.select("run_id", "pos", F.struct("phase", "place", "ordinal", "pos", _by_rule({k: F.lit(v) for k, v in TITLES.items()}).alias("title")).alias("t"))
+    per_step = named.groupBy("run_id", "pos").agg(F.sort_array(F.collect_list("t")).alias("t"), F.count("*").alias("n_flags"))  # four flags a step at most
+    per_step = per_step.select("run_id", "pos", F.array_join(F.col("t.title"), " ").alias("titles"), "n_flags")
+    out = (steps if kind is None else steps.where(F.col("kind") == kind)).join(per_step, ["run_id", "pos"], "inner" if flagged else "left")
+    words = F.concat_ws(" ", "id", F.coalesce("content", F.lit("")), F.coalesce("tool", F.lit("")), F.coalesce("titles", F.lit("")))
     return out.where(F.contains(F.lower(words), F.lit(text.lower()))).withColumn("n_flags", F.coalesce("n_flags", F.lit(0).cast("long")))
 
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stepaudit.operators.components import connected_components
-from stepaudit.scratch import written
+from stepaudit.scratch import remove, written
 
-#: Fixed value: what goes before a group's name in the hash.
-SEED = "trace-check-v1-seed42:"
+#: What goes before a group's name in the hash; a parameter of :func:`assign`.
+SEED = "stepaudit-split-1:"
 _SPACES = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
@@ -18,15 +18,19 @@ def normalized(question: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(question), _SPACES, " "))
 
 
-def assign(rows: DataFrame, group_col: str, question_col: str) -> DataFrame:
+def assign(rows: DataFrame, group_col: str, question_col: str, seed: str = SEED) -> DataFrame:
     """``grp, component, split``: 60 % of the components train, 20 % validation, 20 % test.
 
     Places are counted by hash prefix first, so no task sorts all components.
     """
     keyed = rows.select(F.col(group_col).alias("grp"), F.sha2(normalized(F.coalesce(question_col, F.lit(""))), 256).alias("q")).where("grp IS NOT NULL").distinct()
-    star = keyed.join(keyed.groupBy("q").agg(F.min("grp").alias("least")), "q").select("grp", "least")
-    comps = written(connected_components(star, "grp", "least").select(F.col("node").alias("grp"), "component"), "components")
-    roots = comps.select("component").distinct().withColumn("h", F.sha2(F.concat(F.lit(SEED), F.col("component").cast("string")), 256))
+    keyed = written(keyed, "questions")
+    least = written(keyed.groupBy("q").agg(F.min("grp").alias("least")), "least")
+    star = keyed.join(least, "q").where("grp != least").select("grp", "least")
+    joined = connected_components(star, "grp", "least").select(F.col("node").alias("grp"), "component")
+    comps = written(keyed.select("grp").distinct().join(joined, "grp", "left").select("grp", F.coalesce("component", "grp").alias("component")), "components")
+    remove(keyed, least)
+    roots = comps.select("component").distinct().withColumn("h", F.sha2(F.concat(F.lit(seed), F.col("component").cast("string")), 256))
     roots = roots.withColumn("bucket", F.substring("h", 1, 3))
     sizes = roots.groupBy("bucket").agg(F.count("*").alias("n"))  # 4,096 rows at most
     sizes = sizes.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Vocabulary size, least documents of a term, classes.
 TERMS, LEAST_DOCS = 20_000, 2
@@ -16,37 +17,93 @@ def terms(text: Column) -> Column:
     return F.element_at(F.transform(F.array(words), lambda w: F.concat(w, F.transform(F.slice(w, F.lit(2), F.size(w)), lambda x, i: F.concat(F.get(w, i), F.lit(" "), x)))), 1)
 
 
-def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.explode(terms(F.col(text_col))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+def counted(terms_of_text: Column) -> Column:
+    """``term, tf`` of each distinct term of one text: runs of the sorted terms, counted inside the row."""
 
+    def runs(ts: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(ts) - 1), lambda i: (i == 0) | (F.get(ts, i) != F.get(ts, i - 1)))
+        return _once(starts, lambda st: F.transform(st, lambda p, k: F.struct(F.get(ts, p).alias("term"), (F.coalesce(F.get(st, k + 1), F.size(ts)) - p).cast("long").alias("tf"))))
 
-def vocabulary(counts: DataFrame, n_docs: int, size: int = TERMS) -> DataFrame:
-    """``term, df, cf, idf`` of the most frequent terms; ties go to the lesser term."""
-    by = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= LEAST_DOCS)
-    return by.orderBy(F.desc("cf"), "term").limit(size).withColumn("idf", F.log((1 + n_docs) / (1 + F.col("df"))) + 1)
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return F.when(F.size(terms_of_text) > 0, _once(F.array_sort(terms_of_text), runs)).otherwise(none)
+
+
+def _once(value: Column, use) -> Column:
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def term_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """``term, tf`` for every row and distinct term of it; rows are never merged, whatever their ids."""
+    return docs.select(terms(F.col(text_col)).alias("t")).select(F.explode(counted(F.col("t"))).alias("c")).select("c.term", "c.tf")
+
+
+def vocabulary(docs: DataFrame, text_col: str = "text", size: int = TERMS) -> DataFrame:
+    """``term, df, cf, idf`` of the most frequent terms; ties go to the lesser term. One shuffle, by term."""
+    by = term_counts(docs, text_col).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= LEAST_DOCS)
+    n = docs.agg(F.count("*").alias("n_docs"))  # one row
+    top = by.orderBy(F.desc("cf"), "term").limit(size).crossJoin(F.broadcast(n))
+    return top.withColumn("idf", F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).drop("n_docs")
 
 
 def score(docs: DataFrame, model: DataFrame, intercept: list[float], threshold: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score, reason``: the probability of class -1, or why there is none.
+    """``doc_id, score, p0, p1, p2, reason`` of every row: the probability of class -1, all classes', or why there is none.
 
-    ``model`` has ``term, idf, w0, w1, w2`` and at most ``TERMS`` rows, so it is sent to all tasks.
-    A text beyond ASCII, one without known terms, and a score at the threshold abstain.
+    ``model`` has ``term, idf, w0, w1, w2``; one of more than ``TERMS`` rows, or of repeated terms, is
+    refused, so it may go to all tasks. A text beyond ASCII, one without known terms, and a score at
+    the threshold abstain. Rows that repeat an id are scored apart.
     """
-    ascii_only = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x00-\x7F]")
-    known = term_counts(docs.where(ascii_only), id_col, text_col).join(F.broadcast(model.limit(TERMS)), "term")
+    n, distinct = model.limit(TERMS + 1).agg(F.count("*"), F.count_distinct("term")).first()
+    if n > TERMS or distinct != n:
+        raise ValueError("a model has at most 20,000 terms, each once")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    plain = ~text.rlike(r"[^\x00-\x7F]")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), plain.alias("plain"), F.when(plain, terms(text)).alias("t"))
+    pairs = rows.select("row", "doc_id", "plain", F.explode_outer(counted(F.col("t"))).alias("c")).select("row", "doc_id", "plain", "c.term", "c.tf")
+    known = pairs.join(F.broadcast(model), "term", "left")
     v = (1 + F.log("tf")) * F.col("idf")
-    sums = known.groupBy("id").agg(F.sqrt(F.sum(v * v)).alias("norm"), *[F.sum(v * F.col(f"w{k}")).alias(f"s{k}") for k in range(3)])
+    sums = known.groupBy("row", "doc_id", "plain").agg(F.sqrt(F.sum(v * v)).alias("norm"), *[F.sum(v * F.col(f"w{k}")).alias(f"s{k}") for k in range(3)])
     z = F.array(*[F.col(f"s{k}") / F.col("norm") + F.lit(intercept[k]) for k in range(3)])
-    top = sums.select("id", z.alias("z")).withColumn("e", F.transform("z", lambda x: F.exp(x - F.array_max("z"))))
-    p = top.select("id", (F.get("e", F.lit(0)) / F.aggregate("e", F.lit(0.0), lambda a, x: a + x)).alias("p"))
-    joined = docs.select(F.col(id_col).alias("doc_id"), ascii_only.alias("plain")).join(p, F.col("doc_id") == F.col("id"), "left")
-    t = F.lit(threshold)
-    reason = F.when(~F.col("plain"), "unsupported-unicode").when(F.col("p").isNull(), "no-known-features").when(F.abs(F.col("p") - t) <= 1e-6, "threshold-ambiguity").when(F.col("p") < t, "below-threshold")
-    return joined.select("doc_id", F.when(F.col("plain"), F.col("p")).alias("score"), reason.alias("reason"))
+    top = sums.withColumn("z", F.when(F.col("norm") > 0, z)).withColumn("e", F.transform("z", lambda x: F.exp(x - F.array_max("z"))))
+    p = top.withColumn("p", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y)))
+    first, t = F.get("p", F.lit(0)), F.lit(threshold)
+    reason = F.when(~F.col("plain"), "unsupported-unicode").when(first.isNull(), "no-known-features").when(F.abs(first - t) <= 1e-6, "threshold-ambiguity").when(first < t, "below-threshold")
+    return p.select("doc_id", first.alias("score"), *[F.get("p", F.lit(k)).alias(f"p{k}") for k in range(3)], reason.alias("reason"))
 
 
 def fit(features: DataFrame, n: int, c: float = 1.0, iterations: int = 500):
     """A multinomial logistic fit with the penalty 1 / (C n) over ``features, label`` vectors."""
     from pyspark.ml.classification import LogisticRegression
 
-    return LogisticRegression(family="multinomial", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=iterations).fit(features)
+    model = LogisticRegression(family="multinomial", regParam=1 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=iterations).fit(features)
+    if model.summary.totalIterations >= iterations or model.numClasses != len(CLASSES):
+        raise ValueError("the fit did not converge, or does not know all classes")
+    return model
+
+
+def vectors(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, idx, value``: unit-length TF-IDF vectors of the rows over ``known`` (``term, idx, idf``), as sparse entries."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.explode(counted(terms(F.col(text_col)))).alias("c"))
+    v = (1 + F.log("c.tf")) * F.col("idf")
+    hit = rows.withColumn("term", F.col("c.term")).join(F.broadcast(known), "term").select("row", "id", "idx", v.alias("v"))
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("row")))
+    return hit.select("row", "id", "idx", (F.col("v") / norm).alias("value"))
+
+
+def train(docs: DataFrame, id_col: str = "id", text_col: str = "text", label_col: str = "label", size: int = TERMS, c: float = 1.0) -> tuple[DataFrame, list[float]]:
+    """The linear model of labelled texts as ``term, idf, w0, w1, w2`` and its intercept; labels are -1, 0, 1."""
+    from pyspark.ml.functions import array_to_vector
+
+    spark = docs.sparkSession
+    terms_kept = [(r.term, k, r.idf) for k, r in enumerate(sorted(vocabulary(docs, text_col, size).collect(), key=lambda r: r.term))]  # at most size
+    if not terms_kept:
+        raise ValueError("no term occurs in two texts")
+    known = spark.createDataFrame(terms_kept, "term string, idx int, idf double")
+    width = len(terms_kept)
+    entries = vectors(docs.withColumn("__k", F.struct(F.col(id_col), (F.col(label_col) + 1).alias("y"))), known, "__k", text_col)
+    per = entries.groupBy("row", "id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "value"))).alias("m"))  # at most size entries a text
+    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
+    made = per.select(F.col("id.y").cast("double").alias("label"), array_to_vector(dense).alias("features"))
+    model = fit(made, made.count(), c)
+    w, b = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+    rows = [(t, idf, *[float(w[j][k]) for j in range(3)]) for t, k, idf in terms_kept]
+    return spark.createDataFrame(rows, "term string, idf double, w0 double, w1 double, w2 double"), [float(x) for x in b]

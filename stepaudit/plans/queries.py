@@ -23,7 +23,7 @@ def flag_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def timeline_search(spark: SparkSession, folder: str) -> DataFrame:
     steps = views.steps(spark, folder)
-    return rules.timeline(steps, rules.flags(steps), "tool_call", True, "VIEW").select("run_id", "pos", "id", "rules", "n_flags")
+    return rules.timeline(redact.redact_steps(steps), rules.flags(steps), "tool_call", True, "VIEW").select("run_id", "pos", "id", "titles", "n_flags")
 
 
 def redacted_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,7 +59,8 @@ def confusion_by_group(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def threshold_gate(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(policy.gate(views.samples(spark, folder).withColumn("rule", F.coalesce("rule", F.lit(False)))), "model_recall")
+    held = views.samples(spark, folder).withColumn("rule", F.coalesce("rule", F.lit(False))).where("split = 'validation'")
+    return _rounded(policy.gate(held), "model_recall")
 
 
 def coverage(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,7 +74,7 @@ def class_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return _rounded(tfidf.vocabulary(tfidf.term_counts(docs, "doc_id", "text"), docs.count()), "idf")
+    return _rounded(tfidf.vocabulary(docs), "idf")
 
 
 #: A made-up model: terms of the test texts with weights by a rule.
@@ -83,7 +84,7 @@ _MODEL_TERMS = ["the", "and", "ing", "tion", "er", "of", "in", "to", "and the",
 def tfidf_score(spark: SparkSession, folder: str) -> DataFrame:
     made = [(t, 1 + k / 10, *[((k + 1) * (j + 2) % 7 - 3) / 4 for j in range(3)]) for k, t in enumerate(_MODEL_TERMS)]
     model = spark.createDataFrame(made, "term string, idf double, w0 double, w1 double, w2 double")
-    return _rounded(tfidf.score(table(spark, folder, "documents").select("doc_id", "text"), model, [0.1, -0.2, 0.3], 0.4), "score")
+    return _rounded(tfidf.score(table(spark, folder, "documents").select("doc_id", "text"), model, [0.1, -0.2, 0.3], 0.4).select("doc_id", "score", "reason"), "score")
 
 
 def linear_head(spark: SparkSession, folder: str) -> DataFrame:
@@ -118,6 +119,8 @@ f AS (SELECT run_id, pos, id AS step_id, 'repeated_call' AS rule, array_to_strin
     WHERE kind = 'tool_result' AND (status = 'error' OR regexp_matches(content, '(?i)\b(error|exception|traceback|failed|failure)\b|permission denied|not found'))
   UNION ALL SELECT run_id, pos, id, 'missing_result', call_id, 1, first_pos FROM z WHERE kind = 'tool_call' AND behind <= left_over)"""
 
+_TITLES = "(VALUES " + ", ".join(f"('{k}', '{t}', {i})" for i, (k, t) in enumerate(rules.TITLES.items())) + ") t(rule, title, ordinal)"
+
 _REDACTED = r"""
 SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text,
   '(?i)\b((?:api[_ -]?key|password|secret|access[_ -]?token|authorization)["'']?\s*[=:]\s*)(?:bearer\s+)?[^\s"'',;}]+', '\1[REDACTED]', 'g'),
@@ -128,11 +131,11 @@ SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text,
   + len(regexp_extract_all(text, '\b(?:sk-[A-Za-z0-9_-]{12,}|gh[pousr]_[A-Za-z0-9]{12,}|AKIA[A-Z0-9]{16})\b')), 0) AS n_masked
 FROM documents"""
 
-_COMPONENTS = r"""
-q AS (SELECT doc_id AS grp, trim(regexp_replace(lower(coalesce(text, '')), '[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS q
+_COMPONENTS = rf"""
+q AS (SELECT doc_id AS grp, trim(regexp_replace(lower(coalesce(text, '')), '{split._SPACES}', ' ', 'g')) AS q
   FROM documents WHERE doc_id IS NOT NULL),
 c AS (SELECT grp, q, min(grp) OVER (PARTITION BY q) AS component FROM q),
-i AS (SELECT component, row_number() OVER (ORDER BY sha256('trace-check-v1-seed42:' || component)) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT component FROM c)),
+i AS (SELECT component, row_number() OVER (ORDER BY sha256('{split.SEED}' || component)) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT component FROM c)),
 a AS (SELECT DISTINCT grp, q, component, CASE WHEN i < floor(n * 0.6) THEN 'train' WHEN i < floor(n * 0.8) THEN 'validation' ELSE 'test' END AS split FROM c JOIN i USING (component))"""
 
 
@@ -142,7 +145,7 @@ def _share(part: str, whole: str) -> str:
 
 _GATE = f"""
 WITH {SAMPLES}, t AS (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9, 0.95]::DOUBLE[]) AS threshold),
-p AS (SELECT threshold, subset, label, coalesce(rule, false) AS rules, coalesce(score > threshold AND abs(score - threshold) > 1e-6, false) AS model FROM m, t),
+p AS (SELECT threshold, subset, label, coalesce(rule, false) AS rules, coalesce(score > threshold AND abs(score - threshold) > 1e-6, false) AS model FROM m, t WHERE split = 'validation'),
 b AS (SELECT threshold, subset, {", ".join(f"count(*) FILTER ({e} AND label = -1) AS {n}_tp, count(*) FILTER ({e} AND label <> -1) AS {n}_fp, count(*) FILTER ({e} AND label = 0) AS {n}_neutral" for n, e in (("rules", "rules"), ("model", "model"), ("both", "(rules OR model)")))},
   count(*) FILTER (label = -1) AS bad FROM p GROUP BY ALL),
 a AS (SELECT threshold, {", ".join(f"CAST(sum({n}_{k}) AS BIGINT) AS {n}_{k}" for n in ("rules", "model", "both") for k in ("tp", "fp", "neutral"))}, sum(bad) AS bad,
@@ -164,9 +167,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "rule_flags": f"WITH {_FLAGS} SELECT * FROM f",
         "flag_counts": f"WITH {_FLAGS} SELECT run_id, rule, count(*) AS n FROM f GROUP BY ALL",
-        "timeline_search": f"""WITH {_FLAGS}, r AS (SELECT run_id, pos, string_agg(rule, ' ' ORDER BY rule) AS rules, count(*) AS n_flags FROM f GROUP BY ALL)
-          SELECT s.run_id, s.pos, s.id, r.rules, r.n_flags FROM s JOIN r ON r.run_id = s.run_id AND r.pos = s.pos
-          WHERE kind = 'tool_call' AND contains(lower(concat_ws(' ', id, content, coalesce(tool, ''), rules)), 'view')""",
+        "timeline_search": f"""WITH {_FLAGS}, r AS (SELECT run_id, pos, string_agg(title, ' ' ORDER BY phase, place, ordinal) AS titles, count(*) AS n_flags FROM f JOIN {_TITLES} USING (rule) GROUP BY ALL)
+          SELECT s.run_id, s.pos, s.id, r.titles, r.n_flags FROM s JOIN r ON r.run_id = s.run_id AND r.pos = s.pos
+          WHERE kind = 'tool_call' AND contains(lower(concat_ws(' ', id, content, coalesce(tool, ''), titles)), 'view')""",
         "redacted_documents": _REDACTED,
         "adapted_steps": """SELECT conv_id AS run_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INT) AS pos, 'm' || turn AS id,
           CASE role WHEN 'user' THEN 'task' WHEN 'tool' THEN 'tool_result' ELSE 'assistant' END AS kind, coalesce(text, '') AS content
@@ -183,7 +186,8 @@ def oracle_sql() -> dict[str, str]:
           SELECT *, {_share("tp", "tp + fp")} AS precision, {_share("tp", "tp + fn")} AS recall, {_share("2 * tp", "2 * tp + fp + fn")} AS f1 FROM c""",
         "threshold_gate": _GATE,
         "coverage": f"""WITH {SAMPLES} SELECT split, label, subset, count(*) AS steps, count(DISTINCT grp) AS groups, count(*) FILTER (support_reason IS NULL) AS supported,
-          count(DISTINCT grp) FILTER (support_reason IS NULL) AS supported_groups FROM m GROUP BY GROUPING SETS ((split), (split, label), (split, subset), (split, label, subset))""",
+          count(DISTINCT grp) FILTER (support_reason IS NULL) AS supported_groups, count(*) FILTER (support_reason IS NOT NULL) AS unsupported,
+          count(DISTINCT grp) FILTER (support_reason IS NOT NULL) AS unsupported_groups FROM m GROUP BY GROUPING SETS ((split), (split, label), (split, subset), (split, label, subset))""",
         "class_report": f"""WITH {SAMPLES}, p AS (SELECT label, CAST(doc_id % 3 - 1 AS INT) AS predicted FROM m),
           x AS (SELECT label AS class, true AS own, label = predicted AS hit FROM p UNION ALL SELECT predicted, false, false FROM p),
           b AS (SELECT class, count(*) FILTER (own) AS support, count(*) FILTER (NOT own) AS predicted, count(*) FILTER (hit) AS hits FROM x GROUP BY class)

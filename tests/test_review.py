@@ -114,13 +114,23 @@ def test_window_slots(spark):
 
 
 def test_gate_cases(spark):
-    schema = "subset string, label int, rule boolean, score double"
-    top = policy.gate(spark.createDataFrame([("a", -1, False, 0.99)] * 20, schema)).where("selected").collect()
+    schema = "split string, grp int, subset string, label int, rule boolean, score double"
+
+    def _(rows):
+        return [("validation", 1, *r) for r in rows]
+
+    top = policy.gate(spark.createDataFrame(_([("a", -1, False, 0.99)] * 20), schema)).where("selected").collect()
     assert [r.threshold for r in top] == [0.95]
     few = [("a", -1, False, 0.99)] * 19 + [("a", -1, False, None)]
-    assert policy.gate(spark.createDataFrame(few, schema)).where("selected").count() == 0
+    assert policy.gate(spark.createDataFrame(_(few), schema)).where("selected").count() == 0
     wrong = [("a", -1, False, 0.99)] * 20 + [("a", 0, True, 0.1), ("a", 0, False, 0.99)]
-    assert policy.gate(spark.createDataFrame(wrong, schema)).where("eligible").count() == 0
+    assert policy.gate(spark.createDataFrame(_(wrong), schema)).where("eligible").count() == 0
+    groups = spark.createDataFrame([(1,)], "grp int")
+    for bad in [("test", 1, "a", 0, False, 0.5), ("validation", 2, "a", 0, False, 0.5), ("validation", 1, "a", 2, False, 0.5), ("validation", 1, "a", 0, False, float("nan")), ("validation", 1, "a", 0, False, 1.5)]:
+        with pytest.raises(ValueError):
+            policy.gate(spark.createDataFrame([bad], schema), groups)
+    with pytest.raises(ValueError):
+        policy.gate(spark.createDataFrame([], schema))
 
 
 def test_budgets(spark):
