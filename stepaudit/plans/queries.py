@@ -102,24 +102,26 @@ def linear_head(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [rule_flags, flag_counts, timeline_search, redacted_documents, adapted_steps, prefix_features, leak_free_split, split_leaks,
             confusion_by_group, threshold_gate, coverage, class_report, vocabulary, tfidf_score, linear_head]
-    return {f.__name__: f for f in made}
+    from stepaudit.plans import cases
 
+    return {f.__name__: f for f in made} | cases.queries()
 
-_FLAGS = rf"""{STEPS},
-x AS (SELECT *, CASE kind WHEN 'tool_call' THEN 1 ELSE -1 END AS x FROM s WHERE call_id IS NOT NULL),
+
+FLAG_RULES = r"""x AS (SELECT *, CASE kind WHEN 'tool_call' THEN 1 ELSE -1 END AS x FROM s WHERE coalesce(call_id, '') <> '' AND kind IN ('tool_call', 'tool_result')),
 y AS (SELECT *, sum(x) OVER (PARTITION BY run_id, call_id ORDER BY pos) AS d FROM x),
 z AS (SELECT *, least(0, coalesce(min(d) OVER (PARTITION BY run_id, call_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS floor,
   sum(x) OVER (PARTITION BY run_id, call_id) - least(0, min(d) OVER (PARTITION BY run_id, call_id)) AS left_over,
   count(*) FILTER (kind = 'tool_call') OVER (PARTITION BY run_id, call_id ORDER BY pos DESC) AS behind, min(pos) OVER (PARTITION BY run_id, call_id) AS first_pos FROM y),
-g AS (SELECT *, row_number() OVER (PARTITION BY run_id, tool, content ORDER BY pos) AS nth,
-  array_agg(id) OVER (PARTITION BY run_id, tool, content ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS ids FROM s WHERE kind = 'tool_call'),
+g AS (SELECT *, row_number() OVER (PARTITION BY run_id, coalesce(tool, ''), content ORDER BY pos) AS nth,
+  array_agg(id) OVER (PARTITION BY run_id, coalesce(tool, ''), content ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS ids FROM s WHERE kind = 'tool_call'),
 f AS (SELECT run_id, pos, id AS step_id, 'repeated_call' AS rule, array_to_string(ids, ', ') AS evidence, 0 AS phase, CAST(pos AS BIGINT) AS place FROM g WHERE nth = 3
   UNION ALL SELECT run_id, pos, id, 'unmatched_result', call_id, 0, pos FROM z WHERE kind = 'tool_result' AND d < floor
-  UNION ALL SELECT run_id, pos, id, 'tool_error', CASE WHEN status = 'error' THEN 'status error' ELSE 'error term' END, 0, pos FROM s
+  UNION ALL SELECT run_id, pos, id, 'tool_error', CASE WHEN status = 'error' THEN 'status error' ELSE coalesce(nullif(regexp_extract(content, '(?i).{0,45}(?:error|exception|traceback|failed|failure|permission denied|not found).{0,45}'), ''), 'error term') END, 0, pos FROM s
     WHERE kind = 'tool_result' AND (status = 'error' OR regexp_matches(content, '(?i)\b(error|exception|traceback|failed|failure)\b|permission denied|not found'))
   UNION ALL SELECT run_id, pos, id, 'missing_result', call_id, 1, first_pos FROM z WHERE kind = 'tool_call' AND behind <= left_over)"""
+_FLAGS = f"{STEPS},\n{FLAG_RULES}"
 
-_TITLES = "(VALUES " + ", ".join(f"('{k}', '{t}', {i})" for i, (k, t) in enumerate(rules.TITLES.items())) + ") t(rule, title, ordinal)"
+TITLES = "(VALUES " + ", ".join(f"('{k}', '{t}', {i})" for i, (k, t) in enumerate(rules.TITLES.items())) + ") t(rule, title, ordinal)"
 
 _REDACTED = r"""
 SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text,
@@ -164,10 +166,12 @@ _MODEL = ", ".join(f"('{t}', {1 + k / 10}::DOUBLE, {', '.join(f'{((k + 1) * (j +
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    from stepaudit.plans import cases
+
+    return cases.oracle_sql() | {
         "rule_flags": f"WITH {_FLAGS} SELECT * FROM f",
         "flag_counts": f"WITH {_FLAGS} SELECT run_id, rule, count(*) AS n FROM f GROUP BY ALL",
-        "timeline_search": f"""WITH {_FLAGS}, r AS (SELECT run_id, pos, string_agg(title, ' ' ORDER BY phase, place, ordinal) AS titles, count(*) AS n_flags FROM f JOIN {_TITLES} USING (rule) GROUP BY ALL)
+        "timeline_search": f"""WITH {_FLAGS}, r AS (SELECT run_id, pos, string_agg(title, ' ' ORDER BY phase, place, ordinal) AS titles, count(*) AS n_flags FROM f JOIN {TITLES} USING (rule) GROUP BY ALL)
           SELECT s.run_id, s.pos, s.id, r.titles, r.n_flags FROM s JOIN r ON r.run_id = s.run_id AND r.pos = s.pos
           WHERE kind = 'tool_call' AND contains(lower(concat_ws(' ', id, content, coalesce(tool, ''), titles)), 'view')""",
         "redacted_documents": _REDACTED,
