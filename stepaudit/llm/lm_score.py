@@ -1,13 +1,19 @@
 """Masked pseudo-likelihood by a bidirectional window network.
 
-Words (hashed to ``VOCAB`` classes) are predicted from the ``SIDE`` words before and after: the
-embedding of each place's word is added up, goes through tanh, and a softmax gives the word. The
-sum of a document's conditional log-probabilities is its score.
-
-All documents train: every task runs minibatch gradient descent from one common start over its
-documents, each task's weights are averaged, weighted by its words, and a second pass scores with
-the average. Averages are taken in two steps, so that neither a task nor the driver holds more
-than a few models at once, whatever the corpus. Every word is trained on.
+Every word is predicted from the words on both its sides; the sum of a document's conditional
+log-probabilities is its score. A word's probability is that of its class, which the network gives
+from the classes of its neighbours, times its share of the class:
+
+* The vocabulary is counted over all documents in ``SLOTS`` hashed slots (the only bound on it), so
+  the counts grow with the input. The most frequent slots are classes of their own; the rest share
+  ``TAIL`` classes by hash, and within a class a word has its counted share, smoothed by one.
+* The network has an embedding for each side and class, a tanh layer and a softmax over the
+  target classes. It sees a word only by its class and those of its neighbours, so the number of
+  times that each (left, right, target) triple occurs is all that its gradient needs. The triples of
+  all words of all documents are counted by the cluster; numpy trains on the counts.
+
+Counts are whole numbers, so neither the partitioning nor the order of rows changes a score. Both
+tables have a fixed largest size and go to the tasks; no text reaches the driver.
 """
 
 from __future__ import annotations
@@ -22,149 +28,175 @@ from pyspark.sql import functions as F
 from stepaudit.llm.arrow import flat, pieces
 from stepaudit.llm.minhash import shingles
 
-VOCAB, SIDE, HIDDEN = 128, 2, 16
-BATCH = 128
-SCORE_BATCH = 4096
-RATE = 0.5
-AVERAGERS = 16
+#: Bits of a slot, target and context classes, and how many of each are shared by rarer words.
+SLOT_BITS = 22
+SLOTS = 1 << SLOT_BITS
+TARGETS, TARGET_TAIL = 256, 64
+CONTEXTS, CONTEXT_TAIL = 64, 32
+#: The class of the place before the first and after the last word.
+EDGE = CONTEXTS
+SIDES = CONTEXTS + 1
+HIDDEN, EPOCHS, RATE = 32, 80, 0.05
 PIECE = 1 << 19
-_PAD = VOCAB
 
 
-def start() -> list[np.ndarray]:
-    """Embeddings by place and word (the last row is the edge's and stays zero), output weights, bias."""
+def word_slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slot of every word, and documents' offsets into them; words are in lower case (A-Z), cut at blanks."""
+    hashed, begin = shingles(data, offsets, 1)
+    return (hashed >> np.uint64(64 - SLOT_BITS)).astype(np.int64), begin
+
+
+class Vocabulary:
+    """Classes of slots, and each slot's log share of its target class."""
+
+    def __init__(self, counts: np.ndarray):
+        order = np.argsort(-counts, kind="stable")
+        self.target, self.context = (self._classes(order, counts, n, tail) for n, tail in ((TARGETS, TARGET_TAIL), (CONTEXTS, CONTEXT_TAIL)))
+        mass = np.bincount(self.target, counts + 1, TARGETS)
+        self.share = (np.log(counts + 1) - np.log(np.maximum(mass, 1))[self.target]).astype(np.float32)
+
+    @staticmethod
+    def _classes(order: np.ndarray, counts: np.ndarray, n: int, tail: int) -> np.ndarray:
+        made = (n - tail + np.arange(SLOTS) % tail).astype(np.uint8)
+        top = order[: n - tail]
+        top = top[counts[top] > 0]
+        made[top] = np.arange(len(top))
+        return made
+
+    def cells(self, slots: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """(left * SIDES + right) * TARGETS + target of every word."""
+        side = self.context[slots].astype(np.int64)
+        left, right = np.full(len(slots), EDGE), np.full(len(slots), EDGE)
+        left[1:], right[:-1] = side[:-1], side[1:]
+        full = np.diff(begin) > 0
+        left[begin[:-1][full]] = EDGE
+        right[begin[1:][full] - 1] = EDGE
+        return (left * SIDES + right) * TARGETS + self.target[slots]
+
+
+def network() -> dict[str, np.ndarray]:
+    """Embeddings of the left and right class, output weights and bias."""
     rng = np.random.default_rng(11)
-    embed = rng.normal(0, 0.3, (2 * SIDE, VOCAB + 1, HIDDEN)).astype(np.float32)
-    embed[:, _PAD] = 0
-    return [embed, rng.normal(0, 0.1, (HIDDEN, VOCAB)).astype(np.float32), np.zeros(VOCAB, np.float32)]
+    return {
+        "left": rng.normal(0, 0.3, (SIDES, HIDDEN)), "right": rng.normal(0, 0.3, (SIDES, HIDDEN)),
+        "out": rng.normal(0, 0.1, (HIDDEN, TARGETS)), "bias": np.zeros(TARGETS),
+    }
+
+
+def log_softmax(net: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities of all targets for contexts, and the hidden layer."""
+    h = np.tanh(net["left"][left] + net["right"][right])
+    x = h @ net["out"] + net["bias"]
+    x -= x.max(1, keepdims=True)
+    return x - np.log(np.exp(x).sum(1, keepdims=True)), h
+
+
+def fit(triples: np.ndarray, epochs: int = EPOCHS) -> dict[str, np.ndarray]:
+    """The network of counted triples: Adam on the log-loss of all words, from the targets' frequencies on."""
+    n = triples.reshape(SIDES * SIDES, TARGETS).astype(np.float64)
+    seen = np.flatnonzero(n.sum(1))
+    net = network()
+    if not len(seen):
+        return net
+    n = n[seen] / n.sum()
+    weight, left, right = n.sum(1, keepdims=True), seen // SIDES, seen % SIDES
+    net["bias"] = np.log(n.sum(0) + 1e-7)
+    m, v = ({k: np.zeros_like(x) for k, x in net.items()} for _ in range(2))
+    for t in range(1, epochs + 1):
+        logp, h = log_softmax(net, left, right)
+        g = np.exp(logp) * weight - n
+        back = (g @ net["out"].T) * (1 - h * h)
+        grad = {"out": h.T @ g, "bias": g.sum(0), "left": np.zeros_like(net["left"]), "right": np.zeros_like(net["right"])}
+        np.add.at(grad["left"], left, back)
+        np.add.at(grad["right"], right, back)
+        for k, x in net.items():
+            m[k] += 0.1 * (grad[k] - m[k])
+            v[k] += 0.01 * (grad[k] ** 2 - v[k])
+            x -= RATE * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
+    return net
+
+
+class Model:
+    """What scoring needs: the vocabulary and the network's log-probabilities of every triple."""
+
+    def __init__(self, vocabulary: Vocabulary, net: dict[str, np.ndarray]):
+        both = np.arange(SIDES * SIDES)
+        self.vocabulary, self.table = vocabulary, log_softmax(net, both // SIDES, both % SIDES)[0].astype(np.float32).ravel()
+
+    def log_probabilities(self, slots: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """log p(word | both sides) of each word."""
+        return self.table[self.vocabulary.cells(slots, begin)].astype(np.float64) + self.vocabulary.share[slots]
+
+
+def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple]:
+    for batch in batches:
+        data, offsets = flat(batch.column(column))
+        for i, j in pieces(offsets, PIECE):
+            yield batch, i, j, *word_slots(data, offsets[i : j + 1])
 
 
-def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words, their contexts (2 * SIDE places each), and documents' offsets into them."""
-    hashed, begin = shingles(data, offsets, 1)
-    words = (hashed >> np.uint64(40)).astype(np.int64) % VOCAB
-    n, doc = len(words), np.repeat(np.arange(len(begin) - 1), np.diff(begin))
-    context = np.full((n, 2 * SIDE), _PAD, np.int64)
-    for k in range(1, SIDE + 1):
-        same = doc[k:] == doc[:-k]
-        context[k:, SIDE - k] = np.where(same, words[:-k], _PAD)
-        context[: n - k, SIDE + k - 1] = np.where(same, words[k:], _PAD)
-    return words, context, begin
-
-
-def hidden(model: list[np.ndarray], context: np.ndarray) -> np.ndarray:
-    return np.tanh(sum(model[0][p][context[:, p]] for p in range(2 * SIDE)))
-
-
-def log_probabilities(model: list[np.ndarray], words: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """log p(word | both sides) of each word."""
-    out = np.empty(len(words), np.float64)
-    for i in range(0, len(words), SCORE_BATCH):
-        x = hidden(model, context[i : i + SCORE_BATCH]) @ model[1] + model[2]
-        top = x.max(1)
-        out[i : i + SCORE_BATCH] = x[np.arange(len(x)), words[i : i + SCORE_BATCH]] - top - np.log(np.exp(x - top[:, None]).sum(1))
-    return out
+def _counted(size: int, shared=None):
+    """What occurs in a task's documents and how often: slots, or triples if a vocabulary is shared."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for *_, slots, begin in _texts(batches, 0):
+            total += np.bincount(shared.value.cells(slots, begin) if shared else slots, minlength=size)
+        used = np.flatnonzero(total)
+        for k in range(0, len(used), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(used[k : k + (1 << 16)].astype(np.int32)), pa.array(total[used[k : k + (1 << 16)]])], names=["place", "n"])
 
-def step(model: list[np.ndarray], words: np.ndarray, context: np.ndarray, rate: float = RATE) -> None:
-    """One gradient step on a batch, in place."""
-    h = hidden(model, context)
-    x = h @ model[1] + model[2]
-    p = np.exp(x - x.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    p[np.arange(len(p)), words] -= 1
-    p *= rate / len(p)
-    back = (p @ model[1].T) * (1 - h * h)
-    model[1] -= h.T @ p
-    model[2] -= p.sum(0)
-    for place in range(2 * SIDE):
-        for k in range(HIDDEN):
-            model[0][place][:, k] -= np.bincount(context[:, place], back[:, k], VOCAB + 1).astype(np.float32) * VOCAB / 8
-        model[0][place][_PAD] = 0
-
-
-def _pack(model: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate([m.ravel() for m in model]).astype(np.float64)
-
-
-def unpack(flat_model: np.ndarray) -> list[np.ndarray]:
-    out, at = [], 0
-    for m in start():
-        out.append(flat_model[at : at + m.size].reshape(m.shape).astype(np.float32))
-        at += m.size
-    return out
+    return run
 
 
-def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    model, seen = start(), 0
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    for batch in batches:
-        data, offsets = flat(batch.column(0))
-        for i, j in pieces(offsets, PIECE):
-            words, context, _ = windows(data, offsets[i : j + 1])
-            held.append((words, context))
-            if sum(len(w) for w, _ in held) >= BATCH:
-                w, c = (np.concatenate(x) for x in zip(*held, strict=True))
-                full = len(w) // BATCH * BATCH
-                for k in range(0, full, BATCH):
-                    step(model, w[k : k + BATCH], c[k : k + BATCH])
-                seen, held = seen + full, [(w[full:], c[full:])]
-    w, c = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0), None)
-    if len(w):
-        step(model, w, c, RATE * len(w) / BATCH)
-        seen += len(w)
-    yield _row(_pack(model) * seen, seen)
-
-
-def _row(total: np.ndarray, seen: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"model": pa.array([total.tobytes()], pa.binary()), "words": pa.array([seen], pa.int64())})
-
-
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, seen = np.zeros(sum(m.size for m in start())), 0
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for r in range(len(batch)):
-            total += np.frombuffer(batch.column(0)[r].as_buffer(), np.float64)
-            seen += batch.column(1)[r].as_py()
-    yield _row(total, seen)
+        if len(batch):
+            yield pa.RecordBatch.from_pydict({k: pa.array([batch.column(c).to_numpy().tobytes()], pa.binary()) for c, k in enumerate(("places", "counts"))})
+
+
+def _gather(texts: DataFrame, size: int, shared=None) -> np.ndarray:
+    """Sums over all tasks, of a fixed size, on the driver."""
+    sums = texts.mapInArrow(_counted(size, shared), "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    out = np.zeros(size, np.int64)
+    for r in sums.mapInArrow(_packed, "places binary, counts binary").toLocalIterator():
+        out[np.frombuffer(r.places, np.int32)] = np.frombuffer(r.counts, np.int64)
+    return out
 
 
-def train(docs: DataFrame, text_col: str = "text") -> list[np.ndarray]:
-    """The average of all tasks' models; the start where there are no words."""
-    schema = "model binary, words long"
-    made = docs.select(F.col(text_col).alias("text")).where("text IS NOT NULL").mapInArrow(_train, schema)
-    total, seen = 0.0, 0
-    for r in made.repartition(AVERAGERS).mapInArrow(_add, schema).collect():  # at most AVERAGERS rows
-        total, seen = total + np.frombuffer(r.model, np.float64), seen + r.words
-    return unpack(total / seen) if seen else start()
+def train(docs: DataFrame, text_col: str = "text") -> Model:
+    """The model of all words of all rows; without words every target is equally probable."""
+    texts = docs.select(F.col(text_col).alias("text")).where("text IS NOT NULL")
+    vocabulary = Vocabulary(_gather(texts, SLOTS))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    triples = _gather(texts, SIDES * SIDES * TARGETS, shared)
+    shared.unpersist()
+    return Model(vocabulary, fit(triples))
 
 
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            data, offsets = flat(batch.column(1))
-            for i, j in pieces(offsets, PIECE):
-                words, context, begin = windows(data, offsets[i : j + 1])
-                sums = np.concatenate([[0.0], np.cumsum(log_probabilities(model, words, context))])
-                n = np.diff(begin)
-                total = sums[begin[1:]] - sums[begin[:-1]]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "doc_id": batch.column(0)[i:j], "n_words": pa.array(n, pa.int64()), "log_likelihood": pa.array(total),
-                        "mean_log_probability": pa.array(total / np.maximum(n, 1), mask=n == 0),
-                    }
-                )
+        for batch, i, j, slots, begin in _texts(batches, 1):
+            sums = np.concatenate([[0.0], np.cumsum(shared.value.log_probabilities(slots, begin))])
+            n = np.diff(begin)
+            total = np.where(n > 0, sums[begin[1:]] - sums[begin[:-1]], 0.0)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": batch.column(0)[i:j], "n_words": pa.array(n, pa.int64()), "log_likelihood": pa.array(total),
+                    "mean_log_probability": pa.array(total / np.maximum(n, 1), mask=n == 0),
+                }
+            )
 
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: list[np.ndarray] | None = None) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """``doc_id, n_words, log_likelihood, mean_log_probability`` of every row, by ``model`` or one trained on ``docs``.
 
     Defined cases: a null or empty text and one of blanks only have no words, a log-likelihood of
-    0 and a null mean; rows that repeat an id each give a row; a null id stays null; other columns
-    are ignored; no rows give none.
+    0 and a null mean; rows that repeat an id each give a row, and equal texts equal scores up to
+    rounding; ties of frequency go to the lesser slot; a null id stays null; other columns are
+    ignored; no rows give none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or train(docs, text_col))
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

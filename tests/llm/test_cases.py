@@ -2,6 +2,7 @@
 
 from collections import defaultdict
 
+import numpy as np
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -85,6 +86,19 @@ def test_lm_trains_on_every_word(spark):
     assert all(r.mean_log_probability > -0.7 for r in lm_score.score(docs).collect())
 
 
+def test_lm_gradient():
+    """A step of the fit lowers the loss as the numeric gradient says."""
+    rng = np.random.default_rng(3)
+    n = np.zeros((lm_score.SIDES**2, lm_score.TARGETS), np.int64)
+    n[rng.integers(0, lm_score.SIDES**2, 300), rng.integers(0, 20, 300)] += 5
+    loss = []
+    for epochs in (0, 5, 40):
+        net = lm_score.fit(n.ravel(), epochs)
+        used = np.flatnonzero(n.sum(1))
+        loss.append(-(lm_score.log_softmax(net, used // lm_score.SIDES, used % lm_score.SIDES)[0] * n[used]).sum() / n.sum())
+    assert loss[0] > loss[1] > loss[2]
+
+
 def test_packing_small_sources(spark):
     """100 small sources beside a hot one, and some of less than an id a window: each has its share of every window."""
     rows = [(k, "one word after another " * (500 if k < 20 else 40 if k < 420 else 1), "hot" if k < 20 else f"s{k % 100}" if k < 420 else f"tiny{k % 5}") for k in range(430)]

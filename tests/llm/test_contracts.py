@@ -50,7 +50,6 @@ def test_flac(spark, data, texts):
 
 def test_packing(spark, data, texts):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in q.op6_packing(spark, data).collect():
         pieces[r.doc_id].append(r)
@@ -95,10 +94,38 @@ def test_language_id(spark, data, texts):
 
 
 def test_lm_score(spark, data, texts):
-    rows = q.op8_lm_score(spark, data).collect()
-    assert {r.doc_id for r in rows} == texts.keys()
-    assert all((r.log_likelihood < 0) == (r.n_words > 0) for r in rows)
-    assert sum(r.log_likelihood for r in rows) > sum(r.n_words for r in rows) * -np.log(128)  # better than chance
+    """Every score beside a plain reading of the model; the same at 1 and 16 partitions; above word frequencies."""
+    from stepaudit.llm import lm_score as lm
+
+    rows = {r.doc_id: r for r in q.op8_lm_score(spark, data).collect()}
+    assert rows.keys() == texts.keys()
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    for n in (1, 16):
+        other = {r.doc_id: r.log_likelihood for r in lm.score(docs.repartition(n)).collect()}
+        assert all(abs(other[k] - rows[k].log_likelihood) < 1e-6 * max(1, abs(other[k])) for k in rows)
+    model = lm.train(docs)
+
+    def slots(text):
+        raw = text.encode()
+        return lm.word_slots(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tolist()
+
+    counts = np.zeros(lm.SLOTS, np.int64)
+    words = {k: slots(t) for k, t in texts.items()}
+    for w in words.values():
+        np.add.at(counts, w, 1)
+    total, unigram, n = 0.0, 0.0, 0
+    for k, w in words.items():
+        sides = [lm.EDGE, *(int(model.vocabulary.context[x]) for x in w), lm.EDGE]
+        want = 0.0
+        for p, x in enumerate(w):
+            target = int(model.vocabulary.target[x])
+            want += float(model.table[(sides[p] * lm.SIDES + sides[p + 2]) * lm.TARGETS + target]) + float(model.vocabulary.share[x])
+            unigram += np.log((counts[x] + 1) / (counts.sum() + lm.SLOTS))
+        assert rows[k].n_words == len(w) and abs(rows[k].log_likelihood - want) < 1e-5 * max(1, abs(want))
+        total, n = total + want, n + len(w)
+    assert total / n > unigram / n + 0.05, (total / n, unigram / n)
+    mass = np.bincount(model.vocabulary.target, np.exp(model.vocabulary.share.astype(float)), lm.TARGETS)
+    assert np.allclose(mass, 1, atol=1e-3) and np.allclose(np.exp(model.table.reshape(-1, lm.TARGETS).astype(float)).sum(1), 1, atol=1e-4)
 
 
 def test_pipeline(spark, data):
