@@ -121,3 +121,56 @@ def test_packing_small_sources(spark):
         for s in sizes:
             had[s] += windows[w][s]
             assert abs(had[s] - min((w + 1) * 1000, total) * sizes[s] / total) < 4
+
+
+def test_packing_targets(spark):
+    """Other targets than the natural ones: kept while all queues last, then shared among those that are left."""
+    rows = [(k, "one word after another " * 30, "abc"[k % 3]) for k in range(300)]
+    path = queries.public_tokenizers.path
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = {"a": 6.0, "b": 3.0, "c": 1.0}
+    got = packing.pack(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), queries.public_tokenizers.PATTERN, length=500, targets=targets).collect()
+    source, windows = {k: s for k, _, s in rows}, defaultdict(lambda: defaultdict(int))
+    for r in got:
+        windows[r.sequence_id][source[r.doc_id]] += r.length
+    size, total = sum(w["a"] for w in windows.values()), sum(r.length for r in got)
+    had, left = defaultdict(float), dict.fromkeys("abc", float(size))
+    want = dict.fromkeys("abc", 0.0)
+    for w in sorted(windows):
+        room = min(500, total - 500 * w)
+        assert sum(windows[w].values()) == room
+        while room > 1e-6:  # a plain round-robin with fractions of ids
+            live = [s for s in "abc" if left[s] > 1e-6]
+            if not live:
+                break
+            share = sum(targets[s] for s in live)
+            x = min(room, *[left[s] * share / targets[s] for s in live])
+            for s in live:
+                want[s] += x * targets[s] / share
+                left[s] -= x * targets[s] / share
+            room -= x
+        for s in "abc":
+            had[s] += windows[w][s]
+            assert abs(had[s] - want[s]) < 4, (w, s)
+    for bad in ({"a": -1.0}, {"a": float("nan")}, {"a": 0.0}):
+        with pytest.raises(ValueError):
+            packing.pack(docs, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), queries.public_tokenizers.PATTERN, targets=bad)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_plan(seed):
+    """Every id of every queue has one place, whatever sizes and targets."""
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 8))
+    sizes = [int(x) for x in rng.integers(1, 200 if seed else 3, n)]
+    plan = packing.Plan(sizes, 16, [int(x) for x in rng.integers(1, 50, n)] if seed % 2 else None)
+    places = []
+    for q, size in enumerate(sizes):
+        at = 0
+        while at < size:
+            m = min(int(rng.integers(1, 40)), size - at)
+            got = list(plan.pieces(q, at, m))
+            assert sum(x[1] for x in got) == m
+            places += [16 * w + o + k for _, length, w, o in got for k in range(length)]
+            at += m
+    assert sorted(places) == list(range(sum(sizes)))
