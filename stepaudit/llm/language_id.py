@@ -2,9 +2,10 @@
 
 N-grams of one to three characters of the lower-cased text are hashed to ``FEATURES`` places.
 Document frequencies are counted over all learnable rows. The classifier is fitted on a bounded
-sample of them (``SAMPLE`` rows, the least hashes of id) by follow-the-regularised-leader with
-elastic-net penalties; a third of the sample is left out and fixes the temperature. Model and
-frequencies are of fixed size. Only ids, labels and sparse counts of the sample reach the driver.
+sample of them (``SAMPLE`` rows, shared evenly by the labels: those of the least hashes of id and
+text) by follow-the-regularised-leader with elastic-net penalties. A third of the sample is left out
+of a first fit and fixes the temperature; the final fit takes the whole sample. Model and frequencies
+are of fixed size. Only labels and sparse counts of the sample reach the driver.
 """
 
 from __future__ import annotations
@@ -15,9 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 FEATURES = 1 << 15
 SAMPLE = 3000
+#: Labels that a model may have.
+MAX_LABELS = 1000
+#: Tasks that add up the frequencies of all others.
+ADDERS = 16
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.002
 UNKNOWN = "und"
@@ -63,7 +69,15 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batch.column(0):
             df[:-1] += counts(x.as_py()) > 0
             df[-1] += 1
-    yield pa.RecordBatch.from_pydict({"feature": pa.array(np.arange(FEATURES + 1), pa.int32()), "n": pa.array(df)})
+    yield pa.RecordBatch.from_pydict({"df": pa.array([df.tobytes()], pa.binary())})
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    df = np.zeros(FEATURES + 1, np.int64)
+    for batch in batches:
+        for x in batch.column(0):
+            df += np.frombuffer(x.as_buffer(), np.int64)
+    yield pa.RecordBatch.from_pydict({"df": pa.array([df.tobytes()], pa.binary())})
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,27 +144,40 @@ class Model:
 
 
 def train(docs: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model of the rows that ``learnable`` admits and that have a label and a letter."""
+    """A model of the rows that ``learnable`` admits and that have a label and a letter.
+
+    Every label is learned, however rare; without such rows the model knows none.
+    """
     spark = docs.sparkSession
     rows = docs.where(learnable & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    freq = rows.select(F.col(text_col).alias("text")).mapInArrow(_frequencies, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    made = rows.select(F.col(text_col).alias("text")).mapInArrow(_frequencies, "df binary")
     df = np.zeros(FEATURES + 1)
-    for r in freq:
-        df[r.feature] = r.n
+    for r in made.repartition(ADDERS).mapInArrow(_add, "df binary").collect():  # at most ADDERS rows
+        df += np.frombuffer(r.df, np.int64)
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
-    hashed = rows.select(F.xxhash64(F.lit("language"), id_col).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    least = hashed.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # ids only; texts follow by the bound
-    if least is None:
+
+    hashed = rows.select(F.xxhash64(F.lit("language"), id_col, text_col).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    sizes = hashed.groupBy("lang").agg(F.count("*").alias("c")).limit(MAX_LABELS + 1).collect()
+    if len(sizes) > MAX_LABELS:
+        raise ValueError("there are too many labels")
+    if not sizes:
         return Model([], idf)
-    some = sorted(hashed.where(F.col("h") <= F.lit(least)).mapInArrow(_sparse, "h long, lang string, at binary, n binary").limit(2 * sample).collect(), key=lambda r: (r.h, r.lang, r.at, r.n))
-    langs = sorted({r.lang for r in some})
+    each = max(sample // len(sizes), 1)
+    # Hashes are uniform, so twice as many rows as are wanted lie below this bound, up to chance; the rank is exact.
+    bounds = spark.createDataFrame([(r.lang, -(2**63) + min(int(2**64 * 2 * (each + 50) / r.c), 2**64 - 1)) for r in sizes], "l string, bound long")
+    near = hashed.join(F.broadcast(bounds), (F.col("lang") == F.col("l")) & (F.col("h") <= F.col("bound"))).select("h", "lang", "text")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # rows of one hash are equal
+    some = near.withColumn("r", rank).where(F.col("r") <= each).select("h", "lang", "text").mapInArrow(_sparse, "h long, lang string, at binary, n binary")
+    some = sorted(some.collect(), key=lambda r: (r.h, r.lang))  # at most ``sample`` rows
+    langs = sorted(r.lang for r in sizes)
     made = []
     for r in some:
         at = np.frombuffer(r.at, np.uint16).astype(np.int64)
         made.append((at, _weighed(at, np.frombuffer(r.n, np.int32), idf), langs.index(r.lang)))
-    left_out = made[::3] if len(made) >= 30 else []
-    model = Model(langs, idf).fit([m for k, m in enumerate(made) if k % 3 or not left_out]).calibrate(left_out)
-    return model
+    model = Model(langs, idf)
+    if len(made) >= 30:
+        model.fit([m for k, m in enumerate(made) if k % 3]).calibrate(made[::3])
+    return model.fit(made)
 
 
 def _predict(shared, at: int):

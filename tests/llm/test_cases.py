@@ -174,3 +174,70 @@ def test_packing_plan(seed):
             places += [16 * w + o + k for _, length, w, o in got for k in range(length)]
             at += m
     assert sorted(places) == list(range(sum(sizes)))
+
+
+def test_rare_language(spark):
+    """A label of few rows beside a large one, repeated ids and null ids are all learned, whatever the layout."""
+    words = {"en": "the quick brown fox and the lazy dog", "de": "der schnelle braune Fuchs und der faule Hund", "xx": "zzyx qwwz zyzzy xqq"}
+    rows = [(k if k % 3 else None, f"{words['en']} {k}", "en") for k in range(400)] + [(5, f"{words['de']} {k}", "de") for k in range(60)] + [(k, words["xx"], "xx") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, F.lit(True), sample=90)
+    assert model.langs == ["de", "en", "xx"] and [model.predict(words[k])[0] for k in model.langs] == model.langs
+    other = language_id.train(docs.repartition(7), F.lit(True), sample=90)
+    assert np.allclose(model.weights, other.weights) and model.temperature == other.temperature
+
+
+def test_ftrl_by_hand():
+    """The fit of one row with one feature, worked out beside it."""
+    m = language_id.Model(["a", "b"], np.ones(language_id.FEATURES))
+    m.fit([(np.array([7]), np.array([1.0]), 0)], epochs=1)
+    g = np.array([0.5 - 1, 0.5])  # both weights are zero, so p is a half
+    z, n = g, g * g
+    want = -(z - np.sign(z) * language_id.L1) / ((language_id.BETA + np.sqrt(n)) / language_id.ALPHA + language_id.L2)
+    assert np.allclose(m.weights[7], want) and np.count_nonzero(m.weights) == 2
+
+
+def test_near_copies_of_repeated_ids(spark):
+    """Rows of one id with other texts keep their own links; the pipeline keeps the right rows."""
+    base = " ".join(f"w{k}" for k in range(60))
+    rows = [(0, base, "a"), (1, base, "b"), (1, "quite another text with more than five words in it", "c"), (1, "quite another text with more than five words in it", "c"), (2, base + " tail", "d"), (3, "", "e"), (3, "", "e"), (None, base, "f"), (4, "", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n string")
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n) for r in minhash.one_of_each(docs).collect())
+    assert got == [(-1, "f"), (0, "a"), (1, "c"), (3, "e"), (4, "g")]
+    comp = {(r.doc_id, r.n_shingles): r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert comp[(1, 56)] == 0 and comp[(1, 6)] == 1 and comp[(2, 57)] == 0 and comp[(None, 56)] is None
+
+
+def test_dense_groups(spark):
+    """Many texts that are close in signature but not linked, a chain and a hub, beside brute force."""
+    rng = np.random.default_rng(5)
+    core = [f"c{k}" for k in range(80)]
+    rows = []
+    for k in range(150):  # about 0.7 alike
+        words = list(core)
+        for p in rng.choice(80, 4, replace=False):
+            words[p] = f"x{rng.integers(10**9)}"
+        rows.append((k, " ".join(words)))
+    words = [f"y{k}" for k in range(100)]
+    for k in range(40):  # each close to the one before
+        words[(k * 7) % 100] = f"z{k}"
+        rows.append((1000 + k, " ".join(words)))
+    hub = [f"h{k}" for k in range(100)]
+    rows += [(2000 + k, " ".join(hub + [f"t{k}_{j}" for j in range(k % 9)])) for k in range(60)]
+    sets = {i: {tuple(t.split()[p : p + 5]) for p in range(len(t.split()) - 4)} for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for x in range(len(ids)):
+        for y in range(x + 1, len(ids)):
+            a, b = sets[ids[x]], sets[ids[y]]
+            if 100 * len(a & b) >= 80 * len(a | b):
+                u, v = find(ids[x]), find(ids[y])
+                root[max(u, v)] = min(u, v)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == {i: find(i) for i in ids}
