@@ -285,9 +285,7 @@ def _candidates(t: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.
 def _whole_cells(batches: Iterator[pa.RecordBatch], extra: list[str]) -> Iterator[dict]:
     """Columns of batches sorted by cell, cut where a cell ends."""
     held: dict | None = None
-    for batch in batches:
-        if not len(batch):
-            continue
+    for batch in (b.slice(i, 2000) for b in batches for i in range(0, len(b), 2000)):
         t = {c: batch.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(_CELL[:-1])}
         t["sig"] = _matrix(batch.column(len(_CELL) - 1))
         t |= {c: np.array([x.as_py() for x in batch.column(len(_CELL) + k)], object) for k, c in enumerate(extra)}
