@@ -1,19 +1,20 @@
 """Token counts by a two-tier lookup on the map side.
 
 The first tier is a compact table of the token counts of frequent pre-tokens, at most
-``table_words`` of them, which goes to the workers as a broadcast. It is chosen by one pass in
-which each task reports its own most frequent pre-tokens, a bounded summary. The second tier is a
-worker's cache of what it has encoded itself with the library, emptied at a bound. No pre-token of
-a text is ever shuffled. The table only saves time: any table gives the same counts.
-
-Texts with characters on which engines may differ, or with special-token strings, are encoded
-whole by the library.
+``table_words`` of them, which goes to the workers as a broadcast. It holds the words that the
+vocabulary has whole, in the order of its ids, as a vocabulary is built from the most frequent ones;
+so no pass over the corpus and no shuffle of pre-tokens is needed. The second tier is a worker's cache
+of what it has encoded itself with the library, emptied at a bound. The table only saves time: any
+table gives the same counts.
+
+A stretch between blanks with characters on which engines may differ, or with a special-token string,
+is counted by the library as one piece, through the same cache; no pre-token spans a blank.
 """
 
 from __future__ import annotations
 
 import os
-from collections import Counter
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +25,12 @@ from pyspark.sql import functions as F
 from stepaudit.llm.pretokens import clip_words, is_simple
 
 TABLE_WORDS = 65_536
-#: Pre-tokens that one task reports.
-REPORTED = 4_096
-CACHE_WORDS = 600_000
+CACHE_WORDS = 500_000
 LIMIT = 2048
-_CACHE: dict[str, tuple] = {}
+#: What ends a word in the vocabulary file.
+WORD_END = "</w>"
+_STATE: dict[str, tuple] = {}
+_BLANKS = re.compile("[ \t\n\r]+")
 
 
 def _tokenizer(path: str):
@@ -38,65 +40,52 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter[str] = Counter()
-    for batch in batches:
-        for x in batch.column(0):
-            text = x.as_py()
-            if text and is_simple(text):
-                seen.update(clip_words(text))
-        if len(seen) > CACHE_WORDS:
-            seen = Counter(dict(seen.most_common(CACHE_WORDS // 4)))
-    top = sorted(seen.items(), key=lambda kv: (-kv[1], kv[0]))[:REPORTED]
-    yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in top], pa.string()), "n": pa.array([n for _, n in top], pa.int64())})
-
-
-def frequent_table(docs: DataFrame, path: str, text_col: str = "text", table_words: int = TABLE_WORDS) -> dict[str, int]:
-    """Token counts of frequent pre-tokens, at most ``table_words``."""
-    rows = (
-        docs.select(F.col(text_col).alias("text")).mapInArrow(_frequent, "word string, n long")
-        .groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(table_words).collect()
-    )
-    words = [r.word for r in rows]
+def _lengths(t, words: list[str]) -> list[int]:
+    return [len(e.ids) for e in t.encode_batch_fast(words, add_special_tokens=False)]
+
+
+def frequent_table(path: str, table_words: int = TABLE_WORDS) -> tuple[bytes, bytes]:
+    """Words of the vocabulary, joined by line feeds, and a byte with each one's token count."""
     t = _tokenizer(path)
-    return {w: len(e.ids) for w, e in zip(words, t.encode_batch_fast(words, add_special_tokens=False), strict=True)}
+    ids = sorted(t.get_vocab().items(), key=lambda kv: kv[1])
+    words = [w.removesuffix(WORD_END) for w, _ in ids if w.endswith(WORD_END)]
+    words = [w for w in dict.fromkeys(words) if w and is_simple(w) and clip_words(w) == [w]][:table_words]
+    return "\n".join(words).encode(), bytes(_lengths(t, words))
+
+
+def _pieces(text: str, special: list[str]) -> list[str]:
+    """Pre-tokens, and whole stretches between blanks that the library must split itself."""
+    if is_simple(text) and not any(s in text for s in special):
+        return clip_words(text)
+    out: list[str] = []
+    for part in _BLANKS.split(text):
+        if is_simple(part) and not any(s in part for s in special):
+            out += clip_words(part)
+        elif part:
+            out.append(part)
+    return out
 
 
 def _count(path: str, table, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _CACHE:
+        if path not in _STATE:
             t = _tokenizer(path)
-            _CACHE[path] = (t, [x.content for x in t.get_added_tokens_decoder().values()], {})
-        t, special, cache = _CACHE[path]
-        first = table.value
+            words, lengths = table.value
+            first = dict(zip(words.decode().split("\n"), lengths, strict=True)) if lengths else {}
+            _STATE[path] = (t, [x.content for x in t.get_added_tokens_decoder().values()], first, dict(first))
+        t, special, first, known = _STATE[path]
         for batch in batches:
             n_bytes, n_tokens = [], []
             for x in batch.column(1):
                 text = x.as_py() or ""
                 n_bytes.append(len(text.encode()))
-                if is_simple(text) and not any(s in text for s in special):
-                    words = clip_words(text)
-                    total = 0
-                    missed = []
-                    for w in words:
-                        c = first.get(w)
-                        if c is None:
-                            c = cache.get(w)
-                            if c is None:
-                                missed.append(w)
-                                continue
-                        total += c
-                    if missed:
-                        new = list(dict.fromkeys(missed))
-                        got = {w: len(e.ids) for w, e in zip(new, t.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-                        total += sum(map(got.__getitem__, missed))
-                        if len(cache) + len(got) > CACHE_WORDS:
-                            cache.clear()
-                        if len(got) <= CACHE_WORDS:
-                            cache.update(got)
-                    n_tokens.append(total)
-                else:
-                    n_tokens.append(len(t.encode(text, add_special_tokens=False).ids))
+                words = _pieces(text, special)
+                if new := list(set(words).difference(known)):
+                    known.update(zip(new, _lengths(t, new), strict=True))
+                n_tokens.append(sum(map(known.__getitem__, words)))
+                if len(known) > CACHE_WORDS:
+                    known.clear()
+                    known.update(first)
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": batch.column(0), "n_bytes": pa.array(n_bytes, pa.int64()), "n_tokens": pa.array(n_tokens, pa.int64()), "over_limit": pa.array(np.array(n_tokens, np.int64) > limit, pa.bool_())}
             )
@@ -111,7 +100,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     row and a null id stays null; other columns are ignored. Special-token strings count as the
     library counts them by default.
     """
-    table = docs.sparkSession.sparkContext.broadcast(frequent_table(docs, path, text_col, table_words))
+    table = docs.sparkSession.sparkContext.broadcast(frequent_table(path, table_words))
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
         _count(path, table, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
     )

@@ -241,3 +241,14 @@ def test_dense_groups(spark):
                 root[max(u, v)] = min(u, v)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()} == {i: find(i) for i in ids}
+
+
+def test_token_counts_of_odd_texts(spark):
+    """Special strings, blanks and characters of every kind, beside the library on whole texts."""
+    path = queries.public_tokenizers.path("word_bpe_49k.json")
+    t = token_counts._tokenizer(path)
+    texts = ["<|endoftext|>", "a<|endoftext|>b <|startoftext|> c", "don't I'LL it's", "漢字 kana カナ mixed漢字word", "e\u0301 x\u0301y", "İstanbul ſ ß ÄÖ", "tab\tand\u00a0nbsp\u2003em\x1cfs\x85nel", "🙂🙂 a🙂b", "١٢٣ 12³", "a  b\r\n c", "", " ", "x" * 5000 + " é" * 50, "<|endoftext", "…—“”", "K\u212a"]
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()}
+    assert got == {k: len(t.encode(x, add_special_tokens=False).ids) for k, x in enumerate(texts)}
+    none = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, table_words=0).collect()}
+    assert none == got
