@@ -3,7 +3,8 @@
 Vectors are dealt to blocks of about ``CANDIDATES`` by a hash; in each block every dimension has a
 list of the vectors sorted by that component. A query reads all lists in step from the end that
 its own component's sign favours, scores each vector that it meets by random access, and stops
-when the sum of the lists' present values cannot reach its kth score. A block's best k are exact,
+when the sum of the lists' present values cannot reach its kth score, or every vector of the block
+has been met. A block's best k are exact,
 so the best k of all blocks' are. Queries too go in blocks: a task holds one block of either kind,
 whatever the tables' sizes, and nothing is broadcast.
 """
@@ -51,7 +52,7 @@ def threshold_search(ids: np.ndarray, vectors: np.ndarray, lists: np.ndarray, ow
             best, score = best[top], score[top]
         last = np.where(up, rows[:, n - depth], rows[:, depth - 1])
         bound = (vectors[last, use] * query[use]).sum()
-        if len(best) >= k and score[-1] > bound:
+        if (len(best) >= k and score[-1] > bound) or seen.all():
             break
         done, depth = depth, depth * 2
     top = np.lexsort((ids[best], -score))[:k]
