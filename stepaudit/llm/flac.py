@@ -73,6 +73,7 @@ def _predictors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _rice(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The best Rice parameter of each row of zigzag residuals, and its bits."""
+    z = z.astype(np.int32)  # residuals of 8-bit samples
     bits = np.stack([(z >> k).sum(1) + z.shape[1] * (k + 1) for k in range(11)], 1)
     k = bits.argmin(1)
     return k, bits[np.arange(len(z)), k]
@@ -406,7 +407,10 @@ def _media(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, media``: every whole text, padded with spaces to blocks, as a FLAC stream."""
+    """``doc_id, n_bytes, media``: every whole text, padded with spaces to blocks, as a FLAC stream.
+
+    Defined cases: those of :func:`digests`; equal texts give equal streams; no rows give none.
+    """
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return chosen.mapInArrow(_media, "doc_id long, n_bytes long, media binary")
 
@@ -420,29 +424,45 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, i
             yield batch, i, j, streams, decode(streams)
 
 
-def feature(x: np.ndarray) -> str:
-    """Energy, peak and sign changes of samples, as whole numbers."""
-    return f"energy={int((x * x).sum())};peak={int(np.abs(x).max(initial=0))};crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())}"
+def _pcm(x: np.ndarray, kind: str) -> Iterator[tuple[int, np.ndarray]]:
+    """Offsets in samples, and blocks of at most PCM_BLOCK of them; an empty stream has none."""
+    x = x.astype(kind)
+    for at in range(0, len(x), PCM_BLOCK):
+        yield at, x[at : at + PCM_BLOCK]
+
+
+def feature(blocks: list[np.ndarray]) -> str:
+    """Energy, peak and sign changes of a stream of PCM blocks, as whole numbers."""
+    energy = peak = crossings = 0
+    last = None
+    for b in blocks:
+        w, low = b.astype(np.int64), b < 0
+        energy, peak = energy + int((w * w).sum()), max(peak, int(np.abs(w).max(initial=0)))
+        crossings += int((low[1:] != low[:-1]).sum()) + int(last is not None and last != low[0])
+        last = low[-1]
+    return f"energy={energy};peak={peak};crossings={crossings}"
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, i, j, streams, samples in _read(batches):
-        payloads = [((x + 128).astype(np.uint8)).tobytes() for x in samples]
+        rows = []
+        for x in samples:
+            blocks = [b for _, b in _pcm(x, "i1")]
+            payload = b"".join((b.view(np.uint8) ^ 0x80).tobytes() for b in blocks)
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), feature(blocks)))
+        size, sha, crc, seen = zip(*rows, strict=True)
         yield pa.RecordBatch.from_pydict(
             {
                 "doc_id": batch.column(0)[i:j], "n_bytes": batch.column(1)[i:j],
-                "payload_bytes": pa.array([len(p) for p in payloads], pa.int64()),
-                "payload_sha256": pa.array([hashlib.sha256(p).hexdigest() for p in payloads], pa.string()),
-                "tail_crc32": pa.array([zlib.crc32(p[-16:]) for p in payloads], pa.int64()),
-                "media_bytes": pa.array([len(s) for s in streams], pa.int64()),
-                "media_sha256": pa.array([hashlib.sha256(s).hexdigest() for s in streams], pa.string()),
-                "feature": pa.array([feature(x) for x in samples], pa.string()),
+                "payload_bytes": pa.array(size, pa.int64()), "payload_sha256": pa.array(sha, pa.string()), "tail_crc32": pa.array(crc, pa.int64()),
+                "media_bytes": pa.array([len(s) for s in streams], pa.int64()), "media_sha256": pa.array([hashlib.sha256(s).hexdigest() for s in streams], pa.string()),
+                "feature": pa.array(seen, pa.string()),
             }
         )
 
 
 def digests(media: DataFrame) -> DataFrame:
-    """What the stored streams of :func:`to_media` hold when they are read back.
+    """What the stored streams of :func:`to_media` hold when they are read back in PCM blocks.
 
     Defined cases: a null text is an empty one, whose payload is one block of spaces; rows that
     repeat an id each give a row; a null id stays null; a damaged stream raises.
@@ -454,16 +474,20 @@ def digests(media: DataFrame) -> DataFrame:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, i, j, _, samples in _read(batches):
         for d, x in zip(range(i, j), samples, strict=True):
-            at = list(range(0, len(x), PCM_BLOCK))
-            parts = [x[a : a + PCM_BLOCK] for a in at]
+            cut = list(_pcm(x, "<i4"))
+            at, parts = [a for a, _ in cut], [b for _, b in cut]
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array([batch.column(0)[d].as_py()] * len(at), pa.int64()), "sample_offset": pa.array(at, pa.int64()),
-                    "n_samples": pa.array([len(p) for p in parts], pa.int64()), "pcm": pa.array([p.astype("<i4").tobytes() for p in parts], pa.binary()),
+                    "n_samples": pa.array([len(p) for p in parts], pa.int64()), "pcm": pa.array([p.tobytes() for p in parts], pa.binary()),
                 }
             )
 
 
 def pcm_blocks(media: DataFrame) -> DataFrame:
-    """``doc_id, sample_offset, n_samples, pcm``: blocks of 32-bit little-endian samples, to be sought by offset."""
+    """``doc_id, sample_offset, n_samples, pcm``: blocks of 32-bit little-endian samples, to be sought by offset.
+
+    Defined cases: a null stream and one without samples have no blocks; rows that repeat an id each give
+    their blocks; a null id stays null; a damaged stream raises.
+    """
     return media.select("doc_id", "media").where("media IS NOT NULL").mapInArrow(_cut, "doc_id long, sample_offset long, n_samples long, pcm binary")
