@@ -107,7 +107,7 @@ def _pair_table(path: str) -> tuple[list[int], list[int]]:
 
 
 class RankMap:
-    """The ranks and the pieces as literals of a plan.."""
+    """The ranks and the pieces as literals of a plan; :meth:`bound` lets one copy of each serve all uses."""
 
     def __init__(self, path: str):
         ranks = load_ranks(path)
@@ -119,8 +119,20 @@ class RankMap:
         def literal(values: list, kind: T.DataType) -> Column:
             return F.from_json(F.lit(json.dumps(values)), T.ArrayType(kind))
 
-        self.byte, self.slots = literal([ranks[bytes([b])] for b in range(256)], T.LongType()), literal(slots, T.LongType())
-        self.offset, self.pieces = literal(offset, T.LongType()), literal(pieces, T.StringType())
+        self.slots, self.offset, self.pieces = literal(slots, T.LongType()), literal(offset, T.LongType()), literal(pieces, T.StringType())
+
+    def bound(self, use) -> Column:
+        """``use()`` while the tables are variables of the expression instead of literals."""
+        own = self.slots, self.offset
+
+        def with_offset(slots: Column, offset: Column) -> Column:
+            self.slots, self.offset = slots, offset
+            try:
+                return use()
+            finally:
+                self.slots, self.offset = own
+
+        return _with(own[0], lambda slots: _with(own[1], lambda offset: with_offset(slots, offset)))
 
     def rank(self, left: Column, right: Column) -> Column:
         """The rank of two ids side by side, _NONE without one or where an id is null."""
@@ -135,7 +147,7 @@ def _with(value: Column, use) -> Column:
 
 
 def fold_merges(word: Column, ranks: RankMap) -> Column:
-    """Ids of a word (an array of its bytes), by folding the ranked merges over them.
+    """Ids of a word (an array of its bytes' ids), by folding the ranked merges over them.
 
     A piece is one number: the rank of the pair that it begins, 16 bits; its place in the word, 30;
     its id, 16. So the least number is the lowest rank, and of equal ranks the leftmost, and as an
@@ -161,8 +173,7 @@ def fold_merges(word: Column, ranks: RankMap) -> Column:
     def step(s: Column, _: Column) -> Column:
         return _with(F.array_min(s), lambda m: F.when(m >= none, s).otherwise(_with(F.array_position(s, m).cast("int"), lambda i: join(s, m, i))))
 
-    ids = F.transform(word, lambda b: F.get(ranks.byte, b))
-    start = _with(ids, lambda w: F.transform(w, lambda x, i: F.shiftleft(ranks.rank(x, F.get(w, i + 1)), 46) + F.shiftleft(i.cast("long"), 16) + x))
+    start = F.transform(word, lambda x, i: F.shiftleft(ranks.rank(x.cast("long"), F.get(word, i + 1)), 46) + F.shiftleft(i.cast("long"), 16) + x)
     folded = F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(word), F.lit(2))), start, step)
     return F.transform(folded, lambda x: piece_id(x).cast("int"))
 
@@ -180,11 +191,12 @@ class _Places(dict):
         return n
 
 
-def _group(pattern: str):
+def _group(pattern: str, path: str):
     """Rows of whole documents: ids, their words as places in the task's word list, and the new words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, place = Splitter(pattern), _Places()
+        split, place, ranks = Splitter(pattern), _Places(), load_ranks(path)
+        byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         ids: list = []
         idx: list[bytes] = []
         restart, chars, sent = True, 0, 0
@@ -194,7 +206,7 @@ def _group(pattern: str):
             short = [w if len(w) <= FOLD_BYTES else b"" for w in new]
             long = [b"" if len(w) <= FOLD_BYTES else w for w in new]
             ends = np.cumsum([0, *map(len, short)]).astype(np.int32)
-            words = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(short), np.uint8).astype(np.int32)))
+            words = pa.ListArray.from_arrays(pa.array(ends), pa.array(byte_ids[np.frombuffer(b"".join(short), np.uint8)]))
             words = pa.ListArray.from_arrays(pa.array([0, len(short)], pa.int32()), words)
             values = [pa.array([v], k) for v, k in ((restart, pa.bool_()), (ids, pa.list_(pa.int64())), (idx, pa.list_(pa.binary())), (long if any(long) else [], pa.list_(pa.binary())))]
             return pa.RecordBatch.from_arrays([*values, words], names=["restart", "ids", "idx", "long", "short"])
@@ -270,9 +282,9 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     """
     table = RankMap(ranks_path)
     grouped = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        _group(pattern), "restart boolean, ids array<long>, idx array<binary>, long array<binary>, short array<array<int>>"
+        _group(pattern, ranks_path), "restart boolean, ids array<long>, idx array<binary>, long array<binary>, short array<array<int>>"
     )
-    folded = grouped.select("restart", "ids", "idx", "long", F.transform("short", lambda w: fold_merges(w, table)).alias("folded"))
+    folded = grouped.select("restart", "ids", "idx", "long", table.bound(lambda: F.transform("short", lambda w: fold_merges(w, table))).alias("folded"))
     folded = folded.select("*", F.transform("folded", lambda w: decoded(w, table)).alias("bytes"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
     return folded.mapInArrow(_assemble(ranks_path, with_ids), schema)
