@@ -18,7 +18,6 @@ import heapq
 import json
 from collections.abc import Iterator
 from functools import cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -184,10 +183,15 @@ def decoded(ids: Column, ranks: RankMap) -> Column:
 
 
 class _Places(dict):
-    """Numbers for words in the order in which they are first met."""
+    """Numbers for words in the order in which they are first met; ``new`` are those not sent yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
 
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
+        self.new.append(word)
         return n
 
 
@@ -199,10 +203,10 @@ def _group(pattern: str, path: str):
         byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         ids: list = []
         idx: list[bytes] = []
-        restart, chars, sent = True, 0, 0
+        restart, chars = True, 0
 
         def row() -> pa.RecordBatch:
-            new = [w.encode() for w in islice(place, sent, None)]
+            new = [w.encode() for w in place.new]
             short = [w if len(w) <= FOLD_BYTES else b"" for w in new]
             long = [b"" if len(w) <= FOLD_BYTES else w for w in new]
             ends = np.cumsum([0, *map(len, short)]).astype(np.int32)
@@ -220,11 +224,10 @@ def _group(pattern: str, path: str):
                 chars += len(whole)
                 if chars >= GROUP_CHARS or len(place) >= HELD_WORDS:
                     yield row()
-                    sent, restart = len(place), len(place) >= HELD_WORDS
+                    restart = len(place) >= HELD_WORDS
                     if restart:
                         place.clear()
-                        sent = 0
-                    ids, idx, chars = [], [], 0
+                    place.new, ids, idx, chars = [], [], [], 0
         if ids:
             yield row()
 
@@ -237,23 +240,22 @@ def _assemble(path: str, with_ids: bool):
         pieces = dict(zip(ranks.values(), ranks.keys(), strict=True))
         digits = {r: str(r) for r in pieces}
         text: list[str] = []  # of each word: its ids joined by commas,
-        count: list[int] = []  # how many,
+        counts = np.zeros(0, np.int64)  # how many,
         back: list[bytes] = []  # and the bytes that they decode to
         for batch in batches:
             for r in range(len(batch)):
                 restart, keys, idx, long = (c[r].as_py() for c in batch.columns[:4])
                 if restart:
-                    text, count, back = [], [], []
+                    text, counts, back = [], np.zeros(0, np.int64), []
                 words = batch.column(4)[r].values
                 made, ends = list(map(digits.__getitem__, words.flatten().to_pylist())), (words.offsets.to_numpy() - words.offsets[0].as_py()).tolist()
                 first = len(text)
                 text += [",".join(made[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
-                count += [j - i for i, j in zip(ends[:-1], ends[1:], strict=True)]
+                counts = np.concatenate([counts, np.diff(ends)])
                 back += batch.column(5)[r].as_py()
                 for k in (k for k, w in enumerate(long) if w):
                     own = merge_long(long[k], ranks)
-                    text[first + k], count[first + k], back[first + k] = ",".join(map(digits.__getitem__, own)), len(own), b"".join(map(pieces.__getitem__, own))
-                counts = np.array(count, np.int64)
+                    text[first + k], counts[first + k], back[first + k] = ",".join(map(digits.__getitem__, own)), len(own), b"".join(map(pieces.__getitem__, own))
                 n, s1, s2, kept = [], [], [], []
                 for spots in idx:
                     w = np.frombuffer(spots, np.int32)
