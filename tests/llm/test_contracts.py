@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
-from compare import difference
+from compare import by_sql, difference
 from tokenizers import Tokenizer
 
 from stepaudit.llm import queries as q
@@ -128,15 +128,70 @@ def test_lm_score(spark, data, texts):
     assert np.allclose(mass, 1, atol=1e-3) and np.allclose(np.exp(model.table.reshape(-1, lm.TARGETS).astype(float)).sum(1), 1, atol=1e-4)
 
 
-def test_pipeline(spark, data):
+def _as_sql(docs, folder, sql):
+    """Rows of a query over ``docs`` as the table documents."""
+    folder.mkdir()
+    docs.toPandas().to_parquet(folder / "documents.parquet")
+    names, rows = by_sql(str(folder), sql)
+    return [dict(zip(names, r, strict=True)) for r, n in rows.items() for _ in range(n)]
+
+
+NEAR_5 = q._NEAR.replace("len(ws) < 4", "len(ws) < 5").replace("len(ws) - 2)", "len(ws) - 3)").replace("ws[i:i+3]", "ws[i:i+4]")
+
+
+def test_pipeline(spark, data, tmp_path):
+    """Each stage beside a plain version of it on its own input."""
+    import corpus_pipeline as c
+    from pyspark.sql import functions as F
+
+    from stepaudit.llm import language_id
+
+    first = spark.read.parquet(f"{data}/documents.parquet")
+    named, cut, one, packed = (stage for _, stage in c.STAGES)
+    model = language_id.train(first, F.lit(True))
+    kept = c.written(named(spark, first, data), "language")
+    want = {r.doc_id for r in first.collect() if (p := model.predict(r.text))[0] != "und" and p[1] >= c.LEAST_SCORE}
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == want and len(want) > 0.9 * first.count()
+
+    lines = c.written(cut(spark, kept, data), "lines")
+    want = {r["doc_id"]: r["text"] for r in _as_sql(kept, tmp_path / "a", q._LINES)}
+    assert {r.doc_id: r.text for r in lines.collect()} == want
+    assert all(r.n_chars == len(r.text) for r in lines.collect() if r.text is not None)
+
+    near = c.written(one(spark, lines, data), "near")
+    want = {r["doc_id"] for r in _as_sql(lines, tmp_path / "b", NEAR_5) if r["kept"]}
+    assert {r.doc_id for r in near.select("doc_id").collect()} == want and near.count() == len(want)
+    for docs in (kept, lines, near):
+        assert set(docs.columns) == {"doc_id", "text", "lang", "source", "n_chars"}
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    got = defaultdict(list)
+    for r in packed(spark, near, data).collect():
+        got[r.doc_id].append((r.start, r.length, r.ids_crc32))
+    for r in near.collect():
+        ids = np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+        assert sum(n for _, n, _ in got[r.doc_id]) == len(ids) and all(zlib.crc32(ids[s : s + n].tobytes()) == crc for s, n, crc in got[r.doc_id])
+    assert got.keys() == want
+
+
+def test_pipeline_odd_rows(spark, data):
+    """Null, empty and long texts, repeated rows and ids, an empty table and clashing names, stage by stage."""
     import corpus_pipeline as c
 
-    docs = spark.read.parquet(f"{data}/documents.parquet")
-    sizes = [docs.count()]
-    for name, stage in c.STAGES:
-        docs = c.written(stage(spark, docs, data), name)
-        sizes.append(docs.count())
-        if name != c.STAGES[-1][0]:
-            assert set(docs.columns) == {"doc_id", "text", "lang", "source", "n_chars"}
-            assert docs.select("doc_id").distinct().count() == sizes[-1]
-    assert sizes[0] >= sizes[1] == sizes[2] >= sizes[3] > 0.5 * sizes[0]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, lang_pred string, n string, h1 string, component string, ids string, bucket string"
+    english = "the quick brown fox jumps over the lazy dog and runs into the deep green forest again"
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "".join(f"{english} {k}\n" for k in range(3000))), (5, english), (5, english), (5, "another text about the rivers and the mountains of the north"), (6, english + " x"), (None, "lost id with the words of a text"), (None, None), (7, "12 34")]
+    rows += [(100 + k, f"{english} number {k} " + " ".join(f"w{k}_{j}" for j in range(30))) for k in range(40)]
+    docs = spark.createDataFrame([(k, t, "en", None, 5, 0.5, "x", "n", "h", "c", "i", "b") for k, t in rows], schema)
+    for name, stage in c.STAGES[:-1]:
+        before, docs = docs, c.written(stage(spark, docs, data), name)
+        assert docs.columns == before.columns
+        ids = sorted(-1 if r.doc_id is None else r.doc_id for r in docs.collect())
+        if name == "language_id":
+            assert set(ids) >= {4, 5, 6, -1, 100, 139} and not {1, 2, 3, 7} & set(ids)
+        assert stage(spark, before.limit(0), data).collect() == []
+    assert ids.count(5) == 2 and ids.count(6) == 0 and ids.count(-1) == 1
+    assert {r.text for r in docs.where("doc_id = 5").collect()} == {english, "another text about the rivers and the mountains of the north"}
+    pieces = c.STAGES[-1][1](spark, docs, data).collect()
+    assert sum(r.length for r in pieces if r.start == 0) > 0 and c.STAGES[-1][1](spark, docs.limit(0), data).collect() == []
+    assert len({(r.doc_id, r.doc_tokens) for r in pieces if r.start == 0}) == len(ids)
