@@ -10,6 +10,9 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+ARROW_ROWS = 2000
+
+
 def session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with adaptive execution, skew-join splitting and UTC."""
     b = SparkSession.builder.appName("stepaudit")
@@ -28,7 +31,12 @@ def session(master: str | None = None, shuffle_partitions: int | None = None) ->
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package to the executors once a session, for sessions started elsewhere."""
+    """Send the package to the executors once a session, for sessions started elsewhere.
+
+    Arrow batches are held to ARROW_ROWS rows: whole texts in larger ones cost an executor hundreds of MB.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_stepaudit_shipped", None) != sc.applicationId:
         top = Path(__file__).resolve().parent
