@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-
+#: Rows of an Arrow batch, at most.
 ARROW_ROWS = 2000
 
 
