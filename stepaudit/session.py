@@ -9,8 +9,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-#: Rows of an Arrow batch, at most.
-ARROW_ROWS = 2000
+#: Rows and bytes of an Arrow batch, at most; a larger row is a batch of its own.
+ARROW_ROWS, ARROW_BYTES = 2000, 4 << 20
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -33,10 +33,11 @@ def session(master: str | None = None, shuffle_partitions: int | None = None) ->
 def ship(spark: SparkSession) -> SparkSession:
     """Send the package to the executors once a session, for sessions started elsewhere.
 
-    Arrow batches are held to ARROW_ROWS rows: whole texts in larger ones cost an executor hundreds of MB.
+    Arrow batches are held to ARROW_ROWS rows and ARROW_BYTES bytes: whole texts or shingle sets in
+    larger ones cost an executor hundreds of MB.
     """
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     sc = spark.sparkContext
     if getattr(sc, "_stepaudit_shipped", None) != sc.applicationId:
         top = Path(__file__).resolve().parent
