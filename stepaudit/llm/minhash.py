@@ -67,7 +67,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the step and of its inverse; one size is kept for ordinary chunks."""
-    size = 1 << max(20, (n - 1).bit_length())
+    size = 1 << max(18, (n - 1).bit_length())
     if size not in _POWERS:
         made = tuple(np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, x, np.uint64)])) for x in (_STEP, _UNSTEP))
         if size > 1 << 21:
@@ -265,8 +265,8 @@ def _candidates(t: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.
         ok = (t["comp"][a] != t["comp"][b]) & (100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2))
         ok &= (t["blk"][a] != t["blk"][b]) | (t["i"][a] == t["j"][a])
         a, b = a[ok], b[ok]
-        for k in range(0, len(a), 50_000):
-            x, y = a[k : k + 50_000], b[k : k + 50_000]
+        for k in range(0, len(a), 10_000):
+            x, y = a[k : k + 10_000], b[k : k + 10_000]
             near = (t["sig"][x] != t["sig"][y]).sum(1) <= MAX_DISTANCE
             if near.any():
                 found.append((x[near], y[near]))
@@ -276,9 +276,9 @@ def _candidates(t: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.
     seen, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     keys, own = chunk_keys(t["sig"][seen]), np.zeros(len(a), bool)
     p, q = at[: len(a)], at[len(a) :]
-    for k in range(0, len(a), 20_000):
-        x, y = keys[p[k : k + 20_000]], keys[q[k : k + 20_000]]
-        own[k : k + 20_000] = np.where(x == y, x, np.iinfo(np.int64).max).min(1) == t["key"][a[k : k + 20_000]]
+    for k in range(0, len(a), 4_000):
+        x, y = keys[p[k : k + 4_000]], keys[q[k : k + 4_000]]
+        own[k : k + 4_000] = np.where(x == y, x, np.iinfo(np.int64).max).min(1) == t["key"][a[k : k + 4_000]]
     return a[own], b[own]
 
 
