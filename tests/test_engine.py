@@ -16,6 +16,7 @@ from stepaudit import governance
 from stepaudit.functions import texts
 from stepaudit.operators import envelope, features, report, semantic, tfidf
 from stepaudit.plans import cases
+from stepaudit.session import ARROW_BYTES, ship
 from stepaudit.sources import files
 
 
@@ -33,6 +34,21 @@ def test_run_files(spark, tmp_path):
     assert got == {"a.json": None, "b.json": "too-large", "c.json": "not-utf8", "d.json": "not-an-object"}
 
 
+def test_shipped_batches_are_bounded_in_bytes(spark):
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([len(b)], pa.int64()), "size": pa.array([b.nbytes], pa.int64())})
+
+    ship(spark)
+    long, row = spark.range(0, 3000, 1, 1).selectExpr("repeat('x', 10000) AS t"), 10_000
+    got = long.mapInArrow(sizes, "rows long, size long").collect()
+    assert sum(r.rows for r in got) == 3000 and max(r.size for r in got) <= ARROW_BYTES + 2 * row
+    whole = spark.range(0, 3, 1, 1).selectExpr(f"repeat('x', {2 * ARROW_BYTES}) AS t").mapInArrow(sizes, "rows long, size long").collect()
+    assert sum(r.rows for r in whole) == 3  # a row beyond the bound is kept whole
+
+
 def _row(q, s, text="why", **more):
     m = [{"role": "user", "content": text}, {"role": "assistant", "content": "a"}, {"role": "assistant", "content": "b"}]
     return {"query_index": q, "sample_index": s, "question": text, "step_labels": {"1": -1}, "messages": m} | more
