@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepaudit.llm import bpe, chat, flac, language_id, line_dedup, lm_score, minhash, packing, token_counts, topk
+from stepaudit.llm import bpe, chat, flac, language_id, line_dedup, lm_score, minhash, packing, suffix_dedup, token_counts, topk
 from stepaudit.session import ship
 
 
@@ -62,10 +62,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(_table(spark, sf_dir, "documents"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    made = [op1_line_dedup, op2_minhash, op3_chat, op4_bpe, op5_flac, op6_packing, op7_token_counts, op8_lm_score, op9_topk, op10_language_id]
+    made = [op1_line_dedup, op2_minhash, op3_chat, op4_bpe, op5_flac, op6_packing, op7_token_counts, op8_lm_score, op9_topk, op10_language_id, op12_suffix_dedup]
     return {f.__name__: f for f in made} | {"pipeline": corpus_pipeline.run}
 
 
@@ -126,6 +130,22 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+_REPEATS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM d, range(0, n - 99) t(i)),
+f AS (SELECT s, min({'d': doc_id, 'i': i}) AS first FROM w GROUP BY s HAVING count(*) > 1),
+r AS (SELECT w.doc_id, w.i, w.i - lag(w.i) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS step
+      FROM w JOIN f ON f.s = w.s WHERE w.doc_id <> f.first.d OR w.i <> f.first.i),
+g AS (SELECT doc_id, i, count_if(coalesce(step, 101) > 100) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM r),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, span),
+p AS (SELECT s.*, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+k AS (SELECT p.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS h,
+             sum(b - a) AS gone, count(*) AS spans FROM p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(k.gone, 0) AS BIGINT) AS n_removed,
+       coalesce(k.spans, 0) AS n_spans, sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _LINES, "op2_minhash": _NEAR, "op3_chat": _CHAT, "op9_topk": _TOPK}
+    return {"op1_line_dedup": _LINES, "op2_minhash": _NEAR, "op3_chat": _CHAT, "op9_topk": _TOPK, "op12_suffix_dedup": _REPEATS}
