@@ -35,6 +35,14 @@ def written(df: DataFrame, name: str = "t") -> DataFrame:
     return made
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that have ended.
+
+    It does so when the driver has collected the plans that name them, which it may otherwise not do for long.
+    """
+    spark._jvm.System.gc()
+
+
 def remove(*tables: DataFrame) -> None:
     """Delete the files of tables that :func:`written` returned; others are left alone.
 
