@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepaudit.llm import bpe, chat, flac, language_id, line_dedup, lm_score, minhash, packing, suffix_dedup, token_counts, topk
+from stepaudit.llm import bpe, chat, flac, hard_negatives, language_id, line_dedup, lm_score, minhash, packing, spelling, suffix_dedup, token_counts, topk
 from stepaudit.session import ship
 
 
@@ -62,14 +62,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"), damage_every=31)
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    made = [op1_line_dedup, op2_minhash, op3_chat, op4_bpe, op5_flac, op6_packing, op7_token_counts, op8_lm_score, op9_topk, op10_language_id, op12_suffix_dedup]
+    made = [op1_line_dedup, op2_minhash, op3_chat, op4_bpe, op5_flac, op6_packing, op7_token_counts, op8_lm_score, op9_topk, op10_language_id, op11_spelling, op12_suffix_dedup, op13_hard_negatives]
     return {f.__name__: f for f in made} | {"pipeline": corpus_pipeline.run}
 
 
@@ -146,6 +155,20 @@ SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(k.gone, 0) AS BIG
 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
 """
 
+_NEGATIVES = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS own, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+      FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE own
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INT) AS rank
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT own AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _LINES, "op2_minhash": _NEAR, "op3_chat": _CHAT, "op9_topk": _TOPK, "op12_suffix_dedup": _REPEATS}
+    return {"op1_line_dedup": _LINES, "op2_minhash": _NEAR, "op3_chat": _CHAT, "op9_topk": _TOPK, "op12_suffix_dedup": _REPEATS, "op13_hard_negatives": _NEGATIVES}
