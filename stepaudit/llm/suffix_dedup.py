@@ -33,13 +33,15 @@ from pyspark.sql.window import Window
 
 from stepaudit.llm.arrow import binaries, flat, pieces
 from stepaudit.llm.minhash import _BYTE, _mix, _powers
-from stepaudit.scratch import remove, written
+from stepaudit.scratch import release, remove, written
 
 LENGTH, GRAM = 100, 40
 #: Bytes of a text that are hashed at once, and bits of a place in them (kept in a gram's low bits).
 PART, PLACE_BITS = 1 << 19, 20
 #: Bytes of pieces that a bucket holds, and pieces of one key that go to one bucket, at most.
 BUCKET_BYTES, HOT = 4 << 20, 1 << 15
+#: Low bits of a key that its count leaves out (two keys that then look alike are only cut in vain).
+KEY_SHIFT = 16
 #: Starts that a piece of a hot key is cut into.
 CHUNK = 8
 
@@ -165,44 +167,48 @@ def _places(ids: np.ndarray, ties: np.ndarray, starts: np.ndarray) -> np.ndarray
 
 
 def _keys(length: int):
-    """Rows of pieces: a key once a batch for the count, and its other places under keys of their own (times -1)."""
+    """A row a piece: key, document and 4 * start + 1 for a key's only piece in the batch.
+
+    Of several, the first has 2 added in place of 1; the others, which are known to be wanted, have 0
+    and are dealt by keys of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch["text"])
-            found = [*_parts(data, offsets, length)]
+            found = [(key, text, start) for key, text, start, _, _ in _parts(data, offsets, length)]
             if not sum(len(f[0]) for f in found):
                 continue
-            key, text, start, n, at = (np.concatenate(x) for x in zip(*found, strict=True))
-            _, first, back, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-            lead = np.zeros(len(key), bool)
-            lead[first] = True
-            spread = np.where(lead, key, _mix(key.view(np.uint64) + np.arange(len(key), dtype=np.uint64)).view(np.int64))
-            ids, ties = (batch[c].to_numpy(zero_copy_only=False) for c in ("id", "tie"))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (spread, np.where(lead, times[back], -1), key, ids[text], ties[text], start, n.astype(np.int32), at.astype(np.int32))],
-                names=["dealt", "times", "key", "id", "tie", "start", "n", "at"],
-            )
+            key, text, start = (np.concatenate(x) for x in zip(*found, strict=True))
+            _, first, times = np.unique(key, return_index=True, return_counts=True)
+            seen = np.zeros(len(key), np.int64)
+            seen[first] = np.minimum(times, 2)
+            dealt = np.where(seen > 0, key, _mix(key.view(np.uint64) + np.arange(len(key), dtype=np.uint64)).view(np.int64))
+            doc = batch["doc"].to_numpy()[text]
+            yield pa.RecordBatch.from_arrays([pa.array(dealt >> KEY_SHIFT), pa.array(doc), pa.array(start * 4 + seen)], names=["dealt", "doc", "spot"])
 
     return run
 
 
 def _cut(length: int):
-    """Pieces' texts, the first of equal ones in a batch; the others come out as repeats (no key, no text)."""
+    """Wanted pieces, the first of equal ones in a batch; the others come out as repeats (no key, no text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch["text"])
-            spots = batch["spots"]
+            spots = batch["starts"]
             rows = np.repeat(np.arange(len(batch)), spots.value_lengths().to_numpy(zero_copy_only=False))
-            spots = spots.flatten()
-            key, start, n, at = (spots.field(c).to_numpy(zero_copy_only=False) for c in ("key", "start", "n", "at"))
-            ids, ties = (batch[c].to_numpy(zero_copy_only=False)[rows] for c in ("id", "tie"))
-            for i, j in pieces(np.concatenate([[0], np.cumsum(n.astype(np.int64) + length - 1)]), BUCKET_BYTES):
-                yield first_of_equals(data, offsets[rows[i:j]], *(x[i:j] for x in (key, ids, ties, start, n, at)))
+            wanted = rows << 40 | spots.flatten().to_numpy(zero_copy_only=False)
+            ids, ties = (batch[c].to_numpy(zero_copy_only=False) for c in ("id", "tie"))
+            for key, text, start, n, at in _parts(data, offsets, length):
+                take = np.flatnonzero(np.isin(text << 40 | start, wanted))
+                key, text, start, n, at = (x[take] for x in (key, text, start, n, at))
+                for i, j in pieces(np.concatenate([[0], np.cumsum(n + length - 1)]), BUCKET_BYTES):
+                    t = text[i:j]
+                    yield first_of_equals(data, offsets[t], key[i:j], ids[t], ties[t], start[i:j], n[i:j], at[i:j])
 
     def first_of_equals(data, base, key, ids, ties, start, n, at) -> pa.RecordBatch:
-        size = n.astype(np.int64) + length - 1
+        size = n + length - 1
         texts = binaries(data[_spread(base + start, size)], np.concatenate([[0], np.cumsum(size)]))
         place = _places(ids, ties, start)
         first = _firsts(texts, place)
@@ -307,32 +313,35 @@ def _finer(hot: DataFrame, width: int, length: int) -> DataFrame:
     return made.where("n > 0").select(F.xxhash64(F.lit(width), "core").alias("key"), "id", "tie", "start", "n", "at", "piece")
 
 
-def _by_keys(table: DataFrame, test: Column) -> tuple[DataFrame, DataFrame]:
-    """Keys' counts by a pre-aggregated sum; rows whose count passes, and the rest (both by joins that may be split)."""
-    keys = table.groupBy("key").agg(F.count("*").alias("rows")).where(test).select("key")
-    return table.join(keys, "key", "left_semi"), table.join(keys, "key", "left_anti")
+def _keys_where(table: DataFrame, test: Column) -> DataFrame:
+    """Keys whose number of rows, a pre-aggregated sum, passes a test. Joins with them may be split, or broadcast if they are small."""
+    return written(table.groupBy("key").agg(F.count("*").alias("rows")).where(test).select("key"), "keys")
 
 
 def repeated_runs(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """``id, tie, start, n``: runs of starts whose ``length`` bytes also start earlier; ``docs`` has id, tie, text."""
-    spread = Window.partitionBy("dealt")
-    spots = docs.mapInArrow(_keys(length), f"dealt long, times long, key long, {_RUNS}, at int")
-    wanted = (
-        spots.withColumn("seen", F.sum(F.when(F.col("times") > 0, F.col("times"))).over(spread))
-        .where("times < 0 OR seen > 1").groupBy("id", "tie").agg(F.collect_set(F.struct("key", "start", "n", "at")).alias("spots"))
-    )
-    found = written(docs.join(wanted, ["id", "tie"]).mapInArrow(_cut(length), _PIECES), "pieces")
+    spark = docs.sparkSession
+    docs = docs.withColumn("doc", F.xxhash64("id", "tie"))
+    seen = F.sum(F.col("spot").bitwiseAND(F.lit(3))).over(Window.partitionBy("dealt"))
+    spots = docs.select("doc", "text").mapInArrow(_keys(length), "dealt long, doc long, spot long").withColumn("seen", seen)
+    starts = spots.where("spot % 4 = 0 OR seen > 1").groupBy("doc").agg(F.collect_set(F.shiftright("spot", 2)).alias("starts"))
+    wanted = written(starts, "wanted")
+    release(spark)
+    found = written(docs.join(wanted, "doc").select("id", "tie", "text", "starts").mapInArrow(_cut(length), _PIECES), "pieces")
+    remove(wanted)
+    release(spark)
     runs = [found.where("key IS NULL").select("id", "tie", "start", "n")]
     kept, spare = found.where("key IS NOT NULL"), [found]
     for width in (CHUNK, 1):
-        many, few = _by_keys(kept, F.col("rows") > hot)
-        runs.append(_solve(few, length))
-        many = written(many, "hot")
+        many = _keys_where(kept, F.col("rows") > hot)
         spare.append(many)
+        runs.append(_solve(kept.join(many, "key", "left_anti"), length))
         if many.isEmpty():
             break
-        kept = written(_by_keys(_finer(many, width, length), F.col("rows") > 1)[0], "finer")
-        spare.append(kept)
+        finer = written(_finer(kept.join(many, "key", "left_semi"), width, length), "finer")
+        again = _keys_where(finer, F.col("rows") > 1)
+        spare += [finer, again]
+        kept = finer.join(again, "key", "left_semi")
     else:
         # Single starts: the least position of equal ones is a pre-aggregated minimum.
         place = F.struct("id", "tie", "start")
@@ -343,6 +352,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Data
         made = made.unionByName(r)
     made = written(made, "runs")
     remove(*spare)
+    release(spark)
     return made
 
 
