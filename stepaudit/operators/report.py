@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stepaudit.operators import redact, rules
 from stepaudit.operators.validate import MAX_BYTES
+from stepaudit.sources import verified
 
 #: Versions and the two notices of a report.
 REPORT_VERSION = NOTES_VERSION = 1
@@ -79,12 +80,19 @@ def write_texts(rows: DataFrame, path: str, text_col: str) -> None:
     rows.select(F.col(text_col).alias("value")).write.mode("errorifexists").text(path)
 
 
-def write_valid(runs: DataFrame, path: str, raw_col: str = "raw") -> None:
-    """Valid runs of at most 2 MiB under ``runs``, all others with their reason under ``quarantine``; ``runs`` has ``reason``."""
+def write_valid(runs: DataFrame, path: str, publication: str, raw_col: str = "raw") -> None:
+    """Publish valid runs of at most 2 MiB under ``runs`` and all others, as ``{"reason", "raw"}``, under ``quarantine``.
+
+    ``runs`` has ``reason``. One scan, one job: both parts become visible together or not at all, and
+    the same publication again changes nothing (``sources.verified``).
+    """
     small = F.octet_length(raw_col) <= MAX_BYTES
-    ok = F.col("reason").isNull() & small
-    runs.where(~F.coalesce(ok, F.lit(False))).withColumn("reason", F.coalesce("reason", F.lit("too-large"))).write.mode("errorifexists").parquet(f"{path}/quarantine")
-    write_texts(runs.where(ok), f"{path}/runs", raw_col)
+    ok = F.coalesce(F.col("reason").isNull() & small, F.lit(False))
+    told = F.to_json(F.struct(F.coalesce("reason", F.when(F.col(raw_col).isNull(), "missing").otherwise("too-large")).alias("reason"), F.col(raw_col).alias("raw")))
+    # A valid run may be written over several lines; those in JSON stand between values only.
+    line = F.when(ok, F.regexp_replace(raw_col, "[\\r\\n]+", " ")).otherwise(told)
+    rows = runs.select(F.when(ok, "runs").otherwise("quarantine").alias("folder"), F.lit(None).cast("string").alias("file"), line.alias("line"))
+    verified.write_committed(rows, path, publication)
 
 
 def evidence(samples: DataFrame, thresholds: list[float]) -> DataFrame:

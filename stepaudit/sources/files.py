@@ -13,8 +13,10 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stepaudit.operators import validate
+from stepaudit.sources import verified
 
 #: Bytes of a run or model file, split names, and what a model file must hold.
 MAX_BYTES = 2 * 1024 * 1024
@@ -23,6 +25,8 @@ ARTIFACT_KEYS = ["artifact_version", "feature_contract", "tokenizer", "classes",
 ARTIFACT_FIXED = {"artifact_version": 1, "feature_contract": "original-messages-v1", "tokenizer": "sklearn-ascii-v1", "classes": [-1, 0, 1]}
 THRESHOLDS = [0.5, 0.6, 0.7, 0.8, 0.9, 0.95]
 MAX_TERMS, MAX_TERM_UNITS = 20_000, 200
+#: Groups or files of a manifest, at most.
+MAX_MANIFEST = 100_000
 PROVENANCE_KINDS = ["synthetic", "train-validation"]
 
 CALL = "struct<id:string,function:struct<name:string,arguments:string>>"
@@ -51,14 +55,20 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = TRAJECTORY) -> Data
 
 
 def row_at(spark: SparkSession, path: str, offset: int) -> str:
-    """The line of one file at ``offset`` from 0; a negative or missing one raises. Reads one file in order."""
+    """The line of one file at ``offset`` from 0; a negative or missing one raises.
+
+    One pass counts the lines of byte ranges; then only the range that holds the line is read.
+    """
     if offset < 0:
         raise ValueError("the offset must not be negative")
-    lines = spark.read.format("binaryFile").load(path).select(F.split(F.col("content").cast("string"), "\n").alias("l"))
-    got = lines.select(F.get("l", F.lit(offset)).alias("line"), F.size("l").alias("n")).first()
-    if got is None or got.line is None or (offset == got.n - 1 and got.line == ""):
+    ranges = verified.byte_ranges(spark, {"rows": path}).withColumn("before", F.sum("lines").over(Window.orderBy("start")) - F.col("lines"))  # a row a range of one file
+    found = ranges.where((F.col("before") <= offset) & (F.lit(offset) < F.col("before") + F.col("lines"))).first()
+    if found is None:
         raise ValueError("there is no such row")
-    return got.line
+    system, name = verified.located(path)
+    with system.open_input_file(name) as f:
+        f.seek(found.start)
+        return f.read(found.stop - found.start).split(b"\n")[offset - found.before].decode()
 
 
 def refuse_links(path: str) -> Path:
@@ -72,8 +82,8 @@ def refuse_links(path: str) -> Path:
 
 def read_manifest(spark: SparkSession, path: str, sha256: str, groups: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Tables ``grp, split`` and ``file, sha256`` of a split manifest whose bytes have the digest ``sha256``."""
-    got = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("h"), F.col("content").cast("string").alias("raw")).first()
-    if got.h != sha256:
+    got = spark.read.format("binaryFile").load(path).where(F.col("length") <= MAX_BYTES).select(F.sha2("content", 256).alias("h"), F.col("content").cast("string").alias("raw")).first()
+    if got is None or got.h != sha256:
         raise ValueError("the split manifest has another digest")
     one = spark.createDataFrame([(got.raw,)], "raw string").select(F.from_json("raw", "groups map<string,string>, source_sha256 map<string,string>").alias("m"))
     split = one.select(F.explode("m.groups").alias("grp", "split"))
@@ -93,30 +103,30 @@ def inventory(present: DataFrame, expected: DataFrame) -> DataFrame:
     return both.select("file", problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def _listed(spark: SparkSession, path: str) -> set[str]:
-    """Names of the *.jsonl files of a folder, empty ones too (which a scan leaves out)."""
+def _listed(spark: SparkSession, path: str) -> dict[str, str]:
+    """Names and places of the *.jsonl files of a folder, empty ones too (which a scan leaves out)."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
-    return {n for n in (f.getPath().getName() for f in found) if n.endswith(".jsonl")}
+    places = {f.getPath().getName(): f.getPath().toString() for f in found}
+    return {n: p.removeprefix("file:") if p.startswith("file:/") and not p.startswith("file://") else p for n, p in places.items() if n.endswith(".jsonl")}
+
+
+def read_routed(spark: SparkSession, path: str, split: DataFrame, files: DataFrame, range_bytes: int = verified.RANGE_BYTES) -> DataFrame:
+    """Every row of a folder whose files are exactly those of the manifest, by its routing keys (``verified.ROUTED``)."""
+    small = [{r[0]: r[1] for r in t.select(*c).limit(MAX_MANIFEST + 1).collect()} for t, c in ((split, ("grp", "split")), (files, ("file", "sha256")))]
+    if max(map(len, small)) > MAX_MANIFEST:
+        raise ValueError("a manifest is small")
+    return verified.routed_rows(spark, _listed(spark, path), *small, range_bytes)
 
 
-def read_verified(spark: SparkSession, path: str, split: DataFrame, files: DataFrame, schema: str = TRAJECTORY) -> DataFrame:
+def read_verified(spark: SparkSession, path: str, split: DataFrame, files: DataFrame, schema: str = TRAJECTORY, range_bytes: int = verified.RANGE_BYTES) -> DataFrame:
     """Train and validation rows of a folder whose files are exactly those of the manifest.
 
-    Each file is parsed from the bytes whose digest was checked; TEST rows go by their routing columns
-    alone. Adds ``subset, grp, split``.
+    The scan is split in byte ranges, verified by digest while they are read; TEST rows go by their
+    routing columns alone, in the reader. Adds ``subset, grp, split``.
     """
-    if _listed(spark, path) != {r.file for r in files.select("file").collect()}:  # a manifest is small by contract
-        raise ValueError("the folder's files are not those of the manifest")
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(path)
-    raw = raw.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.sha2("content", 256).alias("sha256"), "content")
-    if (bad := inventory(raw.select("file", "sha256"), files).first()) is not None:
-        raise ValueError(f"{bad.file}: {bad.problem}")
-    lines = raw.join(F.broadcast(files), ["file", "sha256"]).select("file", F.explode(F.split(F.col("content").cast("string"), "\n")).alias("line")).where("line != ''")
-    route = lines.select("file", "line", F.from_json("line", "query_index bigint, sample_index bigint").alias("r")).select("file", "line", "r.*")
-    routed = with_routing(route, F.col("file")).join(F.broadcast(split), "grp", "left").where("split IS NULL OR split != 'test'")
-    checked = routed.select("subset", "grp", F.coalesce("split", F.raise_error(F.lit("a row of an unknown group"))).alias("split"), F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r"))
-    return checked.select("r.*", "subset", "grp", "split")
+    routed = read_routed(spark, path, split, files, range_bytes).where("split != 'test'")
+    return routed.select(F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r"), "subset", "grp", "split").select("r.*", "subset", "grp", "split")
 
 
 def check_model(raw: str) -> dict:

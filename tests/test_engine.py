@@ -17,7 +17,7 @@ from stepaudit.functions import texts
 from stepaudit.operators import envelope, features, report, semantic, tfidf
 from stepaudit.plans import cases
 from stepaudit.session import ARROW_BYTES, ship
-from stepaudit.sources import files
+from stepaudit.sources import files, verified
 
 
 def _sha(path) -> str:
@@ -176,9 +176,9 @@ def test_notes_and_sinks(spark, tmp_path):
     with pytest.raises(Exception, match="EXISTS|exists"):
         report.write_texts(made, str(tmp_path / "out"), "report")
     runs = spark.createDataFrame([("{}", None), ("[]", "not-an-object"), ("x" * (2 * 1024 * 1024 + 1), None)], "raw string, reason string")
-    report.write_valid(runs, str(tmp_path / "conv"))
-    assert spark.read.text(str(tmp_path / "conv/runs")).count() == 1
-    assert {r.reason for r in spark.read.parquet(str(tmp_path / "conv/quarantine")).collect()} == {"not-an-object", "too-large"}
+    report.write_valid(runs, str(tmp_path / "conv"), "one")
+    assert [r.value for r in verified.read_committed(spark, str(tmp_path / "conv"), "runs").collect()] == ["{}"]
+    assert {json.loads(r.value)["reason"] for r in verified.read_committed(spark, str(tmp_path / "conv"), "quarantine").collect()} == {"not-an-object", "too-large"}
     assert json.loads(report.results_json({"t": made.select("run_id")})) == {"t": [{"run_id": "r"}]}
     report.attempt(str(tmp_path / "a.json"), {"s": 1})
     with pytest.raises(FileExistsError):
