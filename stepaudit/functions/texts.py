@@ -1,6 +1,6 @@
-"""Text functions that built-ins cannot express: JSON text as Python writes it, and Unicode words.
+"""Text functions that no built-in has: JSON text as Python writes it, and Python's Unicode words.
 
-They are Arrow-batched pandas UDFs; callers keep them off rows that do not need them.
+JSON texts are Arrow-batched pandas UDFs; words are cut in the JVM by a pattern for Python's word characters.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 _WORDS = re.compile(r"(?u)\b\w\w+\b")
@@ -60,13 +60,39 @@ def canonical_json_of(raw: Column) -> Column:
     return run(raw)
 
 
-def words_of(text: Column) -> Column:
-    """Words for fitting: ASCII texts stay with the built-in pattern, others go to Python."""
+_CLASS: dict[str, str] = {}
+
+
+def _ranges(points: list[int]) -> str:
+    """Code points as the ranges of a Java character class."""
+    out, i = [], 0
+    while i < len(points):
+        j = i
+        while j + 1 < len(points) and points[j + 1] == points[j] + 1:
+            j += 1
+        out.append(f"\\x{{{points[i]:x}}}-\\x{{{points[j]:x}}}")
+        i = j + 1
+    return "".join(out)
 
-    @F.pandas_udf("array<string>")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(unicode_words)
 
-    plain = F.coalesce(text, F.lit(""))
-    ascii_words = F.regexp_extract_all(F.lower(plain), F.lit(r"[a-z0-9_]{2,}"), F.lit(0))
-    return F.when(plain.rlike(r"[^\x00-\x7F]"), run(F.when(plain.rlike(r"[^\x00-\x7F]"), plain))).otherwise(ascii_words)
+def word_class(spark: SparkSession) -> str:
+    """A Java class of exactly the characters that Python counts as part of a word.
+
+    That is letters, numbers and ``_``; where the JVM's Unicode version knows other letters than
+    Python's, which is asked once a session, their ranges are added or taken away.
+    """
+    key = spark.sparkContext.applicationId
+    if key not in _CLASS:
+        every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+        rest = spark._jvm.java.util.regex.Pattern.compile(r"[\p{L}\p{N}_]").matcher(every).replaceAll("")
+        java, python = set(every) - set(rest), set(re.findall(r"\w", every))
+        more, less = (sorted(map(ord, x)) for x in (python - java, java - python))
+        # The rare ranges are a class of their own, which is only tried for characters from its first one on.
+        rare = rf"[\x{{{more[0]:x}}}-\x{{10ffff}}&&[{_ranges(more)}]]" if more else ""
+        _CLASS[key] = rf"[\p{{L}}\p{{N}}_{rare}{'&&[^' + _ranges(less) + ']' if less else ''}]"
+    return _CLASS[key]
+
+
+def words_of(spark: SparkSession, text: Column) -> Column:
+    """Lower-cased words of two or more word characters of any script, as :func:`unicode_words`; cut in the JVM."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"{word_class(spark)}{{2,}}"), F.lit(0))

@@ -334,7 +334,7 @@ def fixture_json(spark: SparkSession, folder: str) -> DataFrame:
 
 def unicode_words(spark: SparkSession, folder: str) -> DataFrame:
     """the words that a fit sees."""
-    d = table(spark, folder, "documents").select("doc_id", texts.words_of(F.col("text")).alias("w"))
+    d = table(spark, folder, "documents").select("doc_id", texts.words_of(spark, F.col("text")).alias("w"))
     return d.select("doc_id", F.size("w").alias("n"), F.md5(F.array_join("w", " ")).alias("words"))
 
 

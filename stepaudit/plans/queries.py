@@ -102,9 +102,9 @@ def linear_head(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [rule_flags, flag_counts, timeline_search, redacted_documents, adapted_steps, prefix_features, leak_free_split, split_leaks,
             confusion_by_group, threshold_gate, coverage, class_report, vocabulary, tfidf_score, linear_head]
-    from stepaudit.plans import cases, logs
+    from stepaudit.plans import cases, logs, models
 
-    return {f.__name__: f for f in made} | cases.queries() | logs.queries()
+    return {f.__name__: f for f in made} | cases.queries() | logs.queries() | models.queries()
 
 
 FLAG_RULES = r"""x AS (SELECT *, CASE kind WHEN 'tool_call' THEN 1 ELSE -1 END AS x FROM s WHERE coalesce(call_id, '') <> '' AND kind IN ('tool_call', 'tool_result')),
@@ -158,7 +158,7 @@ SELECT threshold, rules_tp, rules_fp, model_tp, model_fp, model_neutral, both_tp
   coalesce(threshold = (SELECT threshold FROM e WHERE eligible ORDER BY model_recall DESC, threshold DESC LIMIT 1), false) AS selected FROM e"""
 
 _TERMS = r"""
-w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]{2,}') AS ws FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS ws FROM documents),
 o AS (SELECT doc_id, unnest(ws || list_transform(range(1, greatest(len(ws), 1)), lambda i: ws[i] || ' ' || ws[i + 1])) AS term FROM w),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM o GROUP BY ALL)"""
 
@@ -166,9 +166,9 @@ _MODEL = ", ".join(f"('{t}', {1 + k / 10}::DOUBLE, {', '.join(f'{((k + 1) * (j +
 
 
 def oracle_sql() -> dict[str, str]:
-    from stepaudit.plans import cases, logs
+    from stepaudit.plans import cases, logs, models
 
-    return cases.oracle_sql() | logs.oracle_sql() | {
+    return cases.oracle_sql() | logs.oracle_sql() | models.oracle_sql() | {
         "rule_flags": f"WITH {_FLAGS} SELECT * FROM f",
         "flag_counts": f"WITH {_FLAGS} SELECT run_id, rule, count(*) AS n FROM f GROUP BY ALL",
         "timeline_search": f"""WITH {_FLAGS}, r AS (SELECT run_id, pos, string_agg(title, ' ' ORDER BY phase, place, ordinal) AS titles, count(*) AS n_flags FROM f JOIN {TITLES} USING (rule) GROUP BY ALL)
