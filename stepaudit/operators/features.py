@@ -16,10 +16,11 @@ def part(content: Column) -> Column:
     return F.substring(F.regexp_replace(F.coalesce(content, F.lit("")), ANSWER, OMITTED), 1, PART_CHARS)
 
 
-def calls_of(messages: DataFrame) -> Column:
-    """Tool calls of assistants; those of other roles, and a null array, are none."""
-    kind = messages.schema["tool_calls"].dataType
-    return F.when(F.col("role") == "assistant", F.coalesce("tool_calls", F.array().cast(kind))).otherwise(F.array().cast(kind))
+def calls_of(messages: DataFrame, any_role: bool = False) -> Column:
+    """Tool calls of assistants; those of other roles (unless ``any_role``), and a null array, are none."""
+    none = F.array().cast(messages.schema["tool_calls"].dataType)
+    calls = F.coalesce("tool_calls", none)
+    return calls if any_role else F.when(F.col("role") == "assistant", calls).otherwise(none)
 
 
 def unsupported(messages: DataFrame) -> DataFrame:
@@ -45,8 +46,13 @@ def adapt(messages: DataFrame, exclude_final: bool = False) -> DataFrame:
     kind = F.when(F.col("role") == "user", "task").when(F.col("role") == "assistant", "assistant").when(F.col("role") == "tool", "tool_result")
     first = F.concat(F.lit("m"), "msg_index")
     none = F.lit(None).cast("string")
+
+    def given(name: str) -> Column:
+        """A tool message's name or id; an empty one counts as absent."""
+        return F.when(F.col("role") == "tool", F.nullif(F.col(name), F.lit(""))) if name in messages.columns else none
+
     own = F.array(F.struct(first.alias("id"), kind.alias("kind"), F.coalesce("content", F.lit("")).alias("content"),
-                           (F.col("name") if "name" in messages.columns else none).alias("tool"), (F.col("tool_call_id") if "tool_call_id" in messages.columns else none).alias("call_id")))
+                           given("name").alias("tool"), given("tool_call_id").alias("call_id")))
     steps = own
     if "tool_calls" in messages.columns:
         calls = F.transform(calls_of(messages), lambda c, j: F.struct(
@@ -66,7 +72,7 @@ def prefix_features(messages: DataFrame) -> DataFrame:
     """
     text = F.concat("role", F.lit(" "), part(F.col("content")))
     if "tool_calls" in messages.columns:
-        calls = F.transform(calls_of(messages), lambda c: F.concat(F.coalesce(c["function"]["name"], F.lit("")), F.lit(" "), F.substring(F.coalesce(c["function"]["arguments"], F.lit("")), 1, PART_CHARS)))
+        calls = F.transform(calls_of(messages, any_role=True), lambda c: F.concat(F.coalesce(c["function"]["name"], F.lit("")), F.lit(" "), F.substring(F.coalesce(c["function"]["arguments"], F.lit("")), 1, PART_CHARS)))
         text = F.array_join(F.concat(F.array(text), calls), "\n")
     slot = F.when(F.col("role").isin(ROLES), text)
     run = Window.partitionBy("run_id")

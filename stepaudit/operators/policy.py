@@ -165,6 +165,24 @@ def coverage(samples: DataFrame) -> DataFrame:
     )
 
 
+def full_coverage(samples: DataFrame, labels: list[int] | None = None) -> DataFrame:
+    """:func:`coverage` with ``reasons`` (a map of the unsupported ones' counts, in their order) and zeros for labels without a sample."""
+    sets = [["split"], ["split", "label"], ["split", "subset"], ["split", "label", "subset"]]
+    cols = ("split", "label", "subset")
+    by = samples.where("support_reason IS NOT NULL").groupingSets([[F.col(c) for c in s] + [F.col("support_reason")] for s in sets], *map(F.col, cols), F.col("support_reason")).agg(F.count("*").alias("n"))
+    told = by.groupBy(*cols).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("support_reason", "n")))).alias("reasons"))  # a few reasons a cell
+    made = coverage(samples)
+    every = F.array(*[F.lit(x) for x in (None, *(labels or [-1, 0, 1]))]).cast("array<int>")
+    cells = samples.groupingSets([[F.col("split")], [F.col("split"), F.col("subset")]], F.col("split"), F.col("subset")).agg(F.count("*").alias("n")).select(F.col("split").alias("__s"), F.col("subset").alias("__u"), F.explode(every).alias("__l"))
+    told = told.select(*[F.col(c).alias(f"__{c}") for c in cols], "reasons")
+    own = [F.col(a).eqNullSafe(F.col(b)) for a, b in (("__s", "split"), ("__l", "label"), ("__u", "subset"))]
+    why = [F.col(a).eqNullSafe(F.col(b)) for a, b in (("__s", "__split"), ("__l", "__label"), ("__u", "__subset"))]
+    none = F.create_map().cast("map<string,bigint>")
+    return cells.join(made, own, "left").join(told, why, "left").select(
+        F.col("__s").alias("split"), F.col("__l").alias("label"), F.col("__u").alias("subset"), *[F.coalesce(c, F.lit(0)).alias(c) for c in made.columns[3:]], F.coalesce("reasons", none).alias("reasons")
+    )
+
+
 def class_report(samples: DataFrame) -> DataFrame:
     """Precision, recall, F1 and support of every class of ``label`` against ``predicted``."""
     pairs = samples.select(F.explode(F.array(F.struct(F.col("label").alias("class"), F.lit(True).alias("own"), (F.col("label") == F.col("predicted")).alias("hit")),

@@ -42,7 +42,7 @@ def prepare(messages: DataFrame) -> DataFrame:
     arguments included.
     """
     run = Window.partitionBy("run_id")
-    calls = F.transform(features.calls_of(messages), lambda c: F.struct(clean(c["function"]["name"]).alias("name"), clean(c["function"]["arguments"]).alias("arguments")))
+    calls = F.transform(features.calls_of(messages, any_role=True), lambda c: F.struct(clean(c["function"]["name"]).alias("name"), clean(c["function"]["arguments"]).alias("arguments")))
     live = F.col("role").isin(features.ROLES)
     base = messages.withColumns({"c": F.when(live, calls), "t": clean(F.col("content"))})
     part = F.concat_ws("\n", F.concat("role", F.lit(" "), F.substring("t", 1, PART_CHARS)), F.transform("c", lambda c: F.concat(c["name"], F.lit(" "), F.substring(c["arguments"], 1, PART_CHARS))))
