@@ -85,8 +85,8 @@ def cut_points(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram
 
 def _parts(data: np.ndarray, offsets: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Pieces of any texts; longer texts are read in parts that overlap by ``length - 1`` bytes."""
-    for i, j in pieces(offsets):
-        if offsets[j] - offsets[i] <= PART:
+    for i, j in pieces(offsets, PART // 2):
+        if j > i + 1 or offsets[j] - offsets[i] <= PART:
             key, text, start, n, at = cut_points(data, offsets[i : j + 1], length)
             yield key, text + i, start, n, at
             continue
