@@ -7,7 +7,7 @@ packing cuts the rest into sequences.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepaudit.llm import language_id as languages
@@ -24,6 +24,11 @@ LEAST_SCORE = 0.5
 ORACLE_SQL = None
 
 
+def _own(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs`` by quoted names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that is known with a score of at least LEAST_SCORE.
 
@@ -33,7 +38,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     model = languages.train(docs, F.lit(True))
     named = languages.identify(docs, model)
-    return named.where((F.col("lang_pred") != languages.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    return named.where((F.col("lang_pred") != languages.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*_own(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +48,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     as one document here; ties go to the least id, then text hash, then place.
     """
     cut = lines.dedup_lines(docs)
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*_own(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
