@@ -11,8 +11,7 @@ sides by exchanges that adaptive execution may split. Texts are shuffled once, b
 Defined cases: a null text stays null and an empty one empty; documents with fewer lines than
 ``window`` are untouched; windows of blank lines only are never repeats; rows equal in id and text
 count as one document and get the same result; rows with the same id (null also) and another text
-are documents of their own, told apart by the text; other columns go through, but for names that
-start with ``__ld_``.
+are documents of their own, told apart by the text; other columns go through, whatever their names.
 """
 
 from __future__ import annotations
@@ -53,6 +52,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Adds ``n_lines`` (before) and ``n_removed``, both null for a null text; they replace
     columns of these names.
     """
+    made = [(c, f"c{k}") for k, c in enumerate(docs.columns)]  # columns go by numbers, so that no name can clash or need quotes
+    id_col, text_col = dict(made)[id_col], dict(made)[text_col]
+    docs = docs.toDF(*[n for _, n in made])
     wins = _windows(docs, id_col, text_col, window)
     place = F.struct("__ld_id", "__ld_t", "p")
     first = (
@@ -83,5 +85,5 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             "__ld_new": F.when(hit, cut).otherwise(F.col(text_col)),
         }
     )
-    names = list(docs.columns) + [c for c in ("n_lines", "n_removed") if c not in docs.columns]
-    return out.select(*[F.col("__ld_new").alias(c) if c == text_col else F.col(c) for c in names])
+    kept_cols = [F.col("__ld_new" if n == text_col else n).alias(c) for c, n in made if c not in ("n_lines", "n_removed")]
+    return out.select(*kept_cols, "n_lines", "n_removed")

@@ -482,8 +482,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Defined cases: texts without words and rows without an id all stay, but rows equal in id and
     text count as one; rows that repeat an id with unlike texts all stay unless another is near them;
-    an empty table stays empty. Names that begin with ``__nd_`` are taken.
+    an empty table stays empty. Columns may have any names.
     """
+    names, numbered = docs.columns, [f"c{k}" for k in range(len(docs.columns))]
+    id_col, text_col = (numbered[names.index(c)] for c in (id_col, text_col))
+    docs = docs.toDF(*numbered)
     groups = near_groups(docs, id_col, text_col, n, percent)
     cls = [F.col("doc_id"), F.when(F.col("n_shingles") == 0, F.col("text_hash")).otherwise(F.col("set_hash")).alias("set_hash")]
     same = groups.where("stays AND doc_id IS NOT NULL").select(*cls, "text_hash").groupBy("doc_id", "set_hash")
@@ -494,4 +497,4 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = F.col(id_col).cast("long").eqNullSafe(F.col("__nd_id")) & (F.xxhash64(text_col) == F.col("__nd_text"))
     single = docs.join(verdict, same, "left_anti")
     again = docs.join(verdict.where("__nd_set IS NOT NULL"), same).dropDuplicates(["__nd_id", "__nd_set"])
-    return single.unionByName(again.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    return single.unionByName(again.select(*numbered)).toDF(*names)

@@ -69,15 +69,19 @@ def _search(k: int):
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(left) and len(right):
             ids, queries = left["id"].to_numpy(), right["id"].to_numpy()
+            rows = right["row"].to_numpy()
             x, q = _matrix(left["v"]), _matrix(right["v"])
-            if float(np.abs(x.astype(float)).max(initial=0)) * float(np.abs(q.astype(float)).max(initial=0)) * x.shape[1] < 2**52:
+            most = float(np.abs(x.astype(float)).max(initial=0)) * float(np.abs(q.astype(float)).max(initial=0)) * x.shape[1]
+            if most >= 2**62:
+                raise OverflowError("a score does not fit 64 bits")
+            if most < 2**52:
                 x, q = x.astype(np.float64), q.astype(np.float64)  # sums stay exact
             lists = np.ascontiguousarray(np.argsort(x, axis=0, kind="stable").T)
-            for own, row in zip(queries, q, strict=True):
+            for own, number, row in zip(queries, rows, q, strict=True):
                 found, score = threshold_search(ids, x, lists, own, row, k)
-                out.append((np.full(len(found), own), found, score.astype(np.int64)))
-        a, b, c = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3))
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.int64())})
+                out.append((np.full(len(found), number), np.full(len(found), own), found, score.astype(np.int64)))
+        columns = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(4)]
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("row", "query_id", "vec_id", "score"), columns, strict=True)})
 
     return run
 
@@ -95,18 +99,20 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     Components are quantized by :func:`quantized`. Defined cases: vectors that are null, empty or
     hold null or non-finite components, and null ids, take no part; a query meets vectors of its
     own dimension only, and never one with its own id; rows that repeat an id are candidates of
-    their own, but equal queries give one list; fewer than k candidates all come; no rows in, no
-    rows out; other columns are ignored.
+    their own, equal queries give one list, and queries of one id with unlike vectors a list each;
+    fewer than k candidates all come; scores that might not fit 64 bits raise; no rows in, no rows
+    out; other columns are ignored.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantized(F.col(vector_col)).alias("v"), is_query.alias("q"))
     rows = written(rows.where("id IS NOT NULL AND v IS NOT NULL").withColumn("dim", F.size("v")), "vectors")
     n, m = rows.agg(F.count("*"), F.count_if("q")).first()
     many, some = max(1, -(-n // CANDIDATES)), max(1, -(-m // QUERIES))
-    deal = F.xxhash64("id")
+    deal = F.xxhash64("id", "v")
     cands = rows.withColumn("b", F.pmod(deal, F.lit(many))).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(some - 1)))).select("b", "s", "dim", "id", "v")
+    number = F.xxhash64("id", "v").alias("row")
     asked = rows.where("q").dropDuplicates(["id", "v"]).withColumn("s", F.pmod(deal, F.lit(some)).cast("int"))
-    asked = asked.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long")))).select("b", "s", "dim", "id", "v")
+    asked = asked.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long")))).select("b", "s", "dim", number, "id", "v")
     keys = ["b", "s", "dim"]
-    found = cands.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_search(k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = cands.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(_search(k), "row long, query_id long, vec_id long, score long")
+    best = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

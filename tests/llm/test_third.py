@@ -203,3 +203,36 @@ def test_bounds_prune(spark):
     assert kept < 0.4 * 8 * len(rows), kept
 
 
+
+
+def test_column_names(spark, data):
+    """Names with dots and quotes, those that stages use themselves, and repeated ones, in the operators and every stage."""
+    import corpus_pipeline as c
+
+    from stepaudit.llm import line_dedup, minhash
+
+    names = ["a.b", "__ld_id", "__nd_id", "c0", "x`y", "n_removed", "__ld_new"]
+    block = "one line of words\nanother line here\na third line there"
+    rows = [(1, f"{block}\nfirst and more words", 5), (2, f"{block}\nsecond of its own kind", 5), (3, "some words that stand here only once", 5), (4, "some words that stand here only once", 5)]
+    docs = spark.createDataFrame([(k, t, "en", None, n, *"abcdefg") for k, t, n in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n.replace('`', '``')}` string" for n in names))
+    cut = line_dedup.dedup_lines(docs)
+    assert cut.columns == [n for n in docs.columns if n != "n_removed"] + ["n_lines", "n_removed"]
+    assert {r.doc_id: (r.text, r["a.b"], r["__ld_id"]) for r in cut.collect()}[2] == ("second of its own kind", "a", "b")
+    kept = minhash.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r["__nd_id"], r["x`y"]) for r in kept.collect()) == [(k, "c", "e") for k in (1, 2, 3)]
+    plain = docs.drop("n_removed")
+    for name, stage in c.STAGES[1:3]:
+        got = stage(spark, plain, data)
+        assert got.columns == plain.columns and got.count() == (4 if name == "line_dedup" else 3)
+
+
+def test_top_k_of_repeated_ids(spark):
+    from stepaudit.llm import topk
+
+    schema = "vec_id long, embedding array<double>"
+    v = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (2, [0.0, 2.0])], schema)
+    got = sorted((r.rank, r.vec_id, r.score) for r in topk.top_k(v, F.col("vec_id") == 0, 2).collect())
+    assert got == sorted([(1, 1, 65536), (2, 2, 0), (1, 2, 131072), (2, 2, 65536)])
+    for x in (3e7, 1e300):
+        with pytest.raises(Exception, match="64 bits"):
+            topk.top_k(spark.createDataFrame([(0, [x, 1.0]), (1, [-3e9, x])], schema), F.col("vec_id") == 0).collect()
