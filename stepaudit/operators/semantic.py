@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stepaudit.operators import features, vectors
+from stepaudit.session import ship
 
 #: Characters of a task, part, prefix and tool name; calls; tokens of a whole action; pair of streams a batch.
 TASK_CHARS, PART_CHARS, PREFIX_CHARS, NAME_CHARS = 4000, 4000, 12_000, 128
@@ -166,7 +167,30 @@ def encode(rows: DataFrame, key: str, load: Callable[[], Callable[[list[list[int
             yield pd.DataFrame({key: f[key].to_numpy(), "pair": pairs})
 
     kind = rows.schema[key].dataType.simpleString()
-    return rows.select(key, "context", "action").dropDuplicates([key]).mapInPandas(run, f"{key} {kind}, pair array<float>")
+    # Streams of like length share a batch.
+    ordered = rows.select(key, "context", "action").dropDuplicates([key]).sortWithinPartitions(F.size("context") + F.size("action"), key)
+    return ordered.mapInPandas(run, f"{key} {kind}, pair array<float>")
+
+
+def encode_cached(rows: DataFrame, key: str, load: Callable[[], Callable[[list[list[int]]], np.ndarray]], width: int, cache: str) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`encode` with a lasting cache of pairs in the shared folder ``cache``, and ``keys, hits, encoded`` of this call.
+
+    Only keys that the cache lacks are encoded; they are added to it in one committed append, so a job
+    that fails adds nothing. Equal keys from jobs that ran at one time count once. The cache is
+    joined by key, never broadcast by hand: it grows with what was encoded.
+    """
+    spark = ship(rows.sparkSession)
+    kind = rows.schema[key].dataType.simpleString()
+    spark.createDataFrame([], f"{key} {kind}, pair array<float>").write.mode("append").parquet(cache)
+
+    def held() -> DataFrame:
+        return spark.read.schema(f"{key} {kind}, pair array<float>").parquet(cache).dropDuplicates([key])
+
+    distinct = rows.select(key, "context", "action").dropDuplicates([key])
+    n = distinct.count()
+    before = distinct.select(key).join(held().select(key), key, "left_semi").count()
+    encode(distinct.join(held().select(key), key, "left_anti"), key, load, width).write.mode("append").parquet(cache)
+    return distinct.select(key).join(held(), key), {"keys": n, "hits": before, "encoded": n - before}
 
 
 def cache_key(identity: str, *parts: Column) -> Column:

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepaudit.functions import wordpiece
-from stepaudit.operators import semantic
+from stepaudit.operators import semantic, vectors
 from stepaudit.plans.views import table
+from stepaudit.scratch import folder as shared
+from stepaudit.scratch import remove, written
 from stepaudit.session import ship
 
-#: Pieces of the queries' vocabulary.
-SIZE = 2000
+#: Pieces of the queries' vocabulary, and numbers in a vector of their made encoder.
+SIZE, WIDTH = 2000, 8
 
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,6 +53,41 @@ def span_audit(spark: SparkSession, folder: str) -> DataFrame:
     return spans.select("conv_id", "turn", F.size("o").alias("n_tokens"), s.alias("s")).select("conv_id", "turn", "n_tokens", "s.before", "s.retained", "s.gone")
 
 
+def _encoder():
+    """A made encoder: unit vectors that depend on a stream's ids and their order."""
+
+    def run(streams: list[list[int]]) -> np.ndarray:
+        made = np.array([[sum(math.sin(t * (k + 1) + p) for p, t in enumerate(s)) + 0.01 for k in range(WIDTH)] for s in streams])
+        return made / np.linalg.norm(made, axis=1, keepdims=True)
+
+    return run
+
+
+def encoded_streams(spark: SparkSession, folder: str) -> DataFrame:
+    """Streams encoded through a lasting cache, first of every second conversation, then of all, then again."""
+    words = vocabulary(ship(spark), folder)
+    m = table(spark, folder, "conversations").select(F.col("conv_id").alias("run_id"), F.col("turn").alias("msg_index"), "role", F.col("text").alias("content"), F.lit("why").alias("question"))
+    m = m.withColumn("tool_calls", F.array().cast("array<struct<id:string,function:struct<name:string,arguments:string>>>"))
+    prepared = semantic.prepare(m).withColumn("key", semantic.cache_key("made-encoder", F.lit("train"), F.col("task"), F.col("prefix"), F.col("text")))
+    got = written(semantic.streams(wordpiece.tokenize(prepared, words), wordpiece.CLS, wordpiece.SEP, wordpiece.UNK).select("run_id", "key", "context", "action"), "streams")
+    cache, rows = f"{shared(spark)}/cache-{uuid.uuid4().hex}", []
+    for k, part in enumerate((got.where("run_id % 2 = 0"), got, got)):
+        pairs, counts = semantic.encode_cached(part, "key", _encoder, WIDTH, cache)
+        size, unit = pairs.agg(F.count("*"), F.count_if((F.size("pair") == 2 * WIDTH) & (F.abs(vectors.dot(F.col("pair").cast("array<double>"), F.col("pair").cast("array<double>")) - 2) < 1e-4))).first()
+        rows.append((k, counts["keys"], counts["hits"], counts["encoded"], size, unit))
+    remove(got)
+    return spark.createDataFrame(rows, "call int, n_keys bigint, hits bigint, encoded bigint, pairs bigint, unit_pairs bigint")
+
+
+_CALLS = """WITH p AS (SELECT conv_id, turn, role, coalesce(text, '') AS c FROM conversations),
+w AS (SELECT *, coalesce(array_to_string(list_filter(array_agg(CASE WHEN role <> 'system' THEN role || ' ' || left(c, 4000) END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), lambda x: x IS NOT NULL), chr(10)), '') AS pre,
+  max(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS last FROM p),
+k AS (SELECT conv_id, right(pre, 12000) AS pre, left(c, 4000) AS c FROM w WHERE role = 'assistant' AND turn < last),
+n AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT pre, c FROM k)) AS n, (SELECT count(*) FROM (SELECT DISTINCT pre, c FROM k WHERE conv_id % 2 = 0)) AS half)
+SELECT CAST(call AS INT) AS call, CASE call WHEN 0 THEN half ELSE n END AS n_keys, CASE call WHEN 0 THEN 0 WHEN 1 THEN half ELSE n END AS hits, CASE call WHEN 0 THEN half WHEN 1 THEN n - half ELSE 0 END AS encoded,
+  CASE call WHEN 0 THEN half ELSE n END AS pairs, CASE call WHEN 0 THEN half ELSE n END AS unit_pairs FROM n, range(3) r(call)"""
+
+
 def vocabulary_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """The counted vocabulary by id."""
     return spark.createDataFrame(list(enumerate(vocabulary(ship(spark), folder))), "id int, piece string")
@@ -62,8 +102,8 @@ SELECT CAST(row_number() OVER (ORDER BY part, o, k, piece) - 1 AS INT) AS id, pi
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (vocabulary_pieces, token_streams, span_audit)}
+    return {f.__name__: f for f in (vocabulary_pieces, token_streams, span_audit, encoded_streams)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"vocabulary_pieces": _VOCABULARY}
+    return {"vocabulary_pieces": _VOCABULARY, "encoded_streams": _CALLS}

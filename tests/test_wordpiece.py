@@ -89,3 +89,27 @@ def test_empty(spark, rows):
     df = spark.createDataFrame(rows, "t string")
     assert [r.o for r in df.select(wp.tokens_of(WORDS)(F.col("t")).alias("o")).collect()] == [[] for _ in rows]
     assert wp.build_vocabulary(df, "t") == wp.SPECIAL
+
+
+def _refuse():
+    def run(streams):
+        raise ValueError("nothing is left to encode")
+
+    return run
+
+
+def test_cache(spark, tmp_path):
+    cache = str(tmp_path / "cache")
+    rows = spark.createDataFrame([(f"k{k % 30}", [2, *range(k % 30 + 1), 3], [2, k % 30, 3]) for k in range(90)], "key string, context array<int>, action array<int>").repartition(4)
+    first, counts = semantic.encode_cached(rows.where("key < 'k2'"), "key", semantics._encoder, semantics.WIDTH, cache)
+    held = {r.key: r.pair for r in first.collect()}
+    assert counts == {"keys": 12, "hits": 0, "encoded": 12} and len(held) == 12
+    with pytest.raises(Exception):  # a job that fails adds nothing
+        semantic.encode_cached(rows, "key", _refuse, semantics.WIDTH, cache)
+    pairs, counts = semantic.encode_cached(rows, "key", semantics._encoder, semantics.WIDTH, cache)
+    assert counts == {"keys": 30, "hits": 12, "encoded": 18}
+    again, counts = semantic.encode_cached(rows, "key", _refuse, semantics.WIDTH, cache)
+    made = {r.key: r.pair for r in again.collect()}
+    assert counts["encoded"] == 0 and made == {r.key: r.pair for r in pairs.collect()} and held.items() <= made.items()
+    plain = semantics._encoder()([[2, *range(8), 3], [2, 7, 3]]).ravel()
+    assert max(abs(a - b) for a, b in zip(made["k7"], plain, strict=True)) < 1e-6
