@@ -42,7 +42,7 @@ def invalid_rows(samples: DataFrame, groups: DataFrame | None = None) -> DataFra
         .when(F.isnan(score) | (score < 0) | (score > 1), "score")
     )
     if groups is not None:
-        frozen = F.broadcast(groups.select(F.col("grp").alias("__g")).distinct())
+        frozen = groups.select(F.col("grp").alias("__g")).distinct()
         samples = samples.join(frozen, F.col("grp") == F.col("__g"), "left")
         reason = F.coalesce(reason, F.when(F.col("__g").isNull(), "unknown-group"))
     return samples.withColumn("reason", reason).where("reason IS NOT NULL").drop("__g")

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 #: The words of an error-like result.
 WHOLE_WORDS = ["error", "exception", "traceback", "failed", "failure"]
 PHRASES = ["permission denied", "not found"]
-ERROR = rf"(?i)(?<![A-Za-z0-9_])(?:{'|'.join(WHOLE_WORDS)})(?![A-Za-z0-9_])|(?i:{'|'.join(PHRASES)})"
+ERROR = rf"(?i)(?<![A-Za-z0-9_])(?:{'|'.join(WHOLE_WORDS)})(?![A-Za-z0-9_])|{'|'.join(PHRASES)}"
 _AROUND = r"[^\n\r\x{2028}\x{2029}]{0,45}"
 SNIPPET = rf"(?i){_AROUND}(?:{'|'.join(WHOLE_WORDS + PHRASES)}){_AROUND}"
 REPEATS = 3

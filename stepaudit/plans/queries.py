@@ -102,9 +102,9 @@ def linear_head(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [rule_flags, flag_counts, timeline_search, redacted_documents, adapted_steps, prefix_features, leak_free_split, split_leaks,
             confusion_by_group, threshold_gate, coverage, class_report, vocabulary, tfidf_score, linear_head]
-    from stepaudit.plans import cases, logs, models, semantics, streams, typed
+    from stepaudit.plans import cases, logs, models, planted, semantics, streams, typed
 
-    return {f.__name__: f for f in made} | cases.queries() | logs.queries() | models.queries() | semantics.queries() | typed.queries() | streams.queries()
+    return {f.__name__: f for f in made} | cases.queries() | logs.queries() | models.queries() | semantics.queries() | typed.queries() | streams.queries() | planted.queries()
 
 
 FLAG_RULES = r"""x AS (SELECT *, CASE kind WHEN 'tool_call' THEN 1 ELSE -1 END AS x FROM s WHERE coalesce(call_id, '') <> '' AND kind IN ('tool_call', 'tool_result')),
@@ -166,9 +166,9 @@ _MODEL = ", ".join(f"('{t}', {1 + k / 10}::DOUBLE, {', '.join(f'{((k + 1) * (j +
 
 
 def oracle_sql() -> dict[str, str]:
-    from stepaudit.plans import cases, logs, models, semantics, streams, typed
+    from stepaudit.plans import cases, logs, models, planted, semantics, streams, typed
 
-    return cases.oracle_sql() | logs.oracle_sql() | models.oracle_sql() | semantics.oracle_sql() | typed.oracle_sql() | streams.oracle_sql() | {
+    return cases.oracle_sql() | logs.oracle_sql() | models.oracle_sql() | semantics.oracle_sql() | typed.oracle_sql() | streams.oracle_sql() | planted.oracle_sql() | {
         "rule_flags": f"WITH {_FLAGS} SELECT * FROM f",
         "flag_counts": f"WITH {_FLAGS} SELECT run_id, rule, count(*) AS n FROM f GROUP BY ALL",
         "timeline_search": f"""WITH {_FLAGS}, r AS (SELECT run_id, pos, string_agg(title, ' ' ORDER BY phase, place, ordinal) AS titles, count(*) AS n_flags FROM f JOIN {TITLES} USING (rule) GROUP BY ALL)
