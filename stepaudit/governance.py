@@ -17,6 +17,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stepaudit.operators import vectors
+
 #: Wall seconds and KiB of the three kinds of run, and of published files.
 LIMITS = {"calibration": (60, 512 * 1024), "preflight": (120, 2048 * 1024), "fit": (2210, 2048 * 1024)}
 ARTIFACT_BYTES, REPORT_BYTES, CACHE_BYTES = 128 * 1024 * 1024, 32 * 1024 * 1024, 32 * 1024 * 1024
@@ -101,6 +103,16 @@ def parity(expected: DataFrame, actual: DataFrame, keys: list[str], value: str)
     return both.agg(F.count_if(hit).alias("matched"), F.count_if(~hit).alias("unmatched"), F.max(F.when(hit, F.abs(F.col("x") - F.col("y")))).alias("max_error"))
 
 
+def vector_parity(expected: DataFrame, actual: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``matched, unmatched, max_error, min_cosine`` of a vector column of two tables joined by keys; other lengths do not match."""
+    a, b = expected.select(*keys, F.col(value).alias("x")), actual.select(*keys, F.col(value).alias("y"))
+    both = a.join(b, keys, "full_outer")
+    hit = F.coalesce(F.size("x") == F.size("y"), F.lit(False))
+    error = F.array_max(F.zip_with("x", "y", lambda p, q: F.abs(p.cast("double") - q.cast("double"))))
+    cosine = F.try_divide(vectors.dot(F.col("x"), F.col("y")), F.sqrt(vectors.dot(F.col("x"), F.col("x")) * vectors.dot(F.col("y"), F.col("y"))))
+    return both.agg(F.count_if(hit).alias("matched"), F.count_if(~hit).alias("unmatched"), F.max(F.when(hit, error)).alias("max_error"), F.min(F.when(hit, cosine)).alias("min_cosine"))
+
+
 def publication_problems(report: dict, gate: dict, stage: Path) -> list[str]:
     """Why a staged candidate may not be published: the gate is computed anew, files are counted and hashed again."""
     found = []

@@ -84,6 +84,36 @@ def build(messages: DataFrame) -> DataFrame:
     return kept.join(steps, ["run_id", "msg_index"], "left").select("run_id", "msg_index", role.alias("role"), F.coalesce(F.col("s.id"), F.array().cast("array<string>")).alias("step_ids"))
 
 
+def groups_from(messages: DataFrame) -> DataFrame:
+    """The groups of :func:`groups_of`, straight from messages: every original message with its steps."""
+    step = F.struct("id", "kind", "content", "tool", "call_id", "status")
+    steps = features.adapt(messages).groupBy("run_id", "msg_index").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("pos", step.alias("s")))).alias("s"))  # one message's calls
+    kept = messages.join(features.unsupported(messages).select("run_id"), "run_id", "left_anti").select("run_id", "msg_index", "role")
+    role = F.when(F.col("role") == "system", EXCLUDED).otherwise(F.col("role"))
+    return kept.join(steps, ["run_id", "msg_index"], "left").select("run_id", "msg_index", role.alias("role"), "pos", F.coalesce(F.col("s.s"), F.array().cast(_STEPS)).alias("steps"))
+
+
+def incompatible(messages: DataFrame, runs: DataFrame) -> DataFrame:
+    """``run_id, reason`` of runs that no envelope can hold: group-count, step-count, step-text, step-option or too-large.
+
+    The envelope's bytes are summed step by step, so no run is ever one value. ``runs`` has ``run_id, task``.
+    """
+    groups, calls = groups_from(messages), F.slice("steps", F.lit(2), F.size("steps"))
+    said = F.aggregate("steps", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(F.to_json(x)) + 1)
+    own = F.octet_length(F.to_json(F.struct("role", F.transform("steps", lambda x: x["id"]).alias("step_ids")))) + 1
+    long = F.exists("steps", lambda x: validate.utf16_length(x["content"]) > validate.LIMITS["content"])
+    odd = F.exists("steps", lambda x: (validate.utf16_length(F.coalesce(x["tool"], F.lit(""))) > validate.LIMITS["tool"]) | (validate.utf16_length(F.coalesce(x["call_id"], F.lit(""))) > validate.LIMITS["call_id"]))
+    bare = F.exists(calls, lambda x: F.coalesce(x["tool"], F.lit("")) == "")
+    per = groups.groupBy("run_id").agg(F.count("*").alias("groups"), F.sum(F.size("steps")).alias("n"), F.sum(said + own).alias("bytes"), F.bool_or(long).alias("long"), F.bool_or(odd | bare).alias("odd"))
+    head = F.octet_length(F.to_json(F.struct(F.lit(1).alias("envelope_version"), F.struct(F.lit(1).alias("schema_version"), "run_id", "task", F.lit("completed").alias("status"), F.array().alias("steps")).alias("run"), F.array().alias("messages"))))
+    sized = per.join(runs.select("run_id", "task"), "run_id")
+    reason = (
+        F.when(F.col("groups") > MAX_GROUPS, "group-count").when(~F.col("n").between(1, validate.MAX_STEPS), "step-count").when(F.col("long"), "step-text")
+        .when(F.col("odd"), "step-option").when(F.col("bytes") - 2 + head > validate.MAX_BYTES, "too-large")
+    )
+    return sized.select("run_id", reason.alias("reason")).where("reason IS NOT NULL")
+
+
 def _text(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), features.ANSWER, features.OMITTED)
 

@@ -96,10 +96,10 @@ def write_valid(runs: DataFrame, path: str, publication: str, raw_col: str = "ra
 
 
 def evidence(samples: DataFrame, thresholds: list[float]) -> DataFrame:
-    """Positions, labels, scores and each threshold's decision, never a text: what may leave the review."""
+    """Positions, labels, scores, audits (counts) and each threshold's decision, never a text: what may leave the review."""
     from stepaudit.operators.policy import exceeds
 
-    keep = [c for c in ("split", "subset", "grp", "query_index", "sample_index", "msg_index", "label", "rule", "score", "support_reason") if c in samples.columns]
+    keep = [c for c in ("split", "subset", "grp", "query_index", "sample_index", "msg_index", "label", "rule", "score", "support_reason", "audit", "truncated", "unknown_before") if c in samples.columns]
     flags = F.map_from_arrays(F.array(*[F.lit(str(t)) for t in thresholds]), F.array(*[exceeds(F.col("score"), F.lit(t)) for t in thresholds]))
     return samples.select(*keep, F.lit(True).alias("text_redacted"), flags.alias("model_flags"))
 
@@ -122,6 +122,16 @@ def publish(stage: str, output: str, check) -> None:
     os.rename(stage, output)
 
 
+def split_json(split: DataFrame, files: DataFrame, seed: int, most: int = 100_000) -> str:
+    """A split manifest of ``grp, split`` and ``file, sha256``, keys sorted, as ``sources.files.read_manifest`` takes it."""
+    small = [{r[0]: r[1] for r in t.select(*c).distinct().limit(most + 1).collect()} for t, c in ((split, ("grp", "split")), (files, ("file", "sha256")))]
+    if max(map(len, small)) > most:
+        raise ValueError("a manifest is small")
+    if small[0] and split.select("grp", "split").distinct().count() != len(small[0]):
+        raise ValueError("a group has one split")
+    return json.dumps({"seed": seed, "groups": small[0], "source_sha256": small[1]}, sort_keys=True, indent=2)
+
+
 def results_json(tables: dict[str, DataFrame], most: int = 10_000) -> str:
     """Small result tables as one JSON text with sorted keys; a table of more than ``most`` rows is refused."""
     out = {}

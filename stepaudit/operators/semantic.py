@@ -126,7 +126,7 @@ def span_overlap(offsets: Column, start: Column, end: Column, limit: int) -> Col
 
 
 def coverage(samples: DataFrame, groups: DataFrame) -> DataFrame:
-    """Steps, groups, supported and truncated steps and unknown tokens by split, label and subset, over frozen groups.
+    """Steps, groups, supported and truncated steps, unknown tokens and unsupported reasons by split, label and subset, over frozen groups.
 
     ``groups`` (``grp, split, subset``) give the group counts, so groups without a target count too; a
     label's cell has all groups of its split. ``label`` and ``subset`` are null in totals.
@@ -137,11 +137,15 @@ def coverage(samples: DataFrame, groups: DataFrame) -> DataFrame:
         F.count("*").alias("steps"), F.count_distinct("grp").alias("groups_with_targets"), F.count_if(ok).alias("supported"), F.count_if(~ok).alias("unsupported"),
         F.count_if("truncated").alias("truncated"), F.coalesce(F.sum("unknown_before"), F.lit(0)).cast("long").alias("unknown_before"),
     )
+    why = samples.where("support_reason IS NOT NULL").groupingSets([[F.col(c) for c in s] + [F.col("support_reason")] for s in sets], *map(F.col, ("split", "label", "subset", "support_reason"))).agg(F.count("*").alias("n"))
+    told = why.groupBy(*[F.col(c).alias(f"__{c}") for c in ("split", "label", "subset")]).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("support_reason", "n")))).alias("reasons"))  # a few reasons a cell
     frozen = groups.groupingSets([[F.col("split")], [F.col("split"), F.col("subset")]], F.col("split"), F.col("subset")).agg(F.count_distinct("grp").alias("groups"))
     labels = frozen.where("subset IS NULL").select("split", F.explode(F.array(*[F.lit(x) for x in (None, -1, 0, 1)]).cast("array<int>")).alias("label"), F.lit(None).cast("string").alias("subset"), "groups")
     cells = labels.unionByName(frozen.where("subset IS NOT NULL").select("split", F.lit(None).cast("int").alias("label"), "subset", "groups"))
     same = [cells[c].eqNullSafe(made[c]) for c in ("split", "label", "subset")]
-    return cells.join(made, same, "left").select(cells["split"], cells["label"], cells["subset"], "groups", *[F.coalesce(c, F.lit(0)).alias(c) for c in made.columns[3:]])
+    joined = cells.join(made, same, "left").select(cells["split"], cells["label"], cells["subset"], "groups", *[F.coalesce(c, F.lit(0)).alias(c) for c in made.columns[3:]])
+    own = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ("split", "label", "subset")]
+    return joined.join(told, own, "left").select(*joined.columns, F.coalesce("reasons", F.create_map().cast("map<string,bigint>")).alias("reasons"))
 
 
 def encode(rows: DataFrame, key: str, load: Callable[[], Callable[[list[list[int]]], np.ndarray]], width: int) -> DataFrame:

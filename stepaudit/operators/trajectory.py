@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
 from stepaudit.functions import texts
-from stepaudit.operators import features, redact, rules
+from stepaudit.operators import envelope, features, redact, rules
 
 #: Fixed value: the task of a run without a question.
 DEFAULT_TASK = "Conversation task"
@@ -114,7 +114,8 @@ def samples(rows: DataFrame) -> DataFrame:
     """Targets of routed rows (``subset, grp, split, query_index, sample_index, line``) with ``rule, text, support_reason``.
 
     ``rule``: a flag of the run without its last action leads to the message. ``text`` is the prefix
-    feature. Rows of a test split must not be among them.
+    feature; a target of a run that no envelope can hold is unsupported, as is one beyond ASCII. Rows
+    of a test split must not be among them.
     """
     messages = messages_of(rows)
     found = targets(labels_of(rows), messages).where("target").select("run_id", "msg_index", "label")
@@ -122,6 +123,7 @@ def samples(rows: DataFrame) -> DataFrame:
     hit = rules.flagged_messages(rules.flags(steps, redact.masked(F.col("content"))), steps).withColumn("hit", F.lit(True))
     text = features.prefix_features(messages)
     route = rows.select("subset", "grp", "split", run_name()).withColumn("split", F.when(F.col("split") == "test", F.raise_error(F.lit("TEST rows have no samples")).cast("string")).otherwise(F.col("split")))
-    made = found.join(route, "run_id").join(text, ["run_id", "msg_index"]).join(hit, ["run_id", "msg_index"], "left")
-    reason = F.when(F.col("feature").rlike(r"[^\x00-\x7F]"), "unsupported-unicode")
+    odd = envelope.incompatible(messages, runs_of(rows)).select("run_id", F.lit(True).alias("odd"))
+    made = found.join(route, "run_id").join(text, ["run_id", "msg_index"]).join(hit, ["run_id", "msg_index"], "left").join(odd, "run_id", "left")
+    reason = F.when(F.coalesce("odd", F.lit(False)), "incompatible-envelope").when(F.col("feature").rlike(r"[^\x00-\x7F]"), "unsupported-unicode")
     return made.select("run_id", "msg_index", "subset", "grp", "split", "label", F.coalesce("hit", F.lit(False)).alias("rule"), F.col("feature").alias("text"), reason.alias("support_reason"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stepaudit import governance
 from stepaudit.functions import texts
-from stepaudit.operators import envelope, policy, redact, report, rules, semantic, tfidf, validate
+from stepaudit.operators import envelope, features, policy, redact, report, rules, semantic, tfidf, validate
 from stepaudit.plans import views
 from stepaudit.plans import queries as plans
 from stepaudit.plans.views import SAMPLES, STEPS, table
@@ -270,7 +270,7 @@ def semantic_coverage(spark: SparkSession, folder: str) -> DataFrame:
     """Coverage over frozen groups, with truncated steps and unknown tokens."""
     m = _samples(spark, folder).withColumns({"truncated": F.col("doc_id") % 4 == 0, "unknown_before": F.col("doc_id") % 5, "subset": F.concat(F.lit("s"), F.col("doc_id") % 2)})
     groups = spark.range(120).select((F.col("id") % 25).alias("grp"), F.element_at(F.array(F.lit("train"), F.lit("validation")), (F.col("id") % 2 + 1).cast("int")).alias("split"), F.concat(F.lit("s"), F.col("id") % 3 % 2).alias("subset")).distinct()
-    return semantic.coverage(m.where("split != 'test'"), groups)
+    return semantic.coverage(m.where("split != 'test'"), groups).withColumn("reasons", F.to_json("reasons"))
 
 
 _SEMANTIC_COVERAGE = f"""WITH {SAMPLES.replace("coalesce(source, '') AS subset", "'s' || d.doc_id % 2 AS subset")}, g AS (SELECT DISTINCT i % 25 AS grp, CASE WHEN i % 2 = 0 THEN 'train' ELSE 'validation' END AS split, 's' || i % 3 % 2 AS subset FROM range(120) r(i)),
@@ -278,7 +278,8 @@ c AS (SELECT split, subset, count(DISTINCT grp) AS groups FROM g GROUP BY GROUPI
 k AS (SELECT split, unnest([NULL, -1, 0, 1]) AS label, NULL AS subset, groups FROM c WHERE subset IS NULL UNION ALL SELECT split, NULL, subset, groups FROM c WHERE subset IS NOT NULL),
 a AS (SELECT split, label, subset, count(*) AS steps, count(DISTINCT grp) AS groups_with_targets, count(*) FILTER (support_reason IS NULL) AS supported, count(*) FILTER (support_reason IS NOT NULL) AS unsupported,
   count(*) FILTER (doc_id % 4 = 0) AS truncated, CAST(sum(doc_id % 5) AS BIGINT) AS unknown_before FROM m WHERE split <> 'test' GROUP BY GROUPING SETS ((split), (split, label), (split, subset)))
-SELECT k.split, k.label, k.subset, k.groups, {", ".join(f"coalesce(a.{c}, 0) AS {c}" for c in ("steps", "groups_with_targets", "supported", "unsupported", "truncated", "unknown_before"))}
+SELECT k.split, k.label, k.subset, k.groups, {", ".join(f"coalesce(a.{c}, 0) AS {c}" for c in ("steps", "groups_with_targets", "supported", "unsupported", "truncated", "unknown_before"))},
+  CASE WHEN coalesce(a.unsupported, 0) = 0 THEN '{{}}' ELSE '{{"unsupported-unicode":' || a.unsupported || '}}' END AS reasons
 FROM k LEFT JOIN a ON a.split = k.split AND a.label IS NOT DISTINCT FROM k.label AND a.subset IS NOT DISTINCT FROM k.subset"""
 
 _U = 100
@@ -367,6 +368,28 @@ def score_parity(spark: SparkSession, folder: str) -> DataFrame:
     return plans._rounded(governance.parity(d, other, ["vec_id"], "p"), "max_error")
 
 
+def vector_parity(spark: SparkSession, folder: str) -> DataFrame:
+    """The greatest error and the least cosine between two tables of vectors."""
+    e = table(spark, folder, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    other = e.where("vec_id % 9 != 0").withColumn("v", F.transform("v", lambda x, i: x + (F.col("vec_id") % 5) * (i + 1) / 1e4))
+    return plans._rounded(governance.vector_parity(e, other, ["vec_id"], "v"), "max_error", "min_cosine")
+
+
+_VECTORS = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x, list_transform(embedding, lambda x, i: x::DOUBLE + vec_id % 5 * i / 1e4) AS y FROM embeddings WHERE vec_id % 9 <> 0)
+SELECT count(*) AS matched, (SELECT count(*) FROM embeddings WHERE vec_id % 9 = 0) AS unmatched, round(max(list_max(list_transform(x, lambda a, i: abs(a - y[i])))), 9) AS max_error,
+  round(min(list_cosine_similarity(x, y)), 9) AS min_cosine FROM e"""
+
+
+def feature_parity(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of the features of messages and of those of envelope groups, which must agree."""
+    from stepaudit.plans import semantics
+
+    m = semantics.messages(spark, folder)
+    one = features.prefix_features(m).select("run_id", "msg_index", F.sha2("feature", 256).alias("a"))
+    two = envelope.actions(envelope.groups_from(m)).select("run_id", "msg_index", F.sha2("feature", 256).alias("b"))
+    return one.join(two, ["run_id", "msg_index"], "full_outer").select("run_id", "msg_index", F.col("a").eqNullSafe(F.col("b")).alias("same"))
+
+
 def evidence_rows(spark: SparkSession, folder: str) -> DataFrame:
     """What leaves the review of supported rows."""
     m = _samples(spark, folder).where("support_reason IS NULL")
@@ -380,7 +403,7 @@ FIXTURES = (fixture_flags, fixture_masks, fixture_validation, fixture_envelopes,
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [envelope_groups, review_actions, review_coverage, report_digests, flagged_messages, policy_baselines, mask_measures, filled_confusion, error_examples, label_counts, report_averages,
-            policy_positive, semantic_inputs, semantic_coverage, unicode_words, score_parity, evidence_rows]
+            policy_positive, semantic_inputs, semantic_coverage, unicode_words, score_parity, vector_parity, feature_parity, evidence_rows]
     return {f.__name__: f for f in made}
 
 
@@ -437,6 +460,9 @@ def every_sql() -> dict[str, str]:
           FROM h FULL JOIN w ON h.file = w.file WHERE h.sha256 IS DISTINCT FROM w.sha256""",
         "score_parity": """SELECT count(*) FILTER (vec_id % 7 <> 0) AS matched, count(*) FILTER (vec_id % 7 = 0) AS unmatched,
           round(max(CASE WHEN vec_id % 7 <> 0 THEN abs(embedding[1]::DOUBLE - (embedding[1]::DOUBLE + vec_id / 1e6)) END), 9) AS max_error FROM embeddings""",
+        "vector_parity": _VECTORS,
+        "feature_parity": """WITH w AS (SELECT *, max(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS last FROM conversations)
+          SELECT conv_id AS run_id, turn AS msg_index, true AS same FROM w WHERE role = 'assistant' AND turn < last""",
         "evidence_rows": f"""WITH {SAMPLES} SELECT doc_id AS query_index, split, label, true AS text_redacted, score > 0.5 AND abs(score - 0.5) > 1e-6 AS at_50, score > 0.9 AND abs(score - 0.9) > 1e-6 AS at_90
           FROM m WHERE support_reason IS NULL""",
     }

@@ -99,3 +99,37 @@ def test_samples(spark):
         trajectory.samples(_frame(spark, rows, "test")).collect()
     cells = {(r.split, r.label, r.subset): (r.steps, r.reasons) for r in policy.full_coverage(trajectory.samples(_frame(spark, rows))).collect()}
     assert len(cells) == 8 and cells["train", 1, "s"] == (0, {}) and cells["train", 0, None] == (1, {"unsupported-unicode": 1})
+
+
+def test_incompatible(spark):
+    from stepaudit.operators import envelope
+
+    def run(q, n, text="c", **call):
+        m = [{"role": "user", "content": text}, *[{"role": "assistant", "content": "a"} for _ in range(n)]]
+        if call:
+            m[1]["tool_calls"] = [{"function": {"name": "get", "arguments": ""} | call}]
+        return {"query_index": q, "sample_index": 0, "messages": m, "step_labels": {"1": 0}}
+
+    many = {"query_index": 8, "sample_index": 0, "messages": [{"role": "user", "content": "é" * 60_000}, *[{"role": "assistant", "content": "é" * 50_000} for _ in range(21)]], "step_labels": {"1": 0}}
+    rows = [run(1, 2), run(2, 2000), run(3, 2, "x" * 100_001), run(4, 2, name=""), run(5, 2, name="n" * 201), run(6, 1999), run(7, 2, "🙂" * 50_000), many]
+    df = _frame(spark, rows, ensure_ascii=False)
+    found = {r.run_id: r.reason for r in envelope.incompatible(trajectory.messages_of(df), trajectory.runs_of(df)).collect()}
+    assert found == {"s-2-0": "group-count", "s-3-0": "step-text", "s-4-0": "step-option", "s-5-0": "step-option", "s-8-0": "too-large"}
+    got = {r.run_id: r.support_reason for r in trajectory.samples(df).collect()}
+    assert {k: v for k, v in got.items() if v} == {k: "incompatible-envelope" for k in found} | {"s-7-0": "unsupported-unicode"}
+
+
+def test_split_json(spark, tmp_path):
+    import hashlib
+
+    from stepaudit.operators import report
+    from stepaudit.sources import files
+
+    split = spark.createDataFrame([("a:1", "train"), ("a:2", "validation"), ("a:3", "test"), ("a:1", "train")], "grp string, split string")
+    listed = spark.createDataFrame([("a.jsonl", "0" * 64)], "file string, sha256 string")
+    raw = report.split_json(split, listed, 42)
+    (tmp_path / "split.json").write_text(raw)
+    back, present = files.read_manifest(spark, str(tmp_path / "split.json"), hashlib.sha256(raw.encode()).hexdigest(), 3)
+    assert {tuple(r) for r in back.collect()} == {tuple(r) for r in split.collect()} and present.count() == 1
+    with pytest.raises(ValueError):
+        report.split_json(split.union(spark.createDataFrame([("a:1", "test")], split.schema)), listed, 42)
