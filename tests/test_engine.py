@@ -151,7 +151,7 @@ def test_roles_and_calls(spark):
     ]
     assert [tuple(r) for r in features.unsupported(m).collect()] == [("b", 0, "unsupported-role")]
     assert [r.id for r in features.adapt(m, exclude_final=True).orderBy("pos").collect()] == ["m0", "m1", "m1-call0", "m1-call1"]
-    assert [r.feature for r in features.prefix_features(m).where("run_id = 'a'").collect()] == ["user u\nassistant x\nget {}\n "]
+    assert [r.feature for r in features.prefix_features(m).where("run_id = 'a'").collect()] == ["user u\nget {}\n \nassistant x\nget {}\n "]  # calls of any role with text
     built = {(r.run_id, r.msg_index): (r.role, r.step_ids) for r in envelope.build(m).collect()}
     assert built == {("a", 0): ("user", ["m0"]), ("a", 1): ("assistant", ["m1", "m1-call0", "m1-call1"]), ("a", 2): ("assistant", ["m2"]), ("c", 0): ("excluded", [])}
 
