@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,3 +33,23 @@ def binaries(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """A binary column whose rows are the bytes of ``values`` between ``offsets`` (in items)."""
     data = np.ascontiguousarray(values)
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * data.itemsize).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def trim() -> None:
+    """Give what this worker has freed back to the system, where the C library can; the next task may be another stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` in a worker that holds no freed memory of tasks before, and keeps none for those after."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
+        yield from run(batches)
+        trim()
+
+    return task

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from stepaudit.llm.arrow import binaries, flat, pieces
+from stepaudit.llm.arrow import binaries, flat, pieces, trimmed
 from stepaudit.operators.components import connected_components
 from stepaudit.scratch import remove, written
 
@@ -356,7 +356,7 @@ def _fetch_sets(nodes: DataFrame, reps: DataFrame, source: DataFrame, n: int) ->
     for r in marks.groupBy("page").agg(F.expr("bitmap_or_agg(bits)").alias("bits")).collect():  # no more rows than pages
         pages[r.page] = np.frombuffer(r.bits, np.uint8)[:PAGE]
     shared = source.sparkSession.sparkContext.broadcast(pages.tobytes())
-    made = source.where("id IS NOT NULL").mapInArrow(_sets(n, shared), "id long, h1 long, shingles binary").dropDuplicates(["id", "h1"])
+    made = source.where("id IS NOT NULL").mapInArrow(trimmed(_sets(n, shared)), "id long, h1 long, shingles binary").dropDuplicates(["id", "h1"])
     sets = written(made.hint("merge").join(wanted, ["id", "h1"]).select("node", "shingles"), "sets")
     remove(wanted)
     shared.unpersist()
@@ -379,7 +379,7 @@ def _leader_links(buckets: DataFrame, reps: DataFrame, source: DataFrame, n: int
     sets = _fetch_sets(star.select(F.col("a").alias("node")).union(star.select("b")), reps, source, n)
     one = star.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     two = one.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
-    links = written(two.mapInArrow(_similar(percent), "a long, b long"), "links")
+    links = written(two.mapInArrow(trimmed(_similar(percent)), "a long, b long"), "links")
     remove(star, sets)
     return links
 
@@ -403,11 +403,11 @@ def _cell_links(buckets: DataFrame, joined: DataFrame, reps: DataFrame, source:
         .select("key", F.least("blk", "other").alias("i"), F.greatest("blk", "other").alias("j"), "node", "comp", "blk", "n", "sig")
         .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     )
-    cells = written(dealt.mapInArrow(_members(percent), _CELL_SCHEMA), "cells")
+    cells = written(dealt.mapInArrow(trimmed(_members(percent)), _CELL_SCHEMA), "cells")
     remove(labelled, mixed)
     sets = _fetch_sets(cells, reps, source, n)
     filled = cells.join(sets, "node").select(*_CELL, "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    links = written(filled.mapInArrow(_spanning(percent), "a long, b long"), "links")
+    links = written(filled.mapInArrow(trimmed(_spanning(percent)), "a long, b long"), "links")
     remove(cells, sets)
     return links
 
@@ -423,14 +423,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError("the signature distance is chosen for a similarity of 0.8 or more")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     feats = source.select("id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
-        _features(n), "id long, text_hash long, n long, h1 long, h2 long, sig binary"
+        trimmed(_features(n)), "id long, text_hash long, n long, h1 long, h2 long, sig binary"
     )
     feats = written(feats, "features")
     some = feats.where("n > 0 AND id IS NOT NULL")
     classes = some.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
     reps = written(classes.select(F.monotonically_increasing_id().alias("node"), "n", "h1", "h2", "rep", "sig"), "reps")
 
-    keys = reps.select("node", "sig").mapInArrow(_keys, "key long, node long")
+    keys = reps.select("node", "sig").mapInArrow(trimmed(_keys), "key long, node long")
     sizes = written(keys.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where("size > 1").select("key", "leader"), "sizes")
     buckets = written(keys.hint("merge").join(sizes, "key"), "buckets")
     remove(sizes)
