@@ -23,8 +23,10 @@ def _quoted(q: str) -> str:
 
 NAMED = rf"""(?i)(?<![A-Za-z0-9_])((?:{_KEYS})["']?{_W}*+[=:]{_W}*+)(?:{_quoted('"')}|{_quoted("'")}|(?:bearer{_W}+)?{_N}+)"""
 NAMED_MASK = "$1$2$5[REDACTED]$3$4$6$7"
-_C = r"[A-Za-z0-9._%+@-]"
-EMAIL = rf"(?<!{_C})(?={_C}{{1,512}}(?!{_C}))(?={_C}{{0,253}}[A-Za-z0-9_%+@-]\.*(?!{_C}))[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}(?=\.*(?!{_C}))"
+_C, _L, _D = r"[A-Za-z0-9._%+@-]", r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9.-]"
+# An address begins where a run of _L does, or after the address before it. What follows it in its run of _C stays, as in "x@y.org%%%";
+# that run ends within 512 characters of the address's begin, and the address within 254: what lies beyond these ($1 here) also follows the address.
+EMAIL = rf"(?:(?<!{_L})|\G)(?={_L}++@)(?={_C}{{1,512}}+(?!{_C}))(?={_C}{{1,254}}+({_C}*+))(?>{_L}++@{_D}+\.[A-Za-z]{{2,}}+)(?={_C}*\1(?!{_C}))"
 _EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 TOKEN = rf"(?<![A-Za-z0-9_])(?:{_TOKENS}){_EDGE}"
 STAGES = [(NAMED, NAMED_MASK), (EMAIL, EMAIL_MASK), (TOKEN, TOKEN_MASK)]
