@@ -92,6 +92,22 @@ def test_masks(spark):
         assert got[k] == (want, n), k
 
 
+ADDRESSES = [
+    ("to x.1@mail.org%%% and &&&y@mail.org&&&", "to [REDACTED EMAIL]%%% and &&&[REDACTED EMAIL]&&&", 2), ("a@b.co%%%c@d.org-- @e@f.io", "[REDACTED EMAIL][REDACTED EMAIL]-- @[REDACTED EMAIL]", 3),
+    ("x@y@z.com", "x@[REDACTED EMAIL]", 1), ("a@b.co1, a@b.co.12 a@b.c", "[REDACTED EMAIL]1, [REDACTED EMAIL].12 a@b.c", 2), ("é%a@b.co_éd@e.fr", "é[REDACTED EMAIL]_é[REDACTED EMAIL]", 2),
+    ("a" * 247 + "@bc.de%%%", "[REDACTED EMAIL]%%%", 1), ("a" * 248 + "@bc.de%%%", "[REDACTED EMAIL]%%%", 1), ("a" * 249 + "@bc.de%%%", "a" * 249 + "@bc.de%%%", 0),
+    ("a@bc.de" + "%" * 505, "[REDACTED EMAIL]" + "%" * 505, 1), ("a@bc.de" + "%" * 506, "a@bc.de" + "%" * 506, 0), ("a@" * 50_000, "a@" * 50_000, 0), ("a@b.co%" * 70, "[REDACTED EMAIL]" * 70 + "%", 70),
+]
+
+
+def test_addresses_among_other_characters(spark):
+    """Addresses that junk follows, as the query's SQL masks them; those within the bounds of length only."""
+    df = spark.createDataFrame([(k, a[0]) for k, a in enumerate(ADDRESSES)], "doc_id int, text string")
+    got = {r.k: (r.m, r.n) for r in df.select(F.col("doc_id").alias("k"), redact.masked(F.col("text")).alias("m"), redact.mask_count(F.col("text")).alias("n")).collect()}
+    for k, (_, want, n) in enumerate(ADDRESSES):
+        assert got[k] == (want, n), k
+
+
 def test_redacted_documents_beside_sql(spark, tmp_path):
     """Both queries equal their SQL where words around addresses and secrets carry junk, as some of the tables' texts do."""
     rng = random.Random(3)
