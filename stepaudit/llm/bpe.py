@@ -4,7 +4,8 @@ Each task sends its distinct words once, in groups of documents, as byte strings
 ``aggregate`` folds the ranked merges over the bytes of every such word, with the ranks as a
 literal table by pairs of ids, and joins the folded ids' binary pieces from a literal list. The
 documents then look their words' ids and bytes up. Nothing is shuffled, and no table of words is
-gathered: a task holds the words it has met, up to a bound after which it starts anew.
+gathered: a task holds the words it has met, up to a bound after which it starts anew. The words come
+with the ranks of their bytes' pairs, from a table of all 65,536, so that the fold begins at the first merge.
 
 A fold costs the square of a word's length, so a word of over ``FOLD_BYTES`` bytes (one unbroken
 run of that many letters, say) is merged by the worker with a heap instead; figures in the README.
@@ -28,14 +29,14 @@ from pyspark.sql import types as T
 from stepaudit.llm.pretokens import Splitter
 
 FOLD_BYTES = 4096
-#: Distinct words that a task holds before it starts anew.
-HELD_WORDS = 450_000
+#: Distinct words that a task holds before it starts anew; three input splits of 16 MB have about 750,000.
+HELD_WORDS = 800_000
+#: Input splits that :func:`together` puts in a task, while two tasks are left for every core.
+SPLITS = 3
 #: Characters of text that go to the fold as one row.
 GROUP_CHARS = 500_000
-#: Primes whose product passes every key of two 16-bit ids.
-BUCKETS, SLOT_PRIME = 65_521, 131_071
-#: Above every id; an empty slot holds key 0 without a rank, which is wrong for no key.
-_NONE, _EMPTY = 0xFFFF, 0xFFFF
+#: Above every rank. A slot without a pair names this as its right id.
+_NONE, _EMPTY = 0xFFFF, 0xFFFF_FFFF
 #: Marks a merged piece until it is removed.
 _GONE = -1
 
@@ -72,37 +73,56 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+@cache
+def _byte_tables(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the bytes, and ranks of pairs of bytes (_NONE without one) by first * 256 + second."""
+    ranks = load_ranks(path)
+    return np.array([ranks[bytes([b])] for b in range(256)], np.int64), np.array([ranks.get(bytes([a, b]), _NONE) for a in range(256) for b in range(256)], np.int64)
+
+
+def numbered(words: list[bytes], path: str) -> pa.ListArray:
+    """The words as the lists of pieces with which :func:`fold_merges` begins: one for each byte, with the rank of its pair."""
+    ids, pairs = _byte_tables(path)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.concatenate([[0], np.cumsum(size)])
+    data = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+    rank = np.append(pairs[data[:-1] * 256 + data[1:]], _NONE)[: len(data)]
+    rank[ends[1:][size > 0] - 1] = _NONE
+    place = np.arange(len(data)) - np.repeat(ends[:-1], size)
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(rank << 46 | place << 16 | ids[data]))
+
+
 @cache
 def _pair_table(path: str) -> tuple[list[int], list[int]]:
-    """Ranks by pairs of ids as a table without collisions: ``offset`` of each bucket, and ``slots``.
+    """Ranks by pairs of ids as a table without collisions: ``offset`` of each sum of two ids, and ``slots``.
 
-    The key of a pair is left * 65536 + right. The slot at key % SLOT_PRIME + offset[key % BUCKETS]
-    holds key * 65536 + rank. Two keys never share both remainders, as BUCKETS * SLOT_PRIME passes
-    every key; so each bucket finds an offset where its slots are free, the fullest first.
+    The slot at offset[left + right] + right holds right * 65536 + rank. A sum and a right id make a
+    pair, and no two sums share an offset, so a slot that names the right id is the pair's own. Each
+    sum finds an offset where its slots are free, the fullest first.
     """
     ranks = load_ranks(path)
-    if max(ranks.values()) >= _NONE:
+    top = max(ranks.values())
+    if top >= _NONE:
         raise ValueError("ids must be below 65,535")
-    buckets: dict[int, list[tuple[int, int]]] = {}
-    pairs = 0
+    sums: dict[int, dict[int, int]] = {}
     for piece, rank in ranks.items():
         for k in range(1, len(piece)):
             if (x := ranks.get(piece[:k])) is not None and (y := ranks.get(piece[k:])) is not None:
-                key, pairs = x * 65536 + y, pairs + 1
-                buckets.setdefault(key % BUCKETS, []).append((key, rank))
-    spread = 2 * pairs + 1
+                sums.setdefault(x + y, {})[y] = rank
+    spread = 2 * max(sum(map(len, sums.values())), top) + 2
     rng = np.random.default_rng(7)
-    slots = [_EMPTY] * (spread + SLOT_PRIME)
-    offset = [0] * BUCKETS
-    for bucket, held in sorted(buckets.items(), key=lambda kv: -len(kv[1])):
-        spots = [key % SLOT_PRIME for key, _ in held]
+    slots, taken = [_EMPTY] * (spread + top + 1), set()
+    offset = [-1] * (2 * top + 1)
+    for both, held in sorted(sums.items(), key=lambda kv: -len(kv[1])):
         at = int(rng.integers(spread))
-        while any(slots[at + x] != _EMPTY for x in spots):
+        while at in taken or any(slots[at + y] != _EMPTY for y in held):
             at = int(rng.integers(spread))
-        offset[bucket] = at
-        for x, (key, rank) in zip(spots, held, strict=True):
-            slots[at + x] = key * 65536 + rank
-    return offset, slots
+        offset[both] = at
+        taken.add(at)
+        for y, rank in held.items():
+            slots[at + y] = y * 65536 + rank
+    free = (at for at in range(spread) if at not in taken)
+    return [next(free) if at < 0 else at for at in offset], slots
 
 
 class RankMap:
@@ -134,10 +154,9 @@ class RankMap:
         return _with(own[0], lambda slots: _with(own[1], lambda offset: with_offset(slots, offset)))
 
     def rank(self, left: Column, right: Column) -> Column:
-        """The rank of two ids side by side, _NONE without one or where an id is null."""
-        key = F.shiftleft(left, 16) + right
-        slot = F.get(self.slots, (key % SLOT_PRIME + F.get(self.offset, (key % BUCKETS).cast("int"))).cast("int"))
-        return F.least(F.lit(_NONE).cast("long"), slot.bitwiseXOR(F.shiftleft(key, 16)))  # equal keys leave the rank alone
+        """The rank of two ids side by side, _NONE without one or where the right id is null."""
+        slot = self.slots[self.offset[left + right] + right]
+        return F.least(F.lit(_NONE).cast("long"), slot.bitwiseXOR(F.shiftleft(right, 16)))  # the slot's own right id leaves the rank alone
 
 
 def _with(value: Column, use) -> Column:
@@ -146,7 +165,7 @@ def _with(value: Column, use) -> Column:
 
 
 def fold_merges(word: Column, ranks: RankMap) -> Column:
-    """Ids of a word (an array of its bytes' ids), by folding the ranked merges over them.
+    """Ids of a word (an array as of :func:`numbered`), by folding the ranked merges over its pieces.
 
     A piece is one number: the rank of the pair that it begins, 16 bits; its place in the word, 30;
     its id, 16. So the least number is the lowest rank, and of equal ranks the leftmost, and as an
@@ -169,11 +188,14 @@ def fold_merges(word: Column, ranks: RankMap) -> Column:
 
         return F.array_remove(F.transform(s, piece), F.lit(_GONE))
 
+    def spot(s: Column, at: Column) -> Column:
+        """The position of the piece at a place. array_position leaves its loop by an exception, which costs more."""
+        return F.size(F.filter(s, lambda x: x.bitwiseAND(place) <= at))
+
     def step(s: Column, _: Column) -> Column:
-        return _with(F.array_min(s), lambda m: F.when(m >= none, s).otherwise(_with(F.array_position(s, m).cast("int"), lambda i: join(s, m, i))))
+        return _with(F.array_min(s), lambda m: F.when(m >= none, s).otherwise(_with(spot(s, m.bitwiseAND(place)), lambda i: join(s, m, i))))
 
-    start = F.transform(word, lambda x, i: F.shiftleft(ranks.rank(x.cast("long"), F.get(word, i + 1)), 46) + F.shiftleft(i.cast("long"), 16) + x)
-    folded = F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(word), F.lit(2))), start, step)
+    folded = F.aggregate(F.sequence(F.lit(2), F.greatest(F.size(word), F.lit(2))), word, step)
     return F.transform(folded, lambda x: piece_id(x).cast("int"))
 
 
@@ -199,8 +221,7 @@ def _group(pattern: str, path: str):
     """Rows of whole documents: ids, their words as places in the task's word list, and the new words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, place, ranks = Splitter(pattern), _Places(), load_ranks(path)
-        byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        split, place = Splitter(pattern), _Places()
         ids: list = []
         idx: list[bytes] = []
         restart, chars = True, 0
@@ -209,8 +230,7 @@ def _group(pattern: str, path: str):
             new = [w.encode() for w in place.new]
             short = [w if len(w) <= FOLD_BYTES else b"" for w in new]
             long = [b"" if len(w) <= FOLD_BYTES else w for w in new]
-            ends = np.cumsum([0, *map(len, short)]).astype(np.int32)
-            words = pa.ListArray.from_arrays(pa.array(ends), pa.array(byte_ids[np.frombuffer(b"".join(short), np.uint8)]))
+            words = numbered(short, path)
             words = pa.ListArray.from_arrays(pa.array([0, len(short)], pa.int32()), words)
             values = [pa.array([v], k) for v, k in ((restart, pa.bool_()), (ids, pa.list_(pa.int64())), (idx, pa.list_(pa.binary())), (long if any(long) else [], pa.list_(pa.binary())))]
             return pa.RecordBatch.from_arrays([*values, words], names=["restart", "ids", "idx", "long", "short"])
@@ -275,6 +295,13 @@ def _assemble(path: str, with_ids: bool):
     return run
 
 
+def together(docs: DataFrame) -> DataFrame:
+    """Rows read from files in fewer tasks, as a word that several splits hold is folded once a task."""
+    parts, cores = docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism
+    tasks = max(-(-parts // SPLITS), 2 * cores)
+    return docs.coalesce(tasks) if tasks < parts else docs
+
+
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, on request, ``ids, decoded`` of every row.
 
@@ -284,7 +311,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     """
     table = RankMap(ranks_path)
     grouped = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        _group(pattern, ranks_path), "restart boolean, ids array<long>, idx array<binary>, long array<binary>, short array<array<int>>"
+        _group(pattern, ranks_path), "restart boolean, ids array<long>, idx array<binary>, long array<binary>, short array<array<long>>"
     )
     folded = grouped.select("restart", "ids", "idx", "long", table.bound(lambda: F.transform("short", lambda w: fold_merges(w, table))).alias("folded"))
     folded = folded.select("*", F.transform("folded", lambda w: decoded(w, table)).alias("bytes"))

@@ -80,6 +80,34 @@ def test_bpe_first_id(spark):
     assert {r.doc_id: (r.ids, bytes(r.decoded).decode()) for r in rows} == {k: (own.encode_ordinary(t), t) for k, t in enumerate(texts)}
 
 
+def test_bpe_splits_together(spark, tmp_path):
+    """Splits share tasks, so that a word of several is folded once; ids as tiktoken's, also at the bound of the fold."""
+    path, pattern = queries.public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), queries.public_tokenizers.PATTERN
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    rng = np.random.default_rng(5)
+    words = ["".join(chr(c) for c in rng.choice([*range(97, 123), 233, 0x6F22, 0x1F600], n)) for n in (*range(1, 40), bpe.FOLD_BYTES // 4)]
+    texts = ["", None, "a", "x" * (bpe.FOLD_BYTES + 1), *(" ".join(rng.choice(words, 30)) for _ in range(200))]
+    parts = 3 * bpe.SPLITS * spark.sparkContext.defaultParallelism
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(parts).localCheckpoint()
+    fewer = bpe.together(docs)
+    assert docs.rdd.getNumPartitions() == parts and fewer.rdd.getNumPartitions() == parts // bpe.SPLITS
+    assert bpe.together(docs.coalesce(2)).rdd.getNumPartitions() == 2
+    rows = bpe.encode_decode(fewer, path, pattern, with_ids=True).collect()
+    assert {r.doc_id: (r.n_tokens, r.ids, bytes(r.decoded).decode()) for r in rows} == {k: (len(ids := own.encode_ordinary(t or "")), ids, t or "") for k, t in enumerate(texts)}
+
+
+def test_bpe_ranks_of_pairs():
+    """The table of pairs gives every pair's rank, and none to pairs without one."""
+    path = queries.public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = bpe.load_ranks(path)
+    pieces = {r: p for p, r in ranks.items()}
+    offset, slots = bpe._pair_table(path)
+    pairs = {(x, y): r for p, r in ranks.items() for k in range(1, len(p)) if (x := ranks.get(p[:k])) is not None and (y := ranks.get(p[k:])) is not None}
+    other = np.random.default_rng(6).integers(0, len(ranks), (100_000, 2)).tolist()
+    for x, y in [*pairs, *map(tuple, other)]:
+        assert min(slots[offset[x + y] + y] ^ (y << 16), bpe._NONE) == ranks.get(pieces[x] + pieces[y], bpe._NONE)
+
+
 def test_lm_trains_on_every_word(spark):
     """Words that only stand at places 1, 2 and 3 of each four are learned too."""
     docs = spark.createDataFrame([(k, "one two two two " * 200) for k in range(20)], "doc_id long, text string").coalesce(1)
