@@ -5,6 +5,8 @@ The patterns are possessive or bounded, so that long adversarial contents take l
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -31,10 +33,17 @@ _EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])
 TOKEN = rf"(?<![A-Za-z0-9_])(?:{_TOKENS}){_EDGE}"
 STAGES = [(NAMED, NAMED_MASK), (EMAIL, EMAIL_MASK), (TOKEN, TOKEN_MASK)]
 
+# The plain rules, as SQL without lookbehind has them: values end at a quote and never begin with one, spaces are five ASCII ones, addresses
+# may have any length. Letters match in either case as RE2 folds them: the long s is an s and the Kelvin sign a k.
+_S, _ANY_CASE = r"[\t\n\f\r ]", re.sub("[sk]", lambda m: {"s": r"[s\x{17f}]", "k": r"[k\x{212a}]"}[m[0]], _KEYS)
+PLAIN_NAMED = rf"""(?i)(?=[aps\x{{17f}}]){_EDGE}((?:{_ANY_CASE})["']?{_S}*+[=:]{_S}*+)(?:bearer{_S}+)?[^\t\n\f\r "',;}}]+"""
+PLAIN_EMAIL = rf"(?:(?<!{_L})|\G)(?>{_L}++@{_D}+\.[A-Za-z]{{2,}}+)"
+PLAIN_STAGES = [(PLAIN_NAMED, "$1[REDACTED]"), (PLAIN_EMAIL, EMAIL_MASK), (TOKEN, TOKEN_MASK)]
+
 
-def masked(text: Column) -> Column:
+def masked(text: Column, stages: list[tuple[str, str]] = STAGES) -> Column:
     """``text`` with its secrets masked; null stays null."""
-    for pattern, mask in STAGES:
+    for pattern, mask in stages:
         text = F.regexp_replace(text, F.lit(pattern), F.lit(mask))
     return text
 
@@ -47,6 +56,11 @@ def mask_count(text: Column) -> Column:
     return F.coalesce(total, F.lit(0))
 
 
+def match_count(text: Column, stages: list[tuple[str, str]] = STAGES) -> Column:
+    """How many matches the stages' patterns have in ``text`` itself; one that lies within another's counts too."""
+    return F.coalesce(sum((F.regexp_count(text, F.lit(pattern)) for pattern, _ in stages), F.lit(0)), F.lit(0))
+
+
 def redact_steps(steps: DataFrame) -> DataFrame:
     """Steps with masked texts and ids; if any id of a run held a secret, all its ids are numbered anew.
 
