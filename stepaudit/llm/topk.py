@@ -4,9 +4,10 @@ Vectors are dealt to blocks of about ``CANDIDATES`` by a hash; in each block eve
 list of the vectors sorted by that component. A query reads all lists in step from the end that
 its own component's sign favours, scores each vector that it meets by random access, and stops
 when the sum of the lists' present values cannot reach its kth score, or every vector of the block
-has been met. A block's best k are exact,
-so the best k of all blocks' are. Queries too go in blocks: a task holds one block of either kind,
-whatever the tables' sizes, and nothing is broadcast.
+has been met. ``TOGETHER`` queries read in step: a vector that one of them meets is scored for all
+that have not stopped, by one product of matrices. A block's best k are exact, so the best k of all
+blocks' are. Queries too go in blocks: a task holds one block of either kind, whatever the tables'
+sizes, and nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -20,43 +21,55 @@ from pyspark.sql.window import Window
 from stepaudit.scratch import written
 
 CANDIDATES = 8192
-QUERIES = 1024
+QUERIES = 4096
+TOGETHER = 256
 FIRST_DEPTH = 16
 
 
-def threshold_search(ids: np.ndarray, vectors: np.ndarray, lists: np.ndarray, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best (ids, scores) of one block for one query; ``lists`` are ascending per dimension."""
-    n = len(ids)
-    use = np.flatnonzero(query)
-    if not len(use):  # every score is zero
-        at = np.flatnonzero(ids != own)
-        at = at[np.argsort(ids[at], kind="stable")[:k]]
-        return ids[at], np.zeros(len(at), vectors.dtype)
-    up = query[use] > 0
-    seen = np.zeros(n, bool)
-    best, score = np.zeros(0, np.int64), np.zeros(0, vectors.dtype)
+def _merged(at: np.ndarray, found: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query (``at``), in order."""
+    order = np.lexsort((found, -score, at))
+    at, found, score = at[order], found[order], score[order]
+    top = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return at[top], found[top], score[top]
+
+
+def threshold_search(ids: np.ndarray, vectors: np.ndarray, lists: np.ndarray, own: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (the query's place, ids, scores) of one block for each query; ``lists`` are ascending per dimension."""
+    n, m, dims = len(ids), len(own), np.arange(vectors.shape[1])
+    least = -np.inf if vectors.dtype == np.float64 else np.iinfo(vectors.dtype).min
+    at, found, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, vectors.dtype)
+    zero = ~queries.any(axis=1)
+    if zero.any():  # every score is zero
+        by_id = np.sort(ids, kind="stable")
+        firsts = [(i, by_id[by_id != own[i]][:k]) for i in np.flatnonzero(zero)]
+        at, found = np.concatenate([np.full(len(f), i) for i, f in firsts]), np.concatenate([f for _, f in firsts])
+        score = np.zeros(len(at), vectors.dtype)
+    live, seen, kth = np.flatnonzero(~zero), np.zeros(n, bool), np.full(m, least, vectors.dtype)
     depth, done = FIRST_DEPTH, 0
-    while done < n:
+    while len(live) and done < n:
         depth = min(depth, n)
-        rows = lists[use]
-        front = np.where(up[:, None], rows[:, n - depth : n - done], rows[:, done:depth])
+        q = queries[live]
         met = np.zeros(n, bool)
-        met[front.ravel()] = True
+        met[lists[(q > 0).any(axis=0), n - depth : n - done]] = True
+        met[lists[(q < 0).any(axis=0), done:depth]] = True
         new = np.flatnonzero(met & ~seen)
         seen |= met
-        new = new[ids[new] != own]
-        best = np.concatenate([best, new])
-        score = np.concatenate([score, vectors[new] @ query])
-        if len(best) > k:
-            top = np.lexsort((ids[best], -score))[:k]
-            best, score = best[top], score[top]
-        last = np.where(up, rows[:, n - depth], rows[:, depth - 1])
-        bound = (vectors[last, use] * query[use]).sum()
-        if (len(best) >= k and score[-1] > bound) or seen.all():
+        fresh = q @ vectors[new].T
+        fresh[own[live][:, None] == ids[new]] = least
+        cut = kth[live]
+        if len(new) > k and (cut == least).any():  # the kth of the new ones bounds them
+            cut[cut == least] = np.partition(fresh[cut == least], len(new) - k, axis=1)[:, len(new) - k]
+        row, column = np.nonzero((fresh >= cut[:, None]) & (fresh > least))
+        at, found, score = _merged(np.concatenate([at, live[row]]), np.concatenate([found, ids[new[column]]]), np.concatenate([score, fresh[row, column]]), k)
+        full = np.bincount(at, minlength=m) >= k
+        kth[full] = score[np.searchsorted(at, np.flatnonzero(full), "right") - 1]
+        if seen.all():
             break
+        bound = np.maximum(q, 0) @ vectors[lists[:, n - depth], dims] + np.minimum(q, 0) @ vectors[lists[:, depth - 1], dims]
+        live = live[kth[live] <= bound]
         done, depth = depth, depth * 2
-    top = np.lexsort((ids[best], -score))[:k]
-    return ids[best[top]], score[top]
+    return at, found, score
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -77,9 +90,9 @@ def _search(k: int):
             if most < 2**52:
                 x, q = x.astype(np.float64), q.astype(np.float64)  # sums stay exact
             lists = np.ascontiguousarray(np.argsort(x, axis=0, kind="stable").T)
-            for own, number, row in zip(queries, rows, q, strict=True):
-                found, score = threshold_search(ids, x, lists, own, row, k)
-                out.append((np.full(len(found), number), np.full(len(found), own), found, score.astype(np.int64)))
+            for i in range(0, len(q), TOGETHER):
+                at, found, score = threshold_search(ids, x, lists, queries[i : i + TOGETHER], q[i : i + TOGETHER], k)
+                out.append((rows[i + at], queries[i + at], found, score.astype(np.int64)))
         columns = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(4)]
         return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("row", "query_id", "vec_id", "score"), columns, strict=True)})
 
